@@ -65,7 +65,7 @@ class LineRuns:
     def _write(self, counts: DataFrame, level: int) -> str:
         self.made += 1
         path = f"{self.path}/L{level}-{self.made:05d}"
-        counts.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
+        counts.sortWithinPartitions("h1", "h2").write.option("compression", "snappy").parquet(path)
         return path
 
     def _put(self, path: str, level: int) -> None:
@@ -92,7 +92,7 @@ class LineRuns:
         self.made += 1
         path = f"{self.path}/load-{self.made:05d}"
         counts = batch_counts(docs, text_col, self.min_chars, part).sortWithinPartitions("batch", "h1", "h2")
-        counts.write.option("compression", "zstd").partitionBy("batch").parquet(path)
+        counts.write.option("compression", "snappy").partitionBy("batch").parquet(path)
         there = sorted(r.batch for r in self.spark.read.parquet(path).select("batch").distinct().collect()) if not self._empty(path) else []
         for b in there:
             self._put(f"{path}/batch={b}", 0)
