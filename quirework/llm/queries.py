@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import line_runs, simhash
+from quirework.llm import line_runs, quality, simhash
 from quirework.llm.common import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.digest(table(spark, sf_dir, "documents"))
 
@@ -16,7 +20,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op5_line_dedup": op5_line_dedup, "op10_simhash": op10_simhash}
 
 _OP5 = """
 WITH lines AS (
