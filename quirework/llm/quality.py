@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from quirework.llm.common import words
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
 TRUSTED_ROWS = 20_000
-THRESHOLD = -0.5
-#: Pseudo-counts of a bucket are its share of this many n-grams at the raw rate.
-PRIOR = 2_000.0
+THRESHOLD = -0.3
+#: Pseudo-count of a bucket, added to the target's count and to the count expected from the raw corpus.
+PRIOR = 2.0
 
 
 def _grams(h: str, buckets: int) -> Column:
@@ -53,19 +53,15 @@ def gram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, id_c
 
 
 def weights(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
-    """ln(p_target / p_raw) of each bucket; the target is smoothed towards the raw rates."""
+    """ln(p_target / p_raw) of each bucket, both smoothed at the target's scale: rare n-grams say little."""
     raw, target = [0] * buckets, [0] * buckets
     for r in counts.collect():  # at most `buckets` rows
         raw[r.b], target[r.b] = r.raw, r.target
     n_raw, n_target = sum(raw), sum(target)
     if not n_raw or not n_target:
         return [0.0] * buckets
-    out = []
-    for r, t in zip(raw, target, strict=True):
-        p = (r + 0.5) / (n_raw + 0.5 * buckets)
-        q = (t + prior * p) / (n_target + prior)
-        out.append(math.log(q / p))
-    return out
+    share = n_target / n_raw
+    return [math.log((t + prior) / (r * share + prior)) for r, t in zip(raw, target, strict=True)]
 
 
 def _literal(values: list[float]) -> str:
