@@ -109,6 +109,14 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     return judge(docs, weights(gram_counts(docs, labels, buckets, id_col, text_col), buckets), threshold, text_col)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The documents that the rules keep. The filter also reads a nondeterministic column, or the optimiser would push it below
+    the rules' projections and copy each of them into it many times over."""
+    pin = "__q_pin"
+    judged = rules(docs, labels, **how).select("*", F.spark_partition_id().alias(pin))
+    return judged.where(F.col("quality.kept") & (F.col(pin) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of the query."""
     got = rules(docs.select("doc_id", "text"), labels)
