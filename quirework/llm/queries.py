@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import decontam, line_runs, pii_anchor, quality, simhash, sp_dropout
+from quirework.llm import decontam, line_runs, maxent_lm, pii_anchor, quality, simhash, sp_dropout
 from quirework.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_anchor.digest(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op5_line_dedup, op9_pii, op10_simhash)
+    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op5_line_dedup, op6_lm_scoring, op9_pii, op10_simhash)
 }
 
 _OP5 = """
