@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import decontam, line_runs, maxent_lm, pii_anchor, quality, simhash, sp_dropout
+from quirework.llm import decontam, line_runs, maxent_lm, pii_anchor, quality, simhash, sp_dropout, toxicity
 from quirework.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_dropout.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.digest(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op5_line_dedup, op6_lm_scoring, op9_pii, op10_simhash)
+    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_lm_scoring, op9_pii, op10_simhash)
 }
 
 _OP5 = """
