@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import decontam, line_runs, maxent_lm, pii_anchor, quality, simhash, sp_dropout, toxicity
+from quirework.llm import decontam, line_runs, maxent_lm, pii_anchor, quality, simhash, site_style, sp_dropout, toxicity
 from quirework.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.digest(table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_anchor.digest(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_lm_scoring, op9_pii, op10_simhash)
+    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_lm_scoring, op8_html_extraction, op9_pii, op10_simhash)
 }
 
 _OP5 = """
