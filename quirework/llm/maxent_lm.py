@@ -19,6 +19,7 @@ each; without training documents every token is unknown and the model is uniform
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 from zlib import crc32
@@ -28,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import ascii_lower, words, written
+from quirework.llm.common import written
 
-HEAD, HEAD_CLASSES, TAIL_CLASSES = 1024, 16, 16
-HEAVY, ROUNDS, DIM = 1 << 16, 2, 1 << 12
+HEAD, HEAD_CLASSES, TAIL_CLASSES = 512, 16, 16
+HEAVY, ROUNDS, DIM = 1 << 18, 2, 1 << 12
 BATCH, RATE = 4096, 0.25
 #: The token that ends a text; no word has it.
 END = "\n"
 _CLASSES, _SIZE = HEAD_CLASSES + TAIL_CLASSES, HEAD // HEAD_CLASSES
 _U = np.uint64
-#: Tokens scored at once; bounds memory for long texts.
-_BLOCK = 1 << 15
+#: Tokens scored at once, and characters of texts taken together; they bound memory.
+_BLOCK, _CHARS = 1 << 15, 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,10 +57,32 @@ def _tail_class_of(token: bytes) -> int:
     return crc32((t[:2] + t[-1:]).encode("utf-8", "surrogatepass")) % TAIL_CLASSES
 
 
+def _words(text: str | None) -> list[bytes]:
+    """Lower-cased words (bytes methods know ASCII only, as the contract wants) and the end."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    w.append(END.encode())
+    return w
+
+
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, c) over docs, the end of each text included."""
-    tokens = F.concat(words(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))), F.array(F.lit(END)))
-    return docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    """(token, c) over docs, the end of each text included; counted by batch in the task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                found.update(_words(t.as_py()))
+                if len(found) >= 200_000:
+                    yield _counted(found)
+                    found = Counter()
+        yield _counted(found)
+
+    raw = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "raw binary, c long")
+    return raw.groupBy("raw").agg(F.sum("c").alias("c")).select(F.col("raw").cast("string").alias("token"), "c")
+
+
+def _counted(found: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["raw", "c"])
 
 
 class Model:
@@ -82,24 +105,30 @@ class Model:
         self.wc[DIM] = np.log(np.concatenate([np.maximum(sums, 1e-9), self.mass]))
         self.wc[DIM] -= self.wc[DIM].max()
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Index among the heavy tokens (-1: rare) and class of each token, and the rare tokens."""
-        w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        w.append(END.encode())
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of the texts' tokens in a row: index among the heavy ones (-1: rare), class, rows of the hashed features of the history (which
+        begins anew at every text); where each text begins; the rare tokens."""
+        w: list[bytes] = []
+        starts = []
+        for t in texts:
+            starts.append(len(w))
+            w += _words(t)
         at = np.fromiter(map(self.index.get, w, repeat(-1)), np.int64, len(w))
-        cls = np.zeros(len(w), np.int32)
-        known = at >= 0
-        if len(self.cls):
-            cls[known] = self.cls[at[known]]
-        rare = [w[i] for i in np.flatnonzero(~known).tolist()]
-        cls[~known] = [HEAD_CLASSES + _tail_class_of(t) for t in rare]
-        return at, cls, rare
-
-    def features(self, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Rows of the hashed features of each token's history; the history begins anew at every text."""
+        cls = self.cls[at] if len(self.cls) else np.zeros(len(w), np.int32)
+        few = np.flatnonzero(at < 0)
+        rare = [w[i] for i in few.tolist()]
+        cls[few] = np.fromiter(map(_tail_class_of, rare), np.int32, len(rare)) + HEAD_CLASSES
+        first = np.array(starts, np.int64)
+        return at, cls, self.features(at, cls, first), first, rare
+
+    @staticmethod
+    def features(at: np.ndarray, cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
         own = np.where(at >= 0, at + _CLASSES + 1, cls + 1).astype(_U)
-        back = np.concatenate([np.zeros(2, _U), own])
-        w1, w2 = back[1:-1], back[:-2]
+        w1, w2 = np.zeros_like(own), np.zeros_like(own)
+        w1[1:], w2[2:] = own[:-1], own[:-2]
+        w1[starts] = w2[starts] = 0
+        second = starts + 1
+        w2[second[second < len(own)]] = 0
         with np.errstate(over="ignore"):
             pair = w1 * _U(0x9E3779B97F4A7C15) + w2 * _U(0xC2B2AE3D27D4EB4F)
             raw = [w1, w2 + _U(1 << 20), pair]
@@ -214,24 +243,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     return model, counts
 
 
+def _together(texts: Iterator[str | None]) -> Iterator[list[str | None]]:
+    """Texts in lists of about _CHARS characters."""
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= _CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _learner(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(model)
-        wait: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-        for b in batches:
-            for text in b.column(0):
-                at, cls, _ = model.tokens(text.as_py())
-                wait.append((at, cls, model.features(at, cls)))
-                size += len(at)
-                if size >= BATCH:
-                    a, c, f = (np.concatenate(x) for x in zip(*wait, strict=True))
-                    cut = len(a) - len(a) % BATCH
-                    for lo in range(0, cut, BATCH):
-                        learner.learn(a[lo : lo + BATCH], c[lo : lo + BATCH], f[lo : lo + BATCH])
-                    wait, size = [(a[cut:], c[cut:], f[cut:])], len(a) - cut
-        if size:
-            learner.learn(*(np.concatenate(x) for x in zip(*wait, strict=True)))
+        rest = None
+        for part in _together(t.as_py() for b in batches for t in b.column(0)):
+            now = model.read(part)[:3]
+            now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True)) if rest else now
+            cut = len(now[0]) - len(now[0]) % BATCH
+            for lo in range(0, cut, BATCH):
+                learner.learn(*(x[lo : lo + BATCH] for x in now))
+            rest = tuple(x[cut:] for x in now)
+        if rest and len(rest[0]):
+            learner.learn(*rest)
         yield from learner.changes()
 
     return run
@@ -240,20 +278,21 @@ def _learner(model: Model):
 def _scorer(model: Model):
     floor = model.total + 0.5 * (model.distinct + 1)
     names = ["uid", "id", "n_tokens", "n_known", "base", "score", "rare"]
+    share = np.append(np.log10((model.count + 0.5) / floor), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, known, base, score, rare = [], [], [], [], []
-            for text in b.column(2):
-                at, cls, few = model.tokens(text.as_py())
-                heavy = at[at >= 0]
-                n.append(len(at))
-                known.append(len(heavy))
-                base.append(float(np.log10((model.count[heavy] + 0.5) / floor).sum()) if len(heavy) else 0.0)
-                score.append(float(model.predict(at, cls, model.features(at, cls)).sum()))
-                rare.append(few)
-            cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names)
+            done = 0
+            for part in _together(t.as_py() for t in b.column(2)):
+                at, cls, feats, first, rare = model.read(part)
+                n = np.diff(np.append(first, len(at)))
+                few = np.add.reduceat((at < 0).astype(np.int64), first)
+                base, score = (np.add.reduceat(x, first) for x in (share[at], model.predict(at, cls, feats)))
+                ends = np.append(0, np.cumsum(few)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(rare, pa.binary()))
+                cols = [pa.array(x) for x in (n, n - few, base, score)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(part)), b.column(1).slice(done, len(part)), *cols, lists], names)
+                done += len(part)
 
     return run
 
@@ -265,7 +304,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     done = written(rows.mapInArrow(_scorer(model), schema), "scored")
     floor = model.total + 0.5 * (model.distinct + 1)
     mass = F.array(*[F.lit(float(m)) for m in model.mass])
-    rare = done.select("uid", F.explode("rare").alias("raw")).select("uid", F.col("raw").cast("string").alias("token")).join(counts, "token", "left")
+    rare = done.select("uid", F.explode("rare").alias("raw")).select("uid", F.col("raw").cast("string").alias("token")).join(counts.where(F.col("c") * HEAVY < model.total), "token", "left")
     c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
     share = F.log10((c + 0.5) / F.get(mass, _tail_class(F.col("token"))))
     rare = rare.select("uid", (c > 0).cast("long").alias("k"), F.log10((c + 0.5) / F.lit(floor)).alias("b"), share.alias("s"))
