@@ -1,7 +1,7 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
 P(word | history) = P(class | history) * P(word | class, history). The HEAD most frequent training tokens fill HEAD_CLASSES classes of
-equal size by rank; all other tokens belong to TAIL_CLASSES classes by a hash of their first two and last characters.
+equal size by rank; all other tokens belong to TAIL_CLASSES classes by a hash of their first two bytes and the last.
 The class, and a head word within its class, come from log-linear models of hashed features of the history: the
 word before (w1), the one before that (w2, a skip) and the pair (w2, w1). Within a tail class a token has its
 smoothed share of the class' training tokens, so every token of the corpus counts, however rare.
@@ -47,14 +47,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _tail_class(token: Column) -> Column:
-    return (F.crc32(F.concat(F.substring(token, 1, 2), F.right(token, F.lit(1)))) % TAIL_CLASSES).cast("int")
+    raw = token.cast("binary")
+    return (F.crc32(F.concat(F.substring(raw, 1, 2), F.substring(raw, -1, 1))) % TAIL_CLASSES).cast("int")
+
+
+class _Tails(dict):
+    """The tail class of a token's first two bytes and its last."""
+
+    def __missing__(self, ends: bytes) -> int:
+        k = self[ends] = crc32(ends) % TAIL_CLASSES
+        return k
+
+
+_TAILS = _Tails()
 
 
 def _tail_class_of(token: bytes) -> int:
-    if token.isascii():
-        return crc32(token[:2] + token[-1:]) % TAIL_CLASSES
-    t = token.decode("utf-8", "surrogatepass")
-    return crc32((t[:2] + t[-1:]).encode("utf-8", "surrogatepass")) % TAIL_CLASSES
+    return _TAILS[token[:2] + token[-1:]]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -117,7 +126,7 @@ class Model:
         cls = self.cls[at] if len(self.cls) else np.zeros(len(w), np.int32)
         few = np.flatnonzero(at < 0)
         rare = [w[i] for i in few.tolist()]
-        cls[few] = np.fromiter(map(_tail_class_of, rare), np.int32, len(rare)) + HEAD_CLASSES
+        cls[few] = np.array([_TAILS[t[:2] + t[-1:]] for t in rare], np.int32) + HEAD_CLASSES
         first = np.array(starts, np.int64)
         return at, cls, self.features(at, cls, first), first, rare
 
@@ -304,7 +313,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     done = written(rows.mapInArrow(_scorer(model), schema), "scored")
     floor = model.total + 0.5 * (model.distinct + 1)
     mass = F.array(*[F.lit(float(m)) for m in model.mass])
-    rare = done.select("uid", F.explode("rare").alias("raw")).select("uid", F.col("raw").cast("string").alias("token")).join(counts.where(F.col("c") * HEAVY < model.total), "token", "left")
+    rare = done.select("uid", F.explode("rare").alias("raw")).select("uid", F.col("raw").cast("string").alias("token")).join(counts.where(F.col("c") * HEAVY < model.total).hint("shuffle_hash"), "token", "left")
     c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
     share = F.log10((c + 0.5) / F.get(mass, _tail_class(F.col("token"))))
     rare = rare.select("uid", (c > 0).cast("long").alias("k"), F.log10((c + 0.5) / F.lit(floor)).alias("b"), share.alias("s"))
