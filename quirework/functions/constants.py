@@ -52,3 +52,33 @@ SOURCE_MEDIUM = ["openlibrary", "google_books", "content", "llm:flash", "llm:loo
 SAME_BOOK = 0.85
 STRONG, WEAK, TITLE_ONLY, LOOKUP_MATCH = 0.8, 0.5, 0.9, 70.0
 NEGATIVE_TTL_DAYS = 7
+FOLD_PROPOSALS = ("áčďéěíňóřšťúůýžÁČĎÉĚÍŇÓŘŠŤÚŮÝŽôäÄ", "acdeeinorstuuyzACDEEINORSTUUYZoaA")
+FOLD_VERIFY = ("áčďéěíňóřšťúůýžôäüÁČĎÉĚÍŇÓŘŠŤÚŮÝŽÔÄÜ", "acdeeinorstuuyzoauACDEEINORSTUUYZOAU")
+CZ_MARKS = "áčďéěíňóřšťúůýžÁČĎÉĚÍŇÓŘŠŤÚŮÝŽôäÄ"
+# Values that are no value, and what gives a broken one away.
+BROKEN = ["Neznamy", "Unknown", "anonym", "Anonymous", "Neznámý", ""]
+BROKEN_EXTENSIONS = [".epub", ".pdb", ".pdf", ".doc", ".mobi", ".azw", ".azw3", ".prc"]
+QUOTES_AND_DASHES = "„“”‘’–—…"
+# Placeholders and section names on title pages.
+PAGE_PLACEHOLDERS = [
+    "neznámý", "nezanmy", "unknown", "anonym", "anonymní", "autor", "title", "subject", "name", "nc", "nc17", "prolog", "epilog",
+    "předmluva", "predmluva", "kapitola", "obsah", "další", "předchozí", "úvod", "uvod", "doslov",
+]
+PAGE_TRIM = ".:;,-–—!?'\"()"
+CZ_PAGE_LETTERS = "áčďéěíňóřšťúůýžôäĺľŕš"
+FILE_GARBAGE = r"^(microsoft\s+word\s*-\s*[^\s]*\.doc[x]?|[a-z0-9_]+\.(docx?|epub|pdf|pdb|mobi|txt|rtf)$)"
+CSS = r"@\w+\s*\{[^}]*\}|body\s*\{[^}]*\}|\{[^}]{0,200}\}"
+BLOCK_ENDS = r"</(p|div|h[1-6]|li|tr|td|th|section|article|header|footer|body|blockquote)\s*>"
+# Field labels of copyright pages, and where a value ends.
+LABEL_TITLE, LABEL_AUTHOR, LABEL_PUBLISHER = r"(?:název|titul|kniha)", r"(?:autor|author)", r"(?:nakladatelství|vydavatelstvo|vydalo|vydavatel)"
+LABEL_END = (
+    r"(?=\s+(?:název|titul|kniha|autor|author|nakladatelství|vydavatelstvo|vydalo|vydavatel|přeložil|preložil|přeložila|preložila|rok\s+vydání|vydáno|rok"
+    r"|original|původní|edice)\s*[:=]|\s*$|\n)"
+)
+LABEL_YEAR = r"(?:rok\s+vydání|vydáno|rok)\s*:\s*((?:1[89]|20)\d{2})\b"
+# Characters of mis-decoded Czech, the Cyrillic block, and Latin-1 letters that Czech lacks.
+MOJIBAKE_STRONG = "¬¡¹Øø•"
+LATIN1_HIGH = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+CZ_ALL = "áčďéěíňóřšťúůýžôäÁČĎÉĚÍŇÓŘŠŤÚŮÝŽÔÄ"
+REVERSE_CODECS, TARGET_CODECS = ["cp1252", "cp1251", "iso-8859-1", "mac_roman", "mac_latin2"], ["cp1250", "iso-8859-2"]
+OCTAL_CODECS = ["utf-16", "utf-16-le", "utf-16-be", "cp1250", "iso-8859-2"]

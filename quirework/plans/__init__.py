@@ -1,6 +1,6 @@
 """The catalogue's queries and their SQL."""
 
-from quirework.plans import record_queries  # noqa: F401  (registers its queries)
+from quirework.plans import flow_queries, record_queries, text_queries  # noqa: F401  (they register their queries)
 from quirework.plans.registry import ORACLE, QUERIES
 
 
