@@ -89,7 +89,7 @@ def _cued(attrs: dict[str, str], inside: bool) -> bool:
 
 
 def blocks(page: str | None) -> tuple[list[tuple[tuple[Node, ...], str]], list[Node]]:
-    """((open elements), text) of each block in page order, and all elements."""
+    """((open elements), text) of each block in page order, and all elements. Text in dropped elements, inline ones too, is left out."""
     page = page or ""
     root = Node("", "", False, False)
     stack, every, out, parts = [root], [], [], []
@@ -108,7 +108,7 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[Node, ...], str]], list[N
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at:
+        if m.start() > at and not stack[-1].drop:
             parts.append(entities.unescape(page[at : m.start()]))
         at = m.end()
         if not (tag := m[2]):
@@ -160,7 +160,7 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[Node, ...], str]], list[N
             low = page.lower() if low is None else low
             end = low.find(f"</{tag}", at) if len(low) == len(page) else page.find(f"</{tag}", at)
             at = len(page) if end < 0 else end
-    if at < len(page):
+    if at < len(page) and not stack[-1].drop:
         parts.append(entities.unescape(page[at:]))
     flush()
     return out, every
@@ -225,7 +225,7 @@ def low_paths(tree: DataFrame) -> DataFrame:
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     """The blocks of a page's article, joined by newlines."""
     found, _ = blocks(page)
-    kept = [(above, text) for above, text in found if not (above and above[-1].drop)]
+    kept = found
     main = [x for x in kept if x[0] and x[0][-1].main]
     if main:
         decide = lambda n: n.main and n.tag in INNER
