@@ -152,9 +152,6 @@ def path_parse(spark, sf_dir):
     return books(spark, sf_dir).select("id", F.regexp_extract("title_folder", p, 1).alias("title_part"), F.regexp_extract("title_folder", p, 2).try_cast("int").alias("calibre_id"), F.element_at(F.split("path", "/"), -2).alias("folder"))
 
 
-_PREF = {f: i for i, f in enumerate(C.FORMATS)}
-
-
 @query(cte() + ", f AS (SELECT id, unnest(formats) AS f FROM books), r AS (SELECT id, f, list_position([" + quoted(C.FORMATS) + "], f) AS p FROM f) SELECT b.id, coalesce(string_agg(r.f, '|' ORDER BY coalesce(p, 99), r.f), '') AS formats, arg_min(r.f, coalesce(p, 99) * 1000) AS primary_format FROM books b LEFT JOIN r ON b.id = r.id GROUP BY b.id")
 def format_preference(spark, sf_dir):
     order = F.array(*map(F.lit, C.FORMATS))
@@ -273,8 +270,6 @@ def skip_verified_limit(spark, sf_dir):
 
 # ---------------------------------------------------------------- reports
 
-_CAT_ORDER = F.array(*map(F.lit, C.CATEGORIES))
-
 
 @query(D_DIAG + ", e AS (SELECT id, unnest(diags) AS d FROM diag), c AS (SELECT split_part(d, ':', 1) AS category, id, d FROM e) SELECT category, count(DISTINCT id) AS n, coalesce(list_position([" + quoted(C.CATEGORIES) + "], category), 99) AS sort_key, min(split_part(d, ':', 2)) AS verdict FROM c GROUP BY category")
 def category_report(spark, sf_dir):
@@ -282,7 +277,7 @@ def category_report(spark, sf_dir):
     d = rules.detect_all(records(spark, sf_dir)).select("id", F.explode("diagnoses").alias("d")).select("id", "d.category", "d.verdict")
     once = d.groupBy("category", "id").agg(F.min("verdict").alias("verdict"))
     out = once.groupBy("category").agg(F.count("*").alias("n"), F.min("verdict").alias("verdict"))
-    at = F.array_position(_CAT_ORDER, F.col("category"))
+    at = F.array_position(F.array(*map(F.lit, C.CATEGORIES)), F.col("category"))
     return out.select("category", "n", F.when(at > 0, at).otherwise(F.lit(99)).cast("int").alias("sort_key"), "verdict")
 
 
