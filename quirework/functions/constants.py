@@ -82,3 +82,5 @@ LATIN1_HIGH = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 CZ_ALL = "áčďéěíňóřšťúůýžôäÁČĎÉĚÍŇÓŘŠŤÚŮÝŽÔÄ"
 REVERSE_CODECS, TARGET_CODECS = ["cp1252", "cp1251", "iso-8859-1", "mac_roman", "mac_latin2"], ["cp1250", "iso-8859-2"]
 OCTAL_CODECS = ["utf-16", "utf-16-le", "utf-16-be", "cp1250", "iso-8859-2"]
+# Single capitals set apart, at least five, the last one of up to three letters.
+SPACED_CAPITALS = r"(?:(?<=\s)|(?<=^))(?:[A-ZÁ-Ž] ){4,}[A-ZÁ-Ž]{1,3}(?=\s|$)"

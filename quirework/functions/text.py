@@ -53,9 +53,16 @@ def is_better(new: Column, old: Column) -> Column:
 # ---------------------------------------------------------------- title pages
 
 
+def joined_capitals(s: Column) -> Column:
+    """Runs of at least five single capitals with blanks between them as one word."""
+    runs = F.regexp_extract_all(s, F.lit(C.SPACED_CAPITALS), F.lit(0))
+    return F.aggregate(runs, s, lambda a, r: F.replace(a, r, F.replace(r, F.lit(" "), F.lit(""))))
+
+
 def page_lines(text: Column) -> Column:
-    """Trimmed, non-empty lines of a page without style blocks; ' | ' parts lines; spaced capitals are joined by collapse_caps before."""
+    """Trimmed, non-empty lines of a page without style blocks; spaced capitals are joined, ' | ' parts lines."""
     s = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "(?i)" + C.CSS, " "), r"(?i)^\s*cover\b", " ")
+    s = joined_capitals(s)
     s = F.regexp_replace(F.regexp_replace(s, r"\s*\|\s*", "\n"), r"[ \t]+", " ")
     return F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -117,6 +124,32 @@ def mined_title(text: Column) -> Column:
     return F.when(bare(head).isin(C.PAGE_PLACEHOLDERS), F.nullif(F.substr(found, F.char_length(head) + 2), F.lit(""))).otherwise(found)
 
 
+def author_like(line: Column) -> Column:
+    """A name of up to four words with capitals: no sentence, no quotation, no loose letters."""
+    s = strip(F.regexp_replace(line, r"\s*\([^)]*\)\s*$", ""), " .,;:-–—")
+    letters = lambda t: F.regexp_replace(t, "[^A-Za-zÁ-ž]", "")
+    tokens = F.filter(F.split(s, r"\s+"), lambda t: t != "")
+    named = F.filter(tokens, lambda t: letters(t) != "")
+    prose = F.exists(named, lambda t: t.rlike(r"\p{Ll}") & ~t.rlike(r"\p{Lu}") & (F.char_length(letters(t)) >= 3)) & F.exists(named, lambda t: t.rlike(r"^\p{Lu}"))
+    loose = (F.size(named) > 0) & F.forall(named, lambda t: (F.char_length(letters(t)) <= 1) & ~t.endswith("."))
+    ok = F.char_length(s).between(3, 60) & ~s.rlike("[!?“”\"']|\\.\\.\\.") & ~s.rlike(r"^\d") & (F.size(tokens) <= 4)
+    return ~noise(line) & ok & ~prose & ~loose & F.exists(tokens, lambda t: t.rlike(r"^\p{Lu}"))
+
+
+def mined_authors(text: Column) -> Column:
+    """Names under author labels, else up to three name-like lines of the first eight that are not the title."""
+    lines = page_lines(text)
+    clean = F.array_join(lines, "\n")
+    values = F.regexp_extract_all(clean, F.lit(f"(?ius){C.LABEL_AUTHOR}\\s*:\\s*(.+?)" + C.LABEL_END), F.lit(1))
+    plain = F.transform(values, lambda v: F.trim(F.split_part(strip(F.trim(v), ".;,-–—"), F.lit("("), F.lit(1))))
+    labelled = F.transform(F.filter(plain, author_like), title_case)
+    title = F.lower(F.coalesce(mined_title(text), F.lit("\x00")))
+    cased = F.transform(F.filter(F.slice(lines, 1, 8), lambda x: ~noise(x) & (F.size(F.split(x, r"\s+")) <= 4)), title_case)
+    other = lambda x: (F.lower(x) != title) & ~F.lower(x).startswith(F.concat(title, F.lit(" "))) & ~F.lower(x).endswith(F.concat(F.lit(" "), title))
+    guessed = F.slice(F.filter(cased, lambda x: author_like(x) & other(x)), 1, 3)
+    return F.array_distinct(F.when(F.size(labelled) > 0, labelled).otherwise(guessed))
+
+
 def mined_publisher(text: Column) -> Column:
     v = F.trim(_label(C.LABEL_PUBLISHER, F.array_join(page_lines(text), "\n")))
     v = F.trim(F.regexp_replace(F.regexp_replace(v, r",\s.*$", ""), r"\s+(?:1[89]|20)\d{2}\s*$", ""))
