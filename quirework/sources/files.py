@@ -150,3 +150,21 @@ def with_fallback(found: DataFrame, book: str = "book", primary: str = "is_prima
     order = F.struct((F.when(usable, 0).otherwise(1)).alias("a"), F.when(F.col(primary), 0).otherwise(1).alias("b"), F.col("path").alias("c"))
     rest = [c for c in found.columns if c != book]
     return found.groupBy(book).agg(F.min_by(F.struct(*rest), order).alias("r")).select(book, "r.*")
+
+
+def epub_cover(raw: bytes) -> bytes | None:
+    """The cover image of an EPUB: the item that metadata, properties, an id or the guide names."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        opf = _all(ElementTree.fromstring(z.read("META-INF/container.xml")), "rootfile")[0].attrib["full-path"]
+        root = ElementTree.fromstring(z.read(opf))
+        items = _all(root, "item")
+        by_id = {e.attrib.get("id"): e for e in items}
+        named = [by_id.get(e.attrib.get("content")) for e in _all(root, "meta") if e.attrib.get("name") == "cover"]
+        named += [e for e in items if "cover-image" in e.attrib.get("properties", "").split()]
+        named += [e for e in items if "cover" in (e.attrib.get("id") or "").lower() and e.attrib.get("media-type", "").startswith("image/")]
+        hrefs = [e.attrib.get("href") for e in named if e is not None] + [e.attrib.get("href") for e in _all(root, "reference") if e.attrib.get("type") == "cover"]
+        for h in filter(None, hrefs):
+            path = posixpath.normpath(posixpath.join(posixpath.dirname(opf), h))
+            if path in z.namelist() and path.lower().endswith((".jpg", ".jpeg", ".png", ".gif", ".webp")):
+                return z.read(path)
+    return None
