@@ -9,27 +9,27 @@ from quirework.llm.common import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.digest(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.digest(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_dropout.digest(table(spark, sf_dir, "documents"))
+    return sp_dropout.digest(table(spark, sf_dir, "documents", spread=True))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.digest(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.digest(table(spark, sf_dir, "documents"))
+    return line_runs.digest(table(spark, sf_dir, "documents", spread=True))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxent_lm.digest(table(spark, sf_dir, "documents"))
+    return maxent_lm.digest(table(spark, sf_dir, "documents", spread=True))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,15 +37,15 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_style.digest(table(spark, sf_dir, "pages"))
+    return site_style.digest(table(spark, sf_dir, "pages", spread=True))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_anchor.digest(table(spark, sf_dir, "documents"))
+    return pii_anchor.digest(table(spark, sf_dir, "documents", spread=True))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.digest(table(spark, sf_dir, "documents"))
+    return simhash.digest(table(spark, sf_dir, "documents", spread=True))
 
 
 QUERIES = {

@@ -57,6 +57,10 @@ CUES = frozenset(
 #: These count outside an article only: an article has a header of its own.
 OUTER_CUES = frozenset("header topbar".split())
 INNER = frozenset(["div", "section"])
+#: A class with one of these says how a page is laid out ("post with-sidebar", "no-comments"), not what an element is.
+LAYOUT = frozenset("with without has no not layout".split())
+#: Elements that hold the article whatever their class says.
+WHOLE = frozenset("html body main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -77,13 +81,15 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
 
 
-def _cued(attrs: dict[str, str], inside: bool) -> bool:
+def _cued(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    if tag in WHOLE:
+        return False
     if attrs.get("role", "").lower() in ROLES:
         return True
     for name in ("class", "id"):
-        if value := attrs.get(name):
-            found = {w.lower() for w in _WORDS.findall(value)}
-            if found & CUES or not inside and found & OUTER_CUES:
+        for token in attrs.get(name, "").split():
+            found = {w.lower() for w in _WORDS.findall(token)}
+            if not found & LAYOUT and (found & CUES or not inside and tag != "article" and found & OUTER_CUES):
                 return True
     return False
 
@@ -147,7 +153,7 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[Node, ...], str]], list[N
         above = stack[-1]
         first = attrs.get("class", "").split()[:1]
         name = tag + ("." + _DIGITS.sub("", first[0]) if first else "")
-        comment = bool(attrs) and _cued(attrs, above.main)
+        comment = bool(attrs) and _cued(tag, attrs, above.main)
         drop = above.drop or tag in DROP or comment or "hidden" in attrs or tag == "header" and not above.main
         main = above.main or tag in ("article", "main") and not drop
         node = Node(tag, f"{above.path}/{name}" if len(stack) < _DEEP else above.path, drop, main)

@@ -35,6 +35,13 @@ def test_markup(html, want):
     assert ss.main_text(html) == want
 
 
+@pytest.mark.parametrize("name", ["post with-sidebar", "no-comments", "layout-two-nav", "entry-header", "hasSidebar"])
+def test_layout_classes_are_no_cue(name):
+    want = ss.main_text(page(1))
+    assert ss.main_text(page(1).replace("<article>", f'<div class="{name if name != "entry-header" else "wrap"}"><article class="{name}">')) == want
+    assert ss.main_text(page(1).replace("<body>", f'<body class="{name} sidebar menu">')) == want
+
+
 def sites(n=30):
     rows = []
     for i in range(n):
