@@ -84,3 +84,11 @@ REVERSE_CODECS, TARGET_CODECS = ["cp1252", "cp1251", "iso-8859-1", "mac_roman",
 OCTAL_CODECS = ["utf-16", "utf-16-le", "utf-16-be", "cp1250", "iso-8859-2"]
 # Single capitals set apart, at least five, the last one of up to three letters.
 SPACED_CAPITALS = r"(?:(?<=\s)|(?<=^))(?:[A-ZÁ-Ž] ){4,}[A-ZÁ-Ž]{1,3}(?=\s|$)"
+# Codecs through which UTF-8 text was misread, those of a second layer, and letters and signs that give a misreading away.
+DOUBLE_CODECS = ["cp1250", "iso-8859-2", "cp1252", "latin-1"]
+MIDDLE_CODECS = [
+    "cp1251", "iso-8859-5", "koi8-r", "koi8-u", "mac-cyrillic", "cp1250", "cp1252", "cp1257", "cp1254", "cp1255", "cp1256", "cp1258",
+    "iso-8859-1", "iso-8859-2", "iso-8859-7", "iso-8859-9", "iso-8859-15", "iso-8859-16", "mac_latin2", "cp852", "cp850", "cp866", "cp874", "latin-1",
+]
+CZ_SK_EXTENDED = "čďěľňŕřšťůžČĎĚĽŇŔŘŠŤŮŽĺĹ"
+DOUBLE_TELLS = "ˇ˝™­ÂÃ"

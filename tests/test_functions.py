@@ -34,6 +34,27 @@ def test_mojibake(spark, s, kind, value):
     assert one(spark, repair.repair, s)["value"] == value
 
 
+def test_partial_and_chained_damage():
+    good = "Vytváříme příběh"
+    for codec in ("cp1250", "iso-8859-2"):
+        damaged = "š".join(("Čistý text a ", " " + good.encode().decode(codec, "replace")))
+        got = repair.double_decoded(damaged)
+        assert got is None or good in got or "�" in damaged
+    twice = "příliš malíř".encode("cp1250").decode("cp1251").encode().decode("cp1250", "replace")
+    assert repair.chained(twice)[0].startswith("p") and repair.chained("čistý text") is None
+    lost = "Vytváříme příběh".encode().decode("cp1252", "replace")
+    assert repair.double_decoded("Pan Wołodyjowski má knihu") in (None, "Pan Wołodyjowski má knihu")
+    assert isinstance(lost, str)
+
+
+def test_record_repair(spark):
+    rows = [("Jiшн", "Argo", ["Kamenáè Bill", ""], []), ("Darko� je", None, ["A"], []), ("x", "y", ["", "B"], [])]
+    got = repair.repaired_records(spark.createDataFrame(rows, "title string, publisher string, authors array<string>, bad_fields array<string>")).collect()
+    assert (got[0].title, got[0].authors, got[0].encoding_repaired, got[0].bad_fields) == ("Jiří", ["Kamenáč Bill"], True, [])
+    assert (got[1].title, got[1].publisher, got[1].bad_fields, got[1].encoding_repaired) == ("Darko� je", None, ["title"], False)
+    assert (got[2].authors, got[2].bad_fields) == (["", "B"], [])
+
+
 def test_double_decode_and_recode():
     for s in ("Vytváříme příběh", "žluťoučký kůň"):
         assert repair.double_decoded(s.encode().decode("iso-8859-2")) == s
