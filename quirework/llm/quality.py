@@ -68,8 +68,10 @@ def _literal(values: list[float]) -> str:
     return "cast(split('" + ",".join(f"{v:.6g}" for v in values) + "', ',') as array<double>)"
 
 
-def judge(docs: DataFrame, weight: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs with a column `quality`: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept."""
+def judge(docs: DataFrame, weight: list[float], threshold: float = THRESHOLD, text_col: str = "text", out: str = "quality") -> DataFrame:
+    """docs with a column `out`: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept."""
+    if out in docs.columns:
+        raise ValueError(f"docs has a column {out}; name another")
     buckets, col = len(weight), lambda n: f"__q_{n}"
     w, h, g, s, p = (col(n) for n in "whgsp")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -101,20 +103,20 @@ def judge(docs: DataFrame, weight: list[float], threshold: float = THRESHOLD, te
         repeat.alias("n_repeat_words"), F.col(col("l")).alias("llr"), failed.alias("base_failed"),
         (~failed & (F.col(col("l")) >= threshold)).alias("kept"),
     )
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias("quality"))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias(out))
 
 
-def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", out: str = "quality") -> DataFrame:
     """Fit the two multinomials on docs and labels, then judge docs."""
-    return judge(docs, weights(gram_counts(docs, labels, buckets, id_col, text_col), buckets), threshold, text_col)
+    return judge(docs, weights(gram_counts(docs, labels, buckets, id_col, text_col), buckets), threshold, text_col, out)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that the rules keep. The filter also reads a nondeterministic column, or the optimiser would push it below
     the rules' projections and copy each of them into it many times over."""
-    pin = "__q_pin"
-    judged = rules(docs, labels, **how).select("*", F.spark_partition_id().alias(pin))
-    return judged.where(F.col("quality.kept") & (F.col(pin) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pin, out = "__q_pin", "__q_found"
+    judged = rules(docs, labels, out=out, **how).select("*", F.spark_partition_id().alias(pin))
+    return judged.where(F.col(out)["kept"] & (F.col(pin) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.common import scratch, written
@@ -162,15 +162,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each component: that of the smallest id (of repeated rows of this id, one).
     Rows without an id can't be named as the one that stays and are all kept."""
     found = near_duplicates(docs, id_col, text_col, **how)
-    stay = found.where("id = component_id").select("id").distinct()
-    from pyspark.sql import Window
-
+    own, rank = "__stays", "__rank"
+    while {own, rank} & set(docs.columns):
+        own, rank = own + "_", rank + "_"
+    stay = found.where("id = component_id").select(F.col("id").alias(own)).distinct()
     order = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(text_col))
-    rank = "__rank"
-    while rank in docs.columns:
-        rank += "_"
-    first = docs.join(stay, F.col(id_col) == F.col("id"), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = docs.join(stay, F.col(id_col) == F.col(own), "left_semi").withColumn(rank, F.row_number().over(order))
+    return kept.where(F.col(rank) == 1).drop(rank).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quirework.llm import decontam, quality, simhash
 from quirework.llm.common import table
@@ -34,3 +36,14 @@ def test_stages_take_empty_tables(spark):
     docs = table(spark, SF, "documents").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_take_extra_columns_with_clashing_names(spark):
+    docs = table(spark, SF, "documents")
+    names = ["id", "fp", "quality", "kept", "encoded", "spans", "h", "b", "n", "item_id", "ids", "token", "component_id"]
+    odd = docs.withColumns({n: F.lit(1) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, odd, SF)
+        assert done.columns == odd.columns, name
+        assert done.count() == stage(spark, docs, SF).count()
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == docs.count()

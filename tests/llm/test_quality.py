@@ -69,3 +69,6 @@ def test_odd_tables(spark):
     assert {r.doc_id: r.kept for r in got} == {0: True, 1: False}
     d = docs(spark, [prose(1)] * 2, [7, 7]).withColumn("b", F.lit(1)).withColumn("t", F.lit(2))
     assert quality.rules(d, spark.createDataFrame([(7, 1, 0), (7, 1, 0)], LABELS)).count() == 2
+    clash = d.withColumn("quality", F.lit(1)).withColumn("kept", F.lit(False)).withColumn("doc", F.lit(2))
+    kept = quality.keep_good(clash, spark.createDataFrame([(7, 1, 0)], LABELS))
+    assert kept.columns == clash.columns and kept.count() == 2
