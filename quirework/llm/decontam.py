@@ -52,7 +52,7 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
         codes = np.where(raw > 0xFFFF, raw, codes)
     gap = codes == 32
     keep = ~gap
-    keep[1:] |= ~gap[:-1]
+    keep[1:] |= ~gap[:-1] & (codes[:-1] != 0)  # a text's first blank goes, wherever in a block it begins
     at = np.flatnonzero(keep)
     return codes[at], at
 
@@ -148,16 +148,21 @@ class Items:
             # positions are moved up by the longest item, so that diagonals are never negative
             band = (np.repeat(at, n) - self.pos[entry] + self.longest) >> self.shift
             bands = (len(codes) + 2 * self.longest >> self.shift) + 2
-            key, hits = np.unique(item.astype(np.int64) * bands + band, return_counts=True)
+            # hits of one band count together only within one text of the block
+            cuts = np.flatnonzero(codes == 0)
+            inside = np.repeat(np.searchsorted(cuts, at), n)
+            key, hits = np.unique((item.astype(np.int64) * (len(cuts) + 1) + inside) * bands + band, return_counts=True)
             nxt = np.zeros_like(hits)
             follows = np.flatnonzero(key[1:] == key[:-1] + 1)
             nxt[follows] = hits[follows + 1]
             # a band is two neighbouring halves; a half without hits before one with hits adds nothing to it alone
-            for x in np.flatnonzero(hits + nxt >= self.need_of[key // bands]):
+            for x in np.flatnonzero(hits + nxt >= self.need_of[key // (bands * (len(cuts) + 1))]):
                 i, b = divmod(int(key[x]), bands)
+                i, part = divmod(i, len(cuts) + 1)
+                begin, stop = int(cuts[part - 1]) + 1 if part else 0, int(cuts[part]) if part < len(cuts) else len(codes)
                 lo = (b << self.shift) - self.longest
-                if got := self._verify(i, codes, lo, lo + (2 << self.shift) - 1):
-                    found.append(got)
+                if got := self._verify(i, codes[begin:stop], lo - begin, lo - begin + (2 << self.shift) - 1):
+                    found.append((got[0], got[1] + begin, got[2] + begin, got[3]))
         for i, c in self.short:
             found += [(i, s, s + len(c), 0) for s in _occurrences(codes, c)]
         return _apart(found)

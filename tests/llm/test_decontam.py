@@ -86,3 +86,14 @@ def test_odd_tables(spark):
     both = spark.createDataFrame([(1, sentence(1)), (1, sentence(1))], ITEM)
     assert decontam.digest(d, both).count() == 2
     assert decontam.decontaminate(d, both).columns == d.columns and decontam.decontaminate(d, both).count() == 0
+
+
+def test_joined_texts_do_not_lend_each_other_characters():
+    item = sentence(3)
+    first, rest = item.split(" ", 1)
+    items = Items([(1, item)])
+    for cut in range(1, items.k[0] + 1):
+        texts = ["clean " + sentence(8) + " " + first, item[cut:] + " " + sentence(9), sentence(10)]
+        got = find_spans(texts, items)
+        assert got == [find_spans([t], items)[0] for t in texts]
+        assert not got[0] and got[1] and not got[2]
