@@ -3,7 +3,7 @@
 Texts are folded to letters and digits in lower case with one space between runs of others. An item of m folded characters may
 occur with up to k = floor(rate * m) edits; then, by the q-gram lemma, item and occurrence share at least T = m + 1 - q(k + 1)
 q-grams, all on diagonals (text position less item position) at most k apart. Hits are tallied in diagonal bands of
-width 2w that overlap by w >= k, so some band holds all shared q-grams; bands with T hits or more are kept and verified
+width 2w that overlap by w >= k (w by item), so some band holds all shared q-grams; bands with T hits or more are kept and verified
 by banded alignment, which gives edits, start and end. If T would be less than 1, k is lowered until it is 1
 (short items), never T; items of fewer than q characters must occur as whole words exactly.
 
@@ -119,7 +119,8 @@ class Items:
             self.k.append(k)
             self.need.append(m + 1 - q * (k + 1))
         self.longest = max([len(c) + k for c, k in zip(self.codes, self.k, strict=True)] + [len(c) + 2 for _, c in self.short] + [0])
-        self.shift = max(1, int(max(self.k, default=1))).bit_length()
+        # halves of bands by item: two occurrences of an item that do not overlap are never in one band
+        self.shift = np.array([max(1, k).bit_length() for k in self.k], np.int64)
         if self.ids:
             n = [len(c) - q + 1 for c in self.codes]
             h = np.concatenate([_grams(c, q) for c in self.codes])
@@ -146,8 +147,8 @@ class Items:
             entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[k] - ends + n, n)
             item = self.item[entry]
             # positions are moved up by the longest item, so that diagonals are never negative
-            band = (np.repeat(at, n) - self.pos[entry] + self.longest) >> self.shift
-            bands = (len(codes) + 2 * self.longest >> self.shift) + 2
+            band = (np.repeat(at, n) - self.pos[entry] + self.longest) >> self.shift[item]
+            bands = (len(codes) + 2 * self.longest >> int(self.shift.min())) + 2
             # hits of one band count together only within one text of the block
             cuts = np.flatnonzero(codes == 0)
             inside = np.repeat(np.searchsorted(cuts, at), n)
@@ -160,8 +161,8 @@ class Items:
                 i, b = divmod(int(key[x]), bands)
                 i, part = divmod(i, len(cuts) + 1)
                 begin, stop = int(cuts[part - 1]) + 1 if part else 0, int(cuts[part]) if part < len(cuts) else len(codes)
-                lo = (b << self.shift) - self.longest
-                if got := self._verify(i, codes[begin:stop], lo - begin, lo - begin + (2 << self.shift) - 1):
+                lo, half = (b << int(self.shift[i])) - self.longest, 1 << int(self.shift[i])
+                if got := self._verify(i, codes[begin:stop], lo - begin, lo - begin + 2 * half - 1):
                     found.append((got[0], got[1] + begin, got[2] + begin, got[3]))
         for i, c in self.short:
             found += [(i, s, s + len(c), 0) for s in _occurrences(codes, c)]
@@ -209,6 +210,7 @@ def find_spans(texts: list[str | None], items: Items, block: int = BLOCK) -> lis
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     # twice the folded length covers an occurrence with its dropped characters, unless these are many
     lap = 4 * items.longest + 64
+    block = max(block, 2 * lap)
     part: list[tuple[int, int, str]] = []
     size = 0
 

@@ -97,3 +97,18 @@ def test_joined_texts_do_not_lend_each_other_characters():
         got = find_spans(texts, items)
         assert got == [find_spans([t], items)[0] for t in texts]
         assert not got[0] and got[1] and not got[2]
+
+
+def test_every_occurrence_beside_a_long_item():
+    short = sentence(1, 12)[:80]
+    items = Items([(1, short), (2, sentence(2, 400))])
+    assert items.longest > 1500
+    text = " ".join([short] * 9)
+    assert [s[1:3] for s in find_spans([text], items)[0]] == [(x * (len(short) + 1), x * (len(short) + 1) + len(short)) for x in range(9)]
+
+
+def test_item_longer_than_a_block():
+    item = sentence(5, 600)
+    items = Items([(1, item)])
+    text = sentence(6, 900) + " " + item + " " + sentence(7, 900)
+    assert [s[0] for s in find_spans([text], items, block=1000)[0]] == [1]
