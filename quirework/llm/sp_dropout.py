@@ -3,13 +3,14 @@
 The vocabulary is a SentencePiece BPE model file (a path that every executor has; nothing is trained). A text is cut into chunks, a run
 of blanks and what follows it; no piece reaches over a chunk's end. In a chunk the agenda holds the candidate merges of neighbouring
 symbols by score, then from the left. A candidate that comes up is skipped, for good, if the keyed hash of (seed, variant, chunk, its
-start, middle and end) falls below the dropout; else it is applied and its new neighbours become candidates. As the
-hash depends on nothing else, the result is the same on every executor and on every retry. The variant is
-taken from the hash of the whole text and the chunk's place in it, so that a word is cut in up to `variants` ways
-in a corpus; another seed (an epoch) gives others. With dropout 0 the pieces are those of the library.
+start, middle and end) falls below the dropout; else it is applied and its new neighbours become candidates. The variant is
+taken from the hash of the whole text and the chunk's place in it, so that every occurrence of a word draws its own
+segmentation; as the hash depends on nothing else, the result is the same on every executor and on every retry. Another
+seed (an epoch) gives others. With dropout 0 the pieces are those of the library.
 
-Chunks of up to WIDE symbols are merged together in numpy, one merge for each of them a step; longer ones go through a heap. A worker
-remembers at most REMEMBER chunks and works on blocks of about BLOCK characters, so memory is bounded whatever the text.
+Chunks of up to WIDE symbols are merged together in numpy, one merge for each of them a step; longer ones go through a heap. Of a
+chunk a worker remembers the pieces and merges without dropout: they are those of an occurrence unless its draw skips one of these
+merges, and only then it is merged anew. A worker remembers at most REMEMBER chunks and works on blocks of about BLOCK characters, so memory is bounded whatever the text.
 
 Characters that the vocabulary lacks become byte pieces, and so does a literal U+2581, which stands for the blank inside pieces; hence
 decode(encode(text)) is text for every text. A null text has null pieces, an empty one none; repeated rows give equal results;
@@ -28,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-WIDE, BLOCK, REMEMBER = 48, 1 << 21, 300_000
+DROPOUT, SEED = 0.1, 17
+WIDE, BLOCK, REMEMBER, ANEW = 48, 1 << 21, 300_000, 1 << 15
 BLANK = "▁"
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _MASK = (1 << 64) - 1
@@ -146,8 +147,8 @@ class _Index(dict):
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.vocab, self.seed, self.variants = Vocabulary(model), seed, max(1, variants) if dropout > 0 else 1
+    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED):
+        self.vocab, self.seed = Vocabulary(model), seed
         self.limit = min(1 << 32, max(0, round(dropout * (1 << 32))))
         self.char = np.full(0x110000, -1, np.int32)
         for p, i in self.vocab.ids.items():
@@ -158,15 +159,21 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.index = [_Index() for _ in range(self.variants)]
-        self.done = [0] * self.variants
-        self.flat = [np.zeros(0, np.int32)] * self.variants
-        self.start = [np.zeros(1, np.int64)] * self.variants
+        self.index, self.names = _Index(), []
+        self.hashes, self.wide = np.zeros(0, np.uint64), np.zeros(0, bool)
+        # pieces and merges of the chunks in a row, and where each chunk's begin
+        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.steps, self.first = np.zeros((0, 3), np.int16), np.zeros(1, np.int64)
 
     def _pieces(self, chunks: list[str], variant: int) -> list[np.ndarray]:
-        """Piece ids of each chunk; a chunk starts with its blanks as ' '."""
+        """Piece ids of each chunk, drawn by a hash of the chunk and the variant."""
+        seed = self.seed * 1_000_003 + variant
+        keys = np.fromiter((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), seed) for c in chunks), np.uint64, len(chunks))
+        return self._cut(chunks, keys, self.limit)
+
+    def _cut(self, chunks: list[str], keys: np.ndarray, limit: int, log: list | None = None) -> list[np.ndarray]:
+        """Piece ids of each chunk by its key; a chunk starts with its blanks as ' '. log: takes the merges (row, start, middle, end)."""
         # a chunk: blanks, then no more blanks; a literal U+2581 is an unknown character
-        keys = np.fromiter((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant) for c in chunks), np.uint64, len(chunks))
         lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.char[codes]
@@ -177,10 +184,10 @@ class Codec:
             low = {8: 0, 12: 8, 18: 12, 28: 18, WIDE: 28}[wide]
             rows = np.flatnonzero((lens > low) & (lens <= wide))
             if len(rows):
-                self._merge(rows, symbols, codes, starts, lens, keys, wide, out)
+                self._merge(rows, symbols, codes, starts, lens, keys, wide, out, limit, log)
         for r in np.flatnonzero(lens > WIDE):
             s, n = int(starts[r]), int(lens[r])
-            got = agenda(symbols[s : s + n].tolist(), int(keys[r]), self.limit, self.vocab)
+            got = agenda(symbols[s : s + n].tolist(), int(keys[r]), limit, self.vocab)
             out[r] = self._fallback(np.array([i for _, i in got], np.int32), codes[s + np.array([a for a, _ in got])])
         return out
 
@@ -193,7 +200,7 @@ class Codec:
             flat += [i] if i >= 0 else [self.vocab.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")]
         return np.array(flat, np.int32)
 
-    def _merge(self, rows: np.ndarray, symbols: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, keys: np.ndarray, wide: int, out: list[np.ndarray]) -> None:
+    def _merge(self, rows: np.ndarray, symbols: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, keys: np.ndarray, wide: int, out: list[np.ndarray], limit: int, log: list | None) -> None:
         """The agenda of many chunks at once: each step applies or skips the best candidate of every chunk."""
         v, k = self.vocab, np.arange(len(rows))
         n, key = lens[rows], keys[rows]
@@ -205,9 +212,9 @@ class Codec:
         alive = inside.copy()
         rank = np.full((len(rows), wide), _NONE, np.int32)
         rank[:, :-1] = v.merged(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(len(rows), wide - 1)
-        if self.limit:
+        if limit:
             a, j = np.nonzero(rank < _NONE)
-            rank[a, j] = np.where(_skipped(key[a], j, j + 1, j + 2, self.limit), _NONE, rank[a, j])
+            rank[a, j] = np.where(_skipped(key[a], j, j + 1, j + 2, limit), _NONE, rank[a, j])
         live = k
         while len(live):
             j = rank[live].argmin(axis=1)
@@ -218,6 +225,8 @@ class Codec:
                 break
             mid = nxt[live, j].astype(np.int64)
             end = nxt[live, mid].astype(np.int64)
+            if log is not None:
+                log.append(np.stack([rows[live], j, mid, end], axis=1))
             sym[live, j] = v.by_rank[best]
             alive[live, mid] = False
             rank[live, mid] = _NONE
@@ -225,10 +234,10 @@ class Codec:
             has = end < n[live]
             prv[live[has], end[has]] = j[has]
             rank[live, j] = _NONE
-            self._candidate(live[has], j[has], end[has], sym, nxt, rank, key)
+            self._candidate(live[has], j[has], end[has], sym, nxt, rank, key, limit)
             left = prv[live, j].astype(np.int64)
             has = left >= 0
-            self._candidate(live[has], left[has], j[has], sym, nxt, rank, key)
+            self._candidate(live[has], left[has], j[has], sym, nxt, rank, key, limit)
         r, c = np.nonzero(alive)
         ids, cut = sym[r, c], np.searchsorted(r, k)
         where = starts[rows][r] + c
@@ -239,10 +248,10 @@ class Codec:
             got = ids[cut[x] : cut[x + 1]]
             out[row] = self._fallback(got, codes[where[cut[x] : cut[x + 1]]]) if strange[x] else got
 
-    def _candidate(self, live: np.ndarray, i: np.ndarray, j: np.ndarray, sym: np.ndarray, nxt: np.ndarray, rank: np.ndarray, key: np.ndarray) -> None:
+    def _candidate(self, live: np.ndarray, i: np.ndarray, j: np.ndarray, sym: np.ndarray, nxt: np.ndarray, rank: np.ndarray, key: np.ndarray, limit: int) -> None:
         r = self.vocab.merged(sym[live, i], sym[live, j])
-        if self.limit and len(live):
-            r = np.where(_skipped(key[live], i, j, nxt[live, j].astype(np.int64), self.limit), _NONE, r)
+        if limit and len(live):
+            r = np.where(_skipped(key[live], i, j, nxt[live, j].astype(np.int64), limit), _NONE, r)
         rank[live, i] = r
 
     def _chunks(self, text: str) -> list[str]:
@@ -266,40 +275,61 @@ class Codec:
             out.append(self._block(part))
         return pa.concat_arrays(out)
 
+    def _learn(self) -> None:
+        """Pieces and merges without dropout of the chunks that the index has and the tables lack."""
+        new = list(self.index)[len(self.names) :]
+        if not new:
+            return
+        hashes = np.fromiter((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), self.seed) for c in new), np.uint64, len(new))
+        # with dropout, chunks that go through a heap are cut anew at every occurrence
+        wide = np.fromiter((len(c) > WIDE for c in new), bool, len(new)) & (self.limit > 0)
+        log: list[np.ndarray] = []
+        got = self._cut(["" if w else c for c, w in zip(new, wide.tolist(), strict=True)], hashes, 0, log)
+        steps = np.concatenate(log) if log else np.zeros((0, 4), np.int64)
+        steps = steps[np.argsort(steps[:, 0], kind="stable")]
+        grow = lambda start, n: np.concatenate([start, start[-1] + np.cumsum(n)])
+        self.start = grow(self.start, np.fromiter(map(len, got), np.int64, len(got)))
+        self.first = grow(self.first, np.bincount(steps[:, 0], minlength=len(new)))
+        self.flat, self.steps = np.concatenate([self.flat, *got]), np.concatenate([self.steps, steps[:, 1:].astype(np.int16)])
+        self.hashes, self.wide = np.concatenate([self.hashes, hashes]), np.concatenate([self.wide, wide])
+        self.names += new
+
+    def _drawn(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which occurrences (chunk, key) skip a merge that the chunk has without dropout."""
+        n = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(n)
+        step = self.steps[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - ends + n, n)].astype(np.int64)
+        hit = np.flatnonzero(_skipped(np.repeat(keys, n), step[:, 0], step[:, 1], step[:, 2], self.limit))
+        anew = self.wide[at]
+        anew[np.searchsorted(ends, hit, "right")] = True
+        return np.flatnonzero(anew)
+
     def _block(self, texts: list[str | None]) -> pa.Array:
-        if sum(map(len, self.index)) > REMEMBER:
+        if len(self.index) > REMEMBER:
             self.forget()
-        many, words = self.variants, []
+        words, keys = [], []
         for t in texts:
             chunks = self._chunks(t) if t else []
-            first = xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), self.seed) % many
-            at = np.zeros(len(chunks), np.int64)
-            for x in range(many):
-                at[x::many] = list(map(self.index[(first + x) % many].__getitem__, chunks[x::many]))
-            words.append((first, at))
-        for variant, known in enumerate(self.index):
-            if len(known) > (old := self.done[variant]):
-                got = self._pieces(list(known)[old:], variant)
-                self.flat[variant] = np.concatenate([self.flat[variant], *got])
-                more = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-                self.start[variant] = np.concatenate([self.start[variant], self.start[variant][-1] + more])
-                self.done[variant] = len(known)
-        shift = np.cumsum([0] + [len(f) for f in self.flat])
-        flat = np.concatenate(self.flat)
-        begin, length, sizes = [], [], []
-        for first, at in words:
-            b, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            for x in range(many):
-                s, here = self.start[(first + x) % many], at[x::many]
-                b[x::many] = s[here] + shift[(first + x) % many]
-                n[x::many] = s[here + 1] - s[here]
-            begin.append(b)
-            length.append(n)
-            sizes.append(int(n.sum()))
-        b, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, length))
-        ends = np.cumsum(n)
+            words.append(np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks)))
+            own = xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), self.seed)
+            with np.errstate(over="ignore"):
+                keys.append((np.arange(len(chunks), dtype=np.uint64) + np.uint64(own)) * np.uint64(_M1))
+        self._learn()
+        at = np.concatenate(words) if words else np.zeros(0, np.int64)
+        b, n, flat = self.start[at], self.start[at + 1] - self.start[at], [self.flat]
+        if self.limit:
+            key = self.hashes[at] ^ np.concatenate([np.zeros(0, np.uint64), *keys])
+            base = len(self.flat)
+            for lo in range(0, len(at), ANEW):
+                rows = lo + self._drawn(at[lo : lo + ANEW], key[lo : lo + ANEW])
+                got = self._cut([self.names[i] for i in at[rows].tolist()], key[rows], self.limit)
+                n[rows] = np.fromiter(map(len, got), np.int64, len(got))
+                b[rows] = base + np.cumsum(n[rows]) - n[rows]
+                base += int(n[rows].sum())
+                flat += got
+        flat, ends = np.concatenate(flat), np.cumsum(n)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(b - ends + n, n)]
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        offsets = np.append(0, ends)[np.cumsum([0] + [len(w) for w in words])].astype(np.int32)
         nulls = pa.array([t is None for t in texts], pa.bool_())
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=nulls) if texts else pa.array([], pa.list_(pa.int32()))
 
@@ -310,18 +340,18 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> Codec:
-    key = (model, dropout, seed, variants)
+def codec(model: str, dropout: float = DROPOUT, seed: int = SEED) -> Codec:
+    key = (model, dropout, seed)
     if key not in _CODECS:
         _CODECS[key] = Codec(*key)
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, text_col: str = "text", out: str = "encoded") -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, text_col: str = "text", out: str = "encoded") -> DataFrame:
     """docs with a struct column of `ids` (array<int>) and `lossless` (decoding gives the text again)."""
     if out in docs.columns:
         raise ValueError(f"docs has a column {out}; name another")
-    args = (model or default_model(), dropout, seed, variants)
+    args = (model or default_model(), dropout, seed)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(*args)

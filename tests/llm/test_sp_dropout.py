@@ -75,3 +75,26 @@ def test_query(spark):
     assert enc.columns == [*twice.columns, "encoded"]
     back = sp_dropout.decode(enc.select(F.col("encoded.ids").alias("p")), "p")
     assert [r.decoded for r in back.collect()] == ["same text here"] * 2
+
+
+def test_every_occurrence_draws_its_own_segmentation(dropping):
+    import numpy as np
+    import xxhash
+
+    text = " ".join(["internationalization"] * 400)
+    ids = dropping.encode([text]).to_pylist()[0]
+    words, ways = [], set()
+    for i in ids:
+        piece = dropping.vocab.raw[i]
+        if piece.startswith(b" "):
+            words.append([])
+        words[-1].append(i)
+    ways = {tuple(w) for w in words}
+    assert len(words) == 400 and len(ways) > 20
+    chunk = " internationalization"
+    symbols = [dropping.blank if c == " " else int(dropping.char[ord(c)]) for c in chunk]
+    own, mask = xxhash.xxh64_intdigest(text.encode(), dropping.seed), (1 << 64) - 1
+    for place, got in enumerate(words):
+        key = xxhash.xxh64_intdigest(chunk.encode(), dropping.seed) ^ ((place + own) * sp_dropout._M1 & mask)
+        assert got == [i for _, i in agenda(symbols, key, dropping.limit, dropping.vocab)]
+    assert np.isclose(dropping.limit / 2**32, 0.3)
