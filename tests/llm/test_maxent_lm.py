@@ -83,3 +83,12 @@ def test_odd_tables(spark):
     assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in got)
     d = docs(spark, ["a b c"] * 3, [None, 4, 4]).withColumn("uid", F.lit(1)).withColumn("rare", F.lit("x"))
     assert lm.digest(d).count() == 3
+
+
+def test_words_up_to_rank_1024_are_predicted_from_history():
+    model = lm.Model([(f"w{i}", 5000 - i) for i in range(1500)], 10**7, 1500, [10] * lm.TAIL_CLASSES, [1] * lm.TAIL_CLASSES)
+    at = np.array([700, 700])
+    feats = np.array([[1, 2, 3], [4, 5, 6]])
+    model.ww[model.within(feats, model.cls[at])[0], 700 % lm._SIZE] += 1
+    p = model.predict(at, model.cls[at], feats)
+    assert (model.cls[:1024] < lm.HEAD_CLASSES).all() and p[0] > p[1]
