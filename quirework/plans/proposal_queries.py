@@ -117,7 +117,7 @@ def author_mining(spark, sf_dir):
 
 @query()
 def partial_ratio(spark, sf_dir):
-    b = books(spark, sf_dir).select("id", text.normalise(F.col("base")).alias("a"), text.normalise(F.substring("text", 41, 400)).alias("b"))
+    b = books(spark, sf_dir).select("id", text.normalise(F.col("base")).alias("a"), text.normalise(F.col("text")).alias("b"))
     return b.select("id", F.round(fuzzy.partial(F.col("a"), F.col("b")), 6).alias("score"))
 
 
