@@ -57,6 +57,18 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), SPACE_RUN), "")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def join_small(left: DataFrame, small: DataFrame, on, how: str, rows: int, bound: int) -> DataFrame:
     """Join that broadcasts `small` only if its counted `rows` are within `bound`; else a merge join."""
     return left.join(F.broadcast(small) if rows <= bound else small.hint("merge"), on, how)

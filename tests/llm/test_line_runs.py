@@ -69,3 +69,43 @@ def test_odd_tables(spark):
     assert got.columns[: len(clash.columns)] == clash.columns and got.count() == 12
     with pytest.raises(ValueError):
         line_runs.dedup(d.withColumn("kept", F.lit(1))).count()
+
+
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (4, 2), (7, 2), (6, 3)])
+def test_settled_hashes_leave_the_batches(spark, batches, fanout):
+    texts = sample()
+    d = docs(spark, texts)
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_runs.dedup(d, batches=batches, fanout=fanout).collect()}
+    assert [got[i] for i in range(len(texts))] == [b[:2] for b in brute(texts)]
+
+
+def test_batches_are_merge_anti_joined_bucket_by_bucket(spark):
+    runs = line_runs.LineRuns(spark, fanout=2, min_docs=3)
+    for i in range(2):
+        runs.add(docs(spark, ["often\nsometimes", "often", f"b{i}"]))
+    assert [len(x) for x in runs.settled] == [1]
+    runs.add(docs(spark, ["often\nnew", "sometimes"]))
+    last = runs._runs([[runs.levels[0][-1]]])
+    assert last.count() == 2  # 'often' is settled and not counted again
+    plan = runs._unsettled(last)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    plan = runs._sums(runs._runs(runs.levels))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert runs.common(3).distinct().count() == 2
+    with pytest.raises(ValueError):
+        runs.common(4)
+
+
+def test_linear_in_the_lines_of_a_text(spark):
+    texts = ["\n".join(f"line {i} {'a' if i % 2 else t}" for i in range(60_000)) for t in range(10)]
+    got = line_runs.digest(docs(spark, texts)).collect()
+    assert [(r.n_lines, r.n_dropped) for r in got] == [(60_000, 30_000)] * 10
+
+
+def test_own_columns_do_not_clash(spark):
+    d = docs(spark, ["x\ny", "x", "z"] * 10)
+    for name in ("__line_id", "__LINE_text", "__line_hits", "__line_all", "__line_kept", "pos", "h", "run", "a.b"):
+        d = d.withColumn(name, F.lit(name))
+    got = line_runs.dedup(d)
+    assert got.columns[: len(d.columns)] == d.columns
+    assert {(r.kept, r["__line_id"], r["a.b"]) for r in got.collect()} == {("", "__line_id", "a.b")}
