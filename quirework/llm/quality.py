@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import words
+from quirework.llm.common import unused, words
 
 BUCKETS = 1 << 17
 TRUSTED_ROWS = 20_000
@@ -72,36 +72,40 @@ def judge(docs: DataFrame, weight: list[float], threshold: float = THRESHOLD, te
     """docs with a column `out`: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept."""
     if out in docs.columns:
         raise ValueError(f"docs has a column {out}; name another")
-    buckets, col = len(weight), lambda n: f"__q_{n}"
-    w, h, g, s, p = (col(n) for n in "whgsp")
+    buckets = len(weight)
+    w, h, g, s, c, p, rep, llr, dup = unused([*docs.columns, out], *(f"__q_{n}" for n in ("words", "hash", "grams", "sorted", "maybe", "twice", "repeat", "llr", "dup")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumn(w, words(F.col(text_col)))
     d = d.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     windows = f"transform(sequence(0, greatest(size({h}) - 5, 0)), i -> xxhash64(get({h},i), get({h},i+1), get({h},i+2), get({h},i+3), get({h},i+4)))"
     d = d.withColumn(g, F.expr(f"if(size({h}) < 5, cast(array() as array<bigint>), {windows})"))
-    # windows found twice: equal neighbours in the sorted array of (hash, position), packed into one long each
+    # windows found twice: equal neighbours in the sorted array of (hash, position). A first sort packs both into one long each, which costs low bits of the
+    # hash; windows that are equal in the rest are the only ones that can be equal at all, and only these are sorted by all 64 bits
     bits = f"length(bin(size({g})))"
     packed = f"sort_array(transform({g}, (x, i) -> shiftleft(x, {bits}) | cast(i as bigint)))"
     d = d.withColumn(s, F.expr(f"if(size(array_distinct({g})) = size({g}), cast(array() as array<bigint>), {packed})"))
     high = lambda x: f"shiftrightunsigned({x}, {bits})"
     twice = f"coalesce({high('x')} = {high(f'get({s}, i + 1)')}, false) or coalesce({high('x')} = {high(f'get({s}, i - 1)')}, false)"
     at = f"cast(x & (shiftleft(1L, {bits}) - 1L) as int)"
-    d = d.withColumn(p, F.expr(f"sort_array(array_compact(transform({s}, (x, i) -> if({twice}, {at}, null))))"))
+    d = d.withColumn(c, F.expr(f"array_compact(transform({s}, (x, i) -> if({twice}, {at}, null)))"))
+    d = d.withColumn(c, F.expr(f"sort_array(transform({c}, i -> struct(get({g}, i) as h, i as i)))"))
+    same = f"coalesce(x.h = get({c}, j + 1).h, false) or coalesce(x.h = get({c}, j - 1).h, false)"
+    d = d.withColumn(p, F.expr(f"sort_array(array_compact(transform({c}, (x, j) -> if({same}, x.i, null))))"))
     covered = f"aggregate(transform({p}, (x, i) -> least(5, coalesce(get({p}, i + 1) - x, 5))), 0L, (a, x) -> a + x)"
-    d = d.withColumn(col("r"), F.expr(covered))
+    d = d.withColumn(rep, F.expr(covered))
     score = F.aggregate(_grams(h, buckets), F.lit(0.0), lambda a, b: a + F.get(F.expr(_literal(weight)), b))
     n = F.greatest(2 * F.size(h) - 1, F.lit(1))
-    d = d.withColumn(col("l"), F.round(score / n, 9))
+    d = d.withColumn(llr, F.round(score / n, 9))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    d = d.withColumn(col("d"), lines)
-    n_words, repeat = F.size(w).cast("long"), F.col(col("r"))
+    d = d.withColumn(dup, lines)
+    n_words, repeat = F.size(w).cast("long"), F.col(rep)
     failed = (n_words < 10) | (100 * repeat > 20 * n_words)
     found = F.struct(
         n_words.alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size(col("d")) - F.size(F.array_distinct(col("d")))).cast("long").alias("n_dup_lines"),
-        repeat.alias("n_repeat_words"), F.col(col("l")).alias("llr"), failed.alias("base_failed"),
-        (~failed & (F.col(col("l")) >= threshold)).alias("kept"),
+        (F.size(dup) - F.size(F.array_distinct(dup))).cast("long").alias("n_dup_lines"),
+        repeat.alias("n_repeat_words"), F.col(llr).alias("llr"), failed.alias("base_failed"),
+        (~failed & (F.col(llr) >= threshold)).alias("kept"),
     )
     return d.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias(out))
 
@@ -114,7 +118,7 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that the rules keep. The filter also reads a nondeterministic column, or the optimiser would push it below
     the rules' projections and copy each of them into it many times over."""
-    pin, out = "__q_pin", "__q_found"
+    pin, out = unused(docs.columns, "__q_pin", "__q_found")
     judged = rules(docs, labels, out=out, **how).select("*", F.spark_partition_id().alias(pin))
     return judged.where(F.col(out)["kept"] & (F.col(pin) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 

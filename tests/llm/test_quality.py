@@ -72,3 +72,20 @@ def test_odd_tables(spark):
     clash = d.withColumn("quality", F.lit(1)).withColumn("kept", F.lit(False)).withColumn("doc", F.lit(2))
     kept = quality.keep_good(clash, spark.createDataFrame([(7, 1, 0)], LABELS))
     assert kept.columns == clash.columns and kept.count() == 2
+
+
+def test_windows_of_long_texts_by_all_bits(spark):
+    a = prose(5, 3000, 30)
+    texts = [a, a + " " + prose(6, 60_000, 10**6) + " " + prose(7, 40), prose(8, 50_000, 20)]
+    labels = spark.createDataFrame([], LABELS)
+    got = {r.doc_id: r.n_repeat_words for r in quality.digest(docs(spark, texts), labels).collect()}
+    assert [got[i] for i in range(3)] == [brute(t)[4] for t in texts]
+
+
+def test_own_columns_do_not_clash(spark):
+    d = docs(spark, [prose(1)])
+    for name in ("__q_h", "__q_words", "__Q_hash", "__q_llr", "__q_pin", "__q_found"):
+        d = d.withColumn(name, F.lit(name))
+    labels = spark.createDataFrame([(0, 1, 0)], LABELS)
+    assert quality.rules(d, labels).first()["__q_h"] == "__q_h"
+    assert quality.keep_good(d, labels).collect() == d.collect()
