@@ -75,7 +75,8 @@ class LineRuns:
 
     def _append(self, rows: DataFrame) -> None:
         """Rows (run, h1, h2, n), already dealt to the buckets, as runs."""
-        w = rows.select("h1", "h2", "n", "run").write.mode("append").option("path", self.path).option("compression", "snappy")
+        # hashes don't compress, and a codec's native buffers for hundreds of small files outgrow an executor
+        w = rows.select("h1", "h2", "n", "run").write.mode("append").option("path", self.path).option("compression", "none")
         w.partitionBy("run").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(self.name)
 
     def _runs(self, levels: list[list[int]]) -> DataFrame:
