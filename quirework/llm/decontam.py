@@ -7,10 +7,12 @@ width 2w that overlap by w >= k (w by item), so some band holds all shared q-gra
 by banded alignment, which gives edits, start and end. If T would be less than 1, k is lowered until it is 1
 (short items), never T; items of fewer than q characters must occur as whole words exactly.
 
-Documents are not shuffled: each task folds its rows in blocks of about BLOCK characters; longer texts are cut into
-blocks that overlap by the longest occurrence, so a text of any length is searched whole in bounded memory. The
+Documents are not shuffled: each task folds its rows in blocks of about BLOCK characters; a longer text is folded piece by piece, each
+searched together with the last folded characters of those before it, enough for two of the longest occurrence, however many characters were
+dropped between them. So a text of any length is searched whole in bounded memory. The
 items are the stated query set: their index goes to the tasks if it has at most ITEM_CHARS characters, else the items are dealt into
-blocks of that size by hash of their id, one pass over the documents for each; no item is left out.
+blocks of that size by hash of their id, with one written pass over the documents for each, so that the driver and the tasks hold one
+block at a time; no item is left out.
 
 Odd input: null or empty texts and items match nothing; repeated items or ids each give their rows; a repeated row gives its own spans;
 overlapping occurrences of one item are one span, that of fewest edits (ties: the first); extra columns are kept; without
@@ -19,6 +21,7 @@ items all documents stay.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.llm.common import unused, written
+
 Q, RATE = 8, 0.1
 BLOCK = 1 << 20
 ITEM_CHARS = 4_000_000
@@ -49,7 +54,9 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = _fold_table()[np.minimum(raw, 0xFFFF)]
     if len(raw) and raw.max() > 0xFFFF:
-        codes = np.where(raw > 0xFFFF, raw, codes)
+        high = np.flatnonzero(raw > 0xFFFF)
+        found, which = np.unique(raw[high], return_inverse=True)
+        codes[high] = np.array([ord(c.lower()[0]) if c.isalnum() else 32 for c in map(chr, found.tolist())], np.uint32)[which]
     gap = codes == 32
     keep = ~gap
     keep[1:] |= ~gap[:-1] & (codes[:-1] != 0)  # a text's first blank goes, wherever in a block it begins
@@ -198,43 +205,58 @@ def _occurrences(codes: np.ndarray, item: np.ndarray) -> list[int]:
 
 def _apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of overlapping spans of one item, that of fewest edits, then the first."""
-    kept: list[tuple[int, int, int, int]] = []
-    for f in sorted(set(found), key=lambda f: (f[0], f[3], f[1], f[2])):
-        if not any(g[0] == f[0] and g[1] < f[2] and f[1] < g[2] for g in kept if g[0] == f[0]):
-            kept.append(f)
-    return sorted(kept, key=lambda f: (f[1], f[2], f[0]))
+    kept: dict[int, list[tuple[int, int, int]]] = {}
+    for item, start, end, edits in sorted(set(found), key=lambda f: (f[0], f[3], f[1], f[2])):
+        own = kept.setdefault(item, [])  # these are apart, so only the neighbours can overlap
+        at = bisect_left(own, (start, end, edits))
+        if not (at and own[at - 1][1] > start or at < len(own) and own[at][0] < end):
+            own.insert(at, (start, end, edits))
+    return sorted(((i, *x) for i, own in kept.items() for x in own), key=lambda f: (f[1], f[2], f[0]))
+
+
+def _pieces(text: str, items: Items, block: int) -> list[tuple[int, int, int, int]]:
+    """The spans of one long text."""
+    found, reach = [], 2 * items.longest + 2
+    codes, at = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    for lo in range(0, len(text), block):
+        before = min(lo, 1)  # the character before a piece says whether its first blank stays
+        c, a = fold(text[lo - before : lo + block])
+        own = a >= before
+        codes, at = np.concatenate([codes[-reach:], c[own]]), np.concatenate([at[-reach:], a[own] + lo - before])
+        last = lo + block >= len(text)
+        for item, s, e, edits in items.search(codes):
+            # what touches a cut end is seen whole with the piece before or the one after
+            if (s > 0 or not lo) and (e < len(codes) or last):
+                found.append((item, int(at[s]), int(at[e - 1]) + 1, edits))
+    return found
 
 
 def find_spans(texts: list[str | None], items: Items, block: int = BLOCK) -> list[list[tuple[int, int, int, int]]]:
     """For each text the (item id, start, end, edits), offsets in code points of the text."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    # twice the folded length covers an occurrence with its dropped characters, unless these are many
-    lap = 4 * items.longest + 64
-    block = max(block, 2 * lap)
-    part: list[tuple[int, int, str]] = []
+    part: list[tuple[int, str]] = []
     size = 0
 
     def flush() -> None:
         nonlocal size
-        joined = "\0".join(s for _, _, s in part)
-        starts = np.cumsum([0] + [len(s) + 1 for _, _, s in part])
-        codes, at = fold(joined)
+        starts = np.cumsum([0] + [len(s) + 1 for _, s in part])
+        codes, at = fold("\0".join(s for _, s in part))
         for item, a, b, edits in items.search(codes):
             s, e = int(at[a]), int(at[b - 1]) + 1
             p = int(np.searchsorted(starts, s, "right")) - 1
-            t, offset, _ = part[p]
-            out[t].append((item, s - int(starts[p]) + offset, e - int(starts[p]) + offset, edits))
+            out[part[p][0]].append((item, s - int(starts[p]), e - int(starts[p]), edits))
         part.clear()
         size = 0
 
     for t, text in enumerate(texts):
         text = (text or "").replace("\0", " ")
-        for lo in range(0, max(1, len(text)), max(1, block - lap)) if len(text) > block else (0,):
-            piece = text[lo : lo + block] if len(text) > block else text
-            part.append((t, lo, piece))
-            size += len(piece) + 1
-            if size >= block:
-                flush()
+        if len(text) > block:
+            out[t] = _pieces(text, items, block)
+            continue
+        part.append((t, text))
+        size += len(text) + 1
+        if size >= block:
+            flush()
     if part:
         flush()
     return [_apart(x) if len(x) > 1 else x for x in out]
@@ -263,15 +285,16 @@ def with_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ou
     """docs with a column of the spans (item_id, start, end, edits) of benchmark items in the text."""
     if out in docs.columns:
         raise ValueError(f"docs has a column {out}; name another")
-    cols = [_finder(Items(rows, q, rate))(F.col(text_col)) for rows in item_blocks(benchmark, chars=chars)]
-    return docs.withColumn(out, F.concat(*cols) if len(cols) > 1 else cols[0])
+    done = None
+    for rows in item_blocks(benchmark, chars=chars):
+        here = _finder(Items(rows, q, rate))(F.col(f"`{text_col}`"))
+        done = docs.withColumn(out, here) if done is None else written(done, "spans").withColumn(out, F.concat(F.col(out), here))
+    return done
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The documents in which no benchmark item occurs."""
-    out = "__spans"
-    while out in docs.columns:
-        out += "_"
+    (out,) = unused(docs.columns, "__spans")
     return with_spans(docs, benchmark, text_col, out, **how).where(F.size(out) == 0).drop(out)
 
 

@@ -112,3 +112,48 @@ def test_item_longer_than_a_block():
     items = Items([(1, item)])
     text = sentence(6, 900) + " " + item + " " + sentence(7, 900)
     assert [s[0] for s in find_spans([text], items, block=1000)[0]] == [1]
+
+
+def test_dropped_characters_between_words_in_pieces():
+    item = sentence(3)
+    items = Items([(1, item), (2, "zz top")])
+    gap = " . - " * 400
+    text = sentence(6, 300) + " " + item.replace(" ", gap, 3) + " " + sentence(7, 100) + " zz" + gap + "top zz topx " + "ab " * 900
+    whole = find_spans([text], items, block=10**6)
+    assert [s[0] for s in whole[0]] == [1, 2]
+    for block in (700, 1500, 2300):
+        assert find_spans([text], items, block=block) == whole
+
+
+def test_characters_beyond_the_basic_plane():
+    item = "".join(chr(0x10400 + i % 40) for i in range(3)) + " " + sentence(3)
+    items = Items([(1, item)])
+    text = "😀" + "".join(chr(0x10428 + i % 40) for i in range(3)) + "😀😀" + sentence(3).replace(" ", "😀") + "😀"
+    assert find_spans([text], items)[0] == [(1, 1, len(text) - 1, 0)]
+
+
+def test_all_spans_of_mixed_items_against_brute_force():
+    """Occurrences without edits, many to a text, of items from 9 to 2,000 characters: each is found where it stands."""
+    r = random.Random(11)
+    rows = [(i, sentence(100 + i, n)) for i, n in enumerate((2, 3, 6, 12, 40, 380))]
+    items = Items(rows)
+    for n in range(6):
+        picks = [r.choice(rows[:5] if r.random() < 0.9 else rows) for _ in range(40)]
+        text, want = "", []
+        for i, t in picks:
+            text += sentence(r.random(), r.randint(0, 2)) + " "
+            want.append((i, len(text), len(text) + len(t)))
+            text += t + " "
+        for block in (10**6, 3000):
+            found = find_spans([text], items, block=block)[0]
+            assert set(want) <= {s[:3] for s in found if s[3] == 0}
+
+
+def test_spans_apart_against_brute_force():
+    r = random.Random(2)
+    found = [(r.randrange(3), x, x + r.randint(1, 30), r.randrange(4)) for x in (r.randrange(2000) for _ in range(600))]
+    kept = []
+    for f in sorted(set(found), key=lambda f: (f[0], f[3], f[1], f[2])):
+        if not any(g[0] == f[0] and g[1] < f[2] and f[1] < g[2] for g in kept):
+            kept.append(f)
+    assert sorted(decontam._apart(found)) == sorted(kept)
