@@ -15,7 +15,7 @@ low paths are few rows for a host and are joined to its pages: broadcast if thei
 else by a join whose skewed hosts Spark splits. No host's pages are gathered anywhere.
 
 Odd input: null or empty html gives an empty text; unclosed, crossed and unknown tags, comments and references without an end
-are read as browsers do as far as text goes; a page without a url belongs to the host ''; repeated rows count each; extra columns are kept.
+are read as browsers do as far as text goes; a form that frames the article is no form of it; a page without a url belongs to the host ''; repeated rows count each; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import written
+from quirework.llm.common import unused, written
 
 GAMMA, LOW, MIN_PAGES = 0.9, 0.45, 8
 BROADCAST_ROWS = 200_000
@@ -54,6 +54,15 @@ CUES = frozenset(
     "newsletter subscribe signup share sharing social related recommended recommendations sidebar aside nav navbar navigation menu breadcrumb breadcrumbs "
     "footer masthead comment comments disqus respond reply replies popup modal overlay alert toolbar pagination pager login searchbox skip".split()
 )
+#: Words of a class that also name what an article is about ("market-share", "notice-period"): cues only if the rest of the class are cues or FRAME.
+WEAK = frozenset("share sharing social notice notices related promotion banner alert overlay toolbar consent".split())
+FRAME = frozenset(
+    "area bar block bottom box btn button buttons container content counter data dialog entry fixed floating footer group header icon icons inline inner item items js left "
+    "link links list message module msg news note outer panel post posts right row section site sticky strip sub tools top widget widgets wrap wrapper".split()
+)
+#: What a form must hold to be the frame of a page and no form of it.
+_HOLDS_ARTICLE = re.compile(r"<(?:article|main|h1)[\s/>]", re.I)
+_FORM_END = re.compile(r"</form[\s/>]", re.I)
 #: These count outside an article only: an article has a header of its own.
 OUTER_CUES = frozenset("header topbar".split())
 INNER = frozenset(["div", "section"])
@@ -62,8 +71,9 @@ LAYOUT = frozenset("with without has no not layout".split())
 #: Elements that hold the article whatever their class says.
 WHOLE = frozenset("html body main".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTR = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A quote delimits a value only after an equals sign; any other is a character like others.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[!?/][^>]*>", re.S)
+_ATTR = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 #: Deeper elements count as this deep; bounds paths of hostile pages.
@@ -81,6 +91,17 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
 
 
+def _cue_words(found: set[str]) -> bool:
+    cues = found & CUES
+    return bool(cues - WEAK) or bool(cues) and all(w in FRAME or len(w) < 3 for w in found - cues)
+
+
+def _frames(page: str, at: int) -> bool:
+    """A form that opens before `at` holds the article: it frames the page."""
+    end = _FORM_END.search(page, at)
+    return bool(_HOLDS_ARTICLE.search(page, at, end.start() if end else len(page)))
+
+
 def _cued(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in WHOLE:
         return False
@@ -89,7 +110,7 @@ def _cued(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     for name in ("class", "id"):
         for token in attrs.get(name, "").split():
             found = {w.lower() for w in _WORDS.findall(token)}
-            if not found & LAYOUT and (found & CUES or not inside and tag != "article" and found & OUTER_CUES):
+            if not found & LAYOUT and (_cue_words(found) or not inside and tag != "article" and found & OUTER_CUES):
                 return True
     return False
 
@@ -154,7 +175,7 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[Node, ...], str]], list[N
         first = attrs.get("class", "").split()[:1]
         name = tag + ("." + _DIGITS.sub("", first[0]) if first else "")
         comment = bool(attrs) and _cued(tag, attrs, above.main)
-        drop = above.drop or tag in DROP or comment or "hidden" in attrs or tag == "header" and not above.main
+        drop = above.drop or tag in DROP and not (tag == "form" and _frames(page, at)) or comment or "hidden" in attrs or tag == "header" and not above.main
         main = above.main or tag in ("article", "main") and not drop
         node = Node(tag, f"{above.path}/{name}" if len(stack) < _DEEP else above.path, drop, main)
         above.kids.append(name)
@@ -264,7 +285,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
             yield pa.array(got, pa.string())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    host, paths = "__style_host", "__style_low"
+    host, paths = unused([*pages.columns, out], "__style_host", "__style_low")
     low = low.toDF(host, paths)
     held = pages.withColumn(host, host_of(F.col(url_col))).join(F.broadcast(low) if rows <= BROADCAST_ROWS else low.hint("merge"), host, "left")
     return held.withColumn(out, F.arrow_udf(run, "string")(F.col(html_col), F.col(paths))).select(*[F.col(f"`{c}`") for c in pages.columns], out)

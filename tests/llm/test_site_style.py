@@ -80,3 +80,28 @@ def test_joins_agree_and_odd_tables(spark, monkeypatch, bound):
     assert got.columns == [*d.columns, "text"] and got.count() == 15
     assert sorted(r.text for r in got.where("page_id is null or page_id = 60").collect()) == ["", "new", "x"]
     assert ss.digest(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<form><main><h1>T</h1><p>Whole article body.</p></main></form>", "T\nWhole article body."),
+        ("<form action='/x'><p>Your name</p><input></form><article><p>a</p></article>", "a"),
+        ("<p title=it's>Hello</p>", "Hello"), ('<p class="a"">Hello</p>', "Hello"), ("<p a='1' b=\"2>3\" c=d>x</p>", "x"), ('<p class="never closed>x</p>', "x"),
+        ('<article><p>a</p><section class="market-share"><p>b</p></section><div class="notice-period"><p>c</p></div></article>', "a\nb\nc"),
+        ('<article><p>a</p><section class="share-buttons"><p>b</p></section><div class="site-notice"><p>c</p></div></article>', "a"),
+    ],
+)
+def test_forms_quotes_and_weak_cues(html, want):
+    assert ss.main_text(html) == want
+
+
+def test_very_long_pages_and_open_tags():
+    assert ss.main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").count("\n") == 49_999
+    assert ss.main_text("<p " + 'a="b" ' * 50_000) == ("<p " + 'a="b" ' * 50_000).strip()
+
+
+def test_own_columns_do_not_clash(spark):
+    d = spark.createDataFrame([(1, "https://x.example.com/", page(1))], PAGES).withColumn("__style_host", F.lit("mine")).withColumn("__style_low", F.lit(7))
+    got = ss.extract(d).first()
+    assert (got["__style_host"], got["__style_low"], got.text) == ("mine", 7, ss.main_text(page(1)))
