@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import scratch, written
+from quirework.llm.common import unused, written
 
 SEED = 42
 #: Shingles hashed at once; bounds memory for a very long text.
@@ -162,9 +162,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each component: that of the smallest id (of repeated rows of this id, one).
     Rows without an id can't be named as the one that stays and are all kept."""
     found = near_duplicates(docs, id_col, text_col, **how)
-    own, rank = "__stays", "__rank"
-    while {own, rank} & set(docs.columns):
-        own, rank = own + "_", rank + "_"
+    own, rank = unused(docs.columns, "__stays", "__rank")
     stay = found.where("id = component_id").select(F.col("id").alias(own)).distinct()
     order = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(text_col))
     kept = docs.join(stay, F.col(id_col) == F.col(own), "left_semi").withColumn(rank, F.row_number().over(order))
