@@ -7,11 +7,14 @@ word before (w1), the one before that (w2, a skip) and the pair (w2, w1). Within
 smoothed share of the class' training tokens, so every token of the corpus counts, however rare.
 
 Gathered from all training documents: exact counts of every token (one shuffle, pre-aggregated), from which come the base
-score, the head, the class sizes and the starting weights. Training visits each training document once, in ROUNDS rounds: every
+score, the head, the class sizes and the starting weights; and the weights themselves. Features are hashed into as many rows as the square root of
+the training tokens, rounded up to a power of two (4,096 at least): 384 bytes a row, so 25 MB for 30 GB of text and ten times that for a hundred times
+the text. Training visits each training document once, in ROUNDS rounds: every
 task updates its own copy of the weights by AdaGrad on mini-batches, and the changes, weighted by how often a row was
-used, are summed by the cluster row by row (a fixed number of rows) before the next round. Scoring runs in
+used, are summed by the cluster row by row before the next round. A task learns from at least ROW_TOKENS tokens for each row, so what the tasks hand on stays
+below a fixed share of the text. Which texts meet in a task depends on how the table is split, and so, slightly, do the weights. Scoring runs in
 numpy batches; tokens of at least 1/HEAVY of the training tokens (so at most HEAVY of them) are looked up in the task, the others
-are joined with the counts by a shuffle in which no token is frequent enough to be hot.
+are joined with the counts by a merge join, which spills, and whose skewed keys (a token that is frequent only in held-out texts) Spark splits.
 
 Odd input: a null text is empty and has one token, its end; a null id counts as the empty id; repeated rows are learned from and scored
 each; without training documents every token is unknown and the model is uniform over classes; extra columns are ignored.
@@ -19,6 +22,7 @@ each; without training documents every token is unknown and the model is uniform
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from quirework.llm.common import written
 
 HEAD, HEAD_CLASSES, TAIL_CLASSES = 1024, 16, 16
-HEAVY, ROUNDS, DIM = 1 << 18, 2, 1 << 12
+HEAVY, ROUNDS, DIM, ROW_TOKENS = 1 << 18, 2, 1 << 12, 256
 BATCH, RATE = 4096, 0.25
 #: The token that ends a text; no word has it.
 END = "\n"
@@ -94,10 +98,16 @@ def _counted(found: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["raw", "c"])
 
 
+def rows_for(tokens: int) -> int:
+    """Hashed rows for so many training tokens: a power of two of at least their square root."""
+    return max(DIM, 1 << (math.isqrt(max(tokens - 1, 0))).bit_length())
+
+
 class Model:
-    """What scoring needs in a task; of a size that the corpus does not change."""
+    """What scoring needs in a task."""
 
-    def __init__(self, heavy: list[tuple[str, int]], total: int, distinct: int, tail_n: list[int], tail_v: list[int]):
+    def __init__(self, heavy: list[tuple[str, int]], total: int, distinct: int, tail_n: list[int], tail_v: list[int], dim: int | None = None):
+        self.dim = dim or rows_for(total)
         heavy = sorted(heavy, key=lambda x: (-x[1], x[0]))
         head = heavy[:HEAD]
         self.total, self.distinct = total, distinct
@@ -106,13 +116,13 @@ class Model:
         self.cls = np.array([i // _SIZE if i < HEAD else HEAD_CLASSES + _tail_class_of(w.encode("utf-8", "surrogatepass")) for i, (w, _) in enumerate(heavy)], np.int32)
         self.mass = np.array([n + 0.5 * (v + 1) for n, v in zip(tail_n, tail_v, strict=True)])
         # rows of wc: hashed features, then the bias; of ww: hashed features, then a bias for each head class
-        self.wc, self.ww = np.zeros((DIM + 1, _CLASSES), np.float32), np.zeros((DIM + HEAD_CLASSES, _SIZE), np.float32)
+        self.wc, self.ww = np.zeros((self.dim + 1, _CLASSES), np.float32), np.zeros((self.dim + HEAD_CLASSES, _SIZE), np.float32)
         size = np.full(HEAD, -30.0)
         size[: len(head)] = np.log([c for _, c in head]) if head else []
-        self.ww[DIM:] = size.reshape(HEAD_CLASSES, _SIZE)
+        self.ww[self.dim:] = size.reshape(HEAD_CLASSES, _SIZE)
         sums = np.exp(size).reshape(HEAD_CLASSES, _SIZE).sum(axis=1)
-        self.wc[DIM] = np.log(np.concatenate([np.maximum(sums, 1e-9), self.mass]))
-        self.wc[DIM] -= self.wc[DIM].max()
+        self.wc[self.dim] = np.log(np.concatenate([np.maximum(sums, 1e-9), self.mass]))
+        self.wc[self.dim] -= self.wc[self.dim].max()
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Of the texts' tokens in a row: index among the heavy ones (-1: rare), class, rows of the hashed features of the history (which
@@ -130,8 +140,7 @@ class Model:
         first = np.array(starts, np.int64)
         return at, cls, self.features(at, cls, first), first, rare
 
-    @staticmethod
-    def features(at: np.ndarray, cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def features(self, at: np.ndarray, cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
         own = np.where(at >= 0, at + _CLASSES + 1, cls + 1).astype(_U)
         w1, w2 = np.zeros_like(own), np.zeros_like(own)
         w1[1:], w2[2:] = own[:-1], own[:-2]
@@ -141,12 +150,11 @@ class Model:
         with np.errstate(over="ignore"):
             pair = w1 * _U(0x9E3779B97F4A7C15) + w2 * _U(0xC2B2AE3D27D4EB4F)
             raw = [w1, w2 + _U(1 << 20), pair]
-            return np.stack([((x * _U(0xD6E8FEB86659FD93)) ^ (x >> _U(7))) * _U(0x9E3779B97F4A7C15) >> _U(52) for x in raw], axis=1).astype(np.int64) & (DIM - 1)
+            return np.stack([((x * _U(0xD6E8FEB86659FD93)) ^ (x >> _U(7))) * _U(0x9E3779B97F4A7C15) >> _U(65 - self.dim.bit_length()) for x in raw], axis=1).astype(np.int64)
 
-    @staticmethod
-    def within(feats: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    def within(self, feats: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Rows of the features together with a head class."""
-        return (feats * 31 + cls[:, None].astype(np.int64) * 1009 + 7) & (DIM - 1)
+        return (feats * 31 + cls[:, None].astype(np.int64) * 1009 + 7) & (self.dim - 1)
 
     @staticmethod
     def _softmax(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -164,11 +172,11 @@ class Model:
         out = np.empty(len(at))
         for lo in range(0, len(at), _BLOCK):
             a, c, f = at[lo : lo + _BLOCK], cls[lo : lo + _BLOCK], feats[lo : lo + _BLOCK]
-            p = self._softmax(self.wc, f, self.wc[DIM])
+            p = self._softmax(self.wc, f, self.wc[self.dim])
             got = np.log10(np.maximum(p[np.arange(len(a)), c], 1e-30), dtype=np.float64)
             head = np.flatnonzero((a >= 0) & (a < HEAD))
             if len(head):
-                p = self._softmax(self.ww, self.within(f[head], c[head]), self.ww[DIM + c[head]])
+                p = self._softmax(self.ww, self.within(f[head], c[head]), self.ww[self.dim + c[head]])
                 got[head] += np.log10(np.maximum(p[np.arange(len(head)), a[head] % _SIZE], 1e-30), dtype=np.float64)
             tail = np.flatnonzero(a >= HEAD)
             if len(tail):
@@ -183,12 +191,13 @@ class Learner:
     def __init__(self, model: Model):
         self.m, self.old = model, (model.wc.copy(), model.ww.copy())
         self.now = (model.wc.copy(), model.ww.copy())
-        self.used = (np.zeros(DIM + 1, np.float64), np.zeros(DIM + HEAD_CLASSES, np.float64))
-        self.acc = (np.full(DIM + 1, 1.0, np.float32), np.full(DIM + HEAD_CLASSES, 1.0, np.float32))
+        self.used = (np.zeros(model.dim + 1, np.float64), np.zeros(model.dim + HEAD_CLASSES, np.float64))
+        self.acc = (np.full(model.dim + 1, 1.0, np.float32), np.full(model.dim + HEAD_CLASSES, 1.0, np.float32))
+        self.small = model.dim + HEAD_CLASSES <= 1 << 16
 
     def _update(self, t: int, rows: np.ndarray, error: np.ndarray) -> None:
         """One step on the rows of one feature; sums by row are differences of running sums over the sorted batch."""
-        order = np.argsort(rows.astype(np.uint16), kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable") if self.small else np.argsort(rows.astype(np.uint32))
         flat = rows[order]
         last = np.append(np.flatnonzero(flat[1:] != flat[:-1]), len(flat) - 1)
         g = np.cumsum(error[order], axis=0, dtype=np.float32)[last]
@@ -203,20 +212,21 @@ class Learner:
     def learn(self, at: np.ndarray, cls: np.ndarray, feats: np.ndarray) -> None:
         """One mini-batch."""
         wc, ww = self.now
-        e = Model._softmax(wc, feats, wc[DIM])
+        dim = self.m.dim
+        e = Model._softmax(wc, feats, wc[dim])
         e[np.arange(len(at)), cls] -= 1
         for f in range(feats.shape[1]):
             self._update(0, feats[:, f], e)
-        self._step(0, np.array([DIM]), e.sum(axis=0, keepdims=True), len(at))
+        self._step(0, np.array([dim]), e.sum(axis=0, keepdims=True), len(at))
         head = np.flatnonzero((at >= 0) & (at < HEAD))
         if len(head):
             c = cls[head]
-            rows = Model.within(feats[head], c)
-            e = Model._softmax(ww, rows, ww[DIM + c])
+            rows = self.m.within(feats[head], c)
+            e = Model._softmax(ww, rows, ww[dim + c])
             e[np.arange(len(head)), at[head] % _SIZE] -= 1
             for f in range(rows.shape[1]):
                 self._update(1, rows[:, f], e)
-            self._update(1, DIM + c, e)
+            self._update(1, dim + c, e)
 
     def changes(self) -> Iterator[pa.RecordBatch]:
         for t in (0, 1):
@@ -243,7 +253,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
             tail_n[k], tail_v[k] = tail_n[k] - c, tail_v[k] - 1
     model = Model(rows, total, distinct, tail_n, tail_v)
     for r in range(rounds if total else 0):
+        # the cluster's cores are used whatever the rows
         part = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(r // rounds)), F.lit(rounds)) == r).select(F.col(text_col).alias("text"))
+        part = part.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, total // (ROW_TOKENS * model.dim)))
         changes = part.mapInArrow(_learner(model), "t int, row int, n double, v array<float>")
         sums = [F.sum(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)).cast("double")).alias(f"v{i}") for i in range(max(_CLASSES, _SIZE))]
         for x in changes.groupBy("t", "row").agg(F.sum("n").alias("n"), *sums).toPandas().itertuples(index=False):
@@ -313,7 +325,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     done = written(rows.mapInArrow(_scorer(model), schema), "scored")
     floor = model.total + 0.5 * (model.distinct + 1)
     mass = F.array(*[F.lit(float(m)) for m in model.mass])
-    rare = done.select("uid", F.explode("rare").alias("raw")).select("uid", F.col("raw").cast("string").alias("token")).join(counts.where(F.col("c") * HEAVY < model.total).hint("shuffle_hash"), "token", "left")
+    rare = done.select("uid", F.explode("rare").alias("raw")).select("uid", F.col("raw").cast("string").alias("token")).join(counts.where(F.col("c") * HEAVY < model.total).hint("merge"), "token", "left")
     c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
     share = F.log10((c + 0.5) / F.get(mass, _tail_class(F.col("token"))))
     rare = rare.select("uid", (c > 0).cast("long").alias("k"), F.log10((c + 0.5) / F.lit(floor)).alias("b"), share.alias("s"))

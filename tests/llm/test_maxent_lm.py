@@ -92,3 +92,52 @@ def test_words_up_to_rank_1024_are_predicted_from_history():
     model.ww[model.within(feats, model.cls[at])[0], 700 % lm._SIZE] += 1
     p = model.predict(at, model.cls[at], feats)
     assert (model.cls[:1024] < lm.HEAD_CLASSES).all() and p[0] > p[1]
+
+
+def brute_score(model, counts, text):
+    """Token by token, feature by feature, with whole numbers for the hashes."""
+    mask, out, own = (1 << 64) - 1, 0.0, [0, 0]
+    shift = 64 - (model.dim.bit_length() - 1)
+    mix = lambda x: (((x * 0xD6E8FEB86659FD93 & mask) ^ (x >> 7)) * 0x9E3779B97F4A7C15 & mask) >> shift
+    soft = lambda z, k: z[k] - max(z) - math.log(sum(math.exp(v - max(z)) for v in z))
+    for w in tokens(text):
+        at = model.index.get(w, -1)
+        cls = int(model.cls[at]) if at >= 0 else lm.HEAD_CLASSES + lm._tail_class_of(w)
+        w2, w1 = own[-2:]
+        rows = [mix(w1), mix(w2 + (1 << 20)), mix((w1 * 0x9E3779B97F4A7C15 + w2 * 0xC2B2AE3D27D4EB4F) & mask)]
+        z = [float(model.wc[model.dim][k] + sum(model.wc[r][k] for r in rows)) for k in range(len(model.wc[0]))]
+        out += soft(z, cls) / math.log(10)
+        if 0 <= at < lm.HEAD:
+            inner = [(r * 31 + cls * 1009 + 7) % model.dim for r in rows]
+            z = [float(model.ww[model.dim + cls][k] + sum(model.ww[r][k] for r in inner)) for k in range(len(model.ww[0]))]
+            out += soft(z, at % lm._SIZE) / math.log(10)
+        else:
+            out += math.log10((counts.get(w, 0) + 0.5) / model.mass[cls - lm.HEAD_CLASSES])
+        own.append(at + len(model.wc[0]) + 1 if at >= 0 else cls + 1)
+    return out
+
+
+def test_score_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAVY", 64)
+    texts = [*corpus(60), None, "", "one", "alpha beta alpha unknownword beta"]
+    d = docs(spark, texts)
+    model, counts = lm.fit(d)
+    c = {r.token.encode(): r.c for r in counts.collect()}
+    got = {r.id: r.score for r in lm.score(d, model, counts).collect()}
+    assert np.abs(model.wc[: model.dim]).sum() > 0 and np.abs(model.ww[: model.dim]).sum() > 0
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute_score(model, c, t), rel=1e-4, abs=1e-3)
+
+
+def test_hashed_rows_grow_with_the_training_tokens():
+    assert [lm.rows_for(n) for n in (0, 10**6, 1 << 24, (1 << 24) + 1, 4 * 10**9)] == [4096, 4096, 4096, 8192, 65536]
+    many = [(f"w{i}", 5000 - i) for i in range(1500)]
+    for dim in (1 << 12, 1 << 16):
+        model = lm.Model(many, 10**6, 1500, [10] * lm.TAIL_CLASSES, [1] * lm.TAIL_CLASSES, dim)
+        r = np.random.RandomState(1)
+        at = r.randint(0, 1500, 20_000)
+        feats = model.features(at, model.cls[at], np.array([0]))
+        assert feats.min() >= 0 and dim > feats.max() > 0.9 * dim
+        learner = lm.Learner(model)
+        learner.learn(at[:4096], model.cls[at[:4096]], feats[:4096])
+        assert np.isfinite(learner.now[1]).all() and (learner.used[1] > 0).sum() > 2000
