@@ -14,7 +14,8 @@ task updates its own copy of the weights by AdaGrad on mini-batches, and the cha
 used, are summed by the cluster row by row before the next round. A task learns from at least ROW_TOKENS tokens for each row, so what the tasks hand on stays
 below a fixed share of the text. Which texts meet in a task depends on how the table is split, and so, slightly, do the weights. Scoring runs in
 numpy batches; tokens of at least 1/HEAVY of the training tokens (so at most HEAVY of them) are looked up in the task, the others
-are joined with the counts by a merge join, which spills, and whose skewed keys (a token that is frequent only in held-out texts) Spark splits.
+are joined with the counts by their 64-bit hashes (of a thousand million distinct ones, two meet by chance with probability 0.03), in a merge join, which
+spills, and whose skewed keys (a token that is frequent only in held-out texts) Spark splits.
 
 Odd input: a null text is empty and has one token, its end; a null id counts as the empty id; repeated rows are learned from and scored
 each; without training documents every token is unknown and the model is uniform over classes; extra columns are ignored.
@@ -325,9 +326,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     done = written(rows.mapInArrow(_scorer(model), schema), "scored")
     floor = model.total + 0.5 * (model.distinct + 1)
     mass = F.array(*[F.lit(float(m)) for m in model.mass])
-    rare = done.select("uid", F.explode("rare").alias("raw")).select("uid", F.col("raw").cast("string").alias("token")).join(counts.where(F.col("c") * HEAVY < model.total).hint("merge"), "token", "left")
+    few = counts.where(F.col("c") * HEAVY < model.total).select(F.xxhash64("token").alias("h"), "c")
+    token = F.col("raw").cast("string")
+    rare = done.select("uid", F.explode("rare").alias("raw")).select("uid", F.xxhash64(token).alias("h"), _tail_class(token).alias("class"))
+    rare = rare.join(few.hint("merge"), "h", "left")
     c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
-    share = F.log10((c + 0.5) / F.get(mass, _tail_class(F.col("token"))))
+    share = F.log10((c + 0.5) / F.get(mass, F.col("class")))
     rare = rare.select("uid", (c > 0).cast("long").alias("k"), F.log10((c + 0.5) / F.lit(floor)).alias("b"), share.alias("s"))
     rare = rare.groupBy("uid").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     add = lambda x, y: F.col(x) + F.coalesce(F.col(y), F.lit(0))
