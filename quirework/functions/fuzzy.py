@@ -86,3 +86,27 @@ def in_text(needle: Column, text: Column, author: bool = False) -> Column:
     rest = F.when((needle == "") | (text == "") | F.contains(text, needle), F.lit(None)).otherwise(text)
     score = (author_score if author else partial)(needle, rest)
     return F.when((needle == "") | (text == ""), 0.0).when(F.contains(text, needle), 1.0).otherwise(score / 100)
+
+
+def _best(score):
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for needles, texts in batches:
+            pairs = zip(needles.to_pylist(), texts.to_pylist(), strict=True)
+            yield pa.array([None if n is None or t is None else max((score(a, b) for a in n for b in t if a and b), default=0.0) for n, t in pairs], pa.float64())
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")
+
+
+def best_in_texts(needles: Column, texts: Column, author: bool = False) -> Column:
+    """0 to 1: the best of how well any of the normalised needles occurs in any of the normalised texts. Python sees only rows in which none is contained."""
+    joined = F.array_join(texts, "\x00")
+    exact = F.exists(needles, lambda n: (n != "") & F.contains(joined, n))
+    some = F.exists(needles, lambda n: n != "") & F.exists(texts, lambda t: t != "")
+    score = _best(_author if author else partial_ratio)(needles, F.when(some & ~exact, texts))
+    return F.when(~some, 0.0).when(exact, 1.0).otherwise(score / 100)
+
+
+def best_pair(left: Column, right: Column) -> Column:
+    """0 to 1: the best token-sorted ratio over all pairs of two arrays; equal elements are found without Python."""
+    return F.when(F.arrays_overlap(left, right), 1.0).otherwise(_best(token_sort_ratio)(F.when(~F.arrays_overlap(left, right), left), right) / 100)

@@ -48,3 +48,9 @@ def all_in(text: Column) -> Column:
 
 def first_in(text: Column) -> Column:
     return F.get(all_in(text), F.lit(0))
+
+
+def looks_like(s: Column) -> Column:
+    """Ten or thirteen digits (the last may be X) once all else is taken out."""
+    clean = F.regexp_replace(F.coalesce(s, F.lit("")), "[^0-9Xx]", "")
+    return clean.rlike("^([0-9]{9}|[0-9]{12})[0-9Xx]$")

@@ -78,3 +78,24 @@ def needfix_path(path: Column, author_folder: Column, title_folder: Column, root
     head = F.split_part(rel, F.lit("/"), F.lit(1))
     named = F.when(rel.contains("/") & anonym(head), F.concat(F.lit(C.ANONYM_FOLDER), F.substr(rel, F.char_length(head) + 1))).otherwise(rel)
     return F.concat(F.lit(f"{root}/{needfix}/"), named)
+
+
+def relative(path: Column, root: str = "/lib") -> Column:
+    """A path below the root, relative to it; any other as it is."""
+    return F.when(path.startswith(root + "/"), F.substr(path, F.lit(len(root) + 2))).otherwise(path)
+
+
+def display(values: Column) -> Column:
+    """A list for reading."""
+    return F.coalesce(F.array_join(values, ", "), F.lit(""))
+
+
+def origin(author: Column, title: Column, id_: Column) -> Column:
+    """Where a file came from: '<Author> - <Title> (<id>)'."""
+    named = lambda c, other: F.when(F.coalesce(c, F.lit("")) == "", other).otherwise(c)
+    return F.concat(F.coalesce(author, F.lit(C.ANONYM_FOLDER)), F.lit(" - "), named(title, "Untitled"), F.lit(" ("), F.coalesce(id_.cast("string"), F.lit("noid")), F.lit(")"))
+
+
+def rogue_folder(label: Column, file: Column, root: str = "/lib", needfix: str = "needfix") -> Column:
+    """The folder of its own that a file of another book is moved to."""
+    return F.concat(F.lit(f"{root}/{needfix}/crosscheck/"), segment(F.concat(label, F.lit(" - "), F.element_at(F.split(file, "/"), -1))))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,35 +13,67 @@ from quirework.functions import constants as C
 from quirework.functions import text
 from quirework.functions.fuzzy import token_sort_ratio
 
+_ALIKE = 100 * C.SAME_BOOK
+
+
+@lru_cache(1 << 16)
+def _alike(a: str, b: str) -> bool:
+    return a == b or token_sort_ratio(a, b) >= _ALIKE
+
+
+class _Place:
+    """The clusters of one place while its records pass by in order of id. Of a cluster only its base and its size are held: as ids rise, the base is the
+    first record until one with a number comes, and then stays."""
+
+    def __init__(self, dest: str):
+        self.dest, self.base, self.size, self.by_isbn = dest, [], [], {}
 
-def _same(a, b) -> bool:
-    if a.isbn and a.isbn == b.isbn:
-        return True
-    if not a.title or not b.title or token_sort_ratio(a.title, b.title) < 100 * C.SAME_BOOK:
-        return False
-    if not any(token_sort_ratio(x, y) >= 100 * C.SAME_BOOK for x in a.authors for y in b.authors):
-        return False
-    return pd.isna(a.year) or pd.isna(b.year) or a.year == b.year
+    def _fits(self, base: dict, r: dict) -> bool:
+        if not (base["title"] and r["title"]) or base["year"] is not None and r["year"] is not None and base["year"] != r["year"]:
+            return False
+        return _alike(base["title"], r["title"]) and any(_alike(x, y) for x in base["authors"] or () for y in r["authors"] or ())
+
+    def take(self, r: dict) -> None:
+        numbered = self.by_isbn.get(r["isbn"]) if r["isbn"] else None
+        stop = len(self.base) if numbered is None else numbered
+        at = next((i for i in range(stop) if self._fits(self.base[i], r)), numbered)
+        if at is None:
+            at = len(self.base)
+            self.base.append(r)
+            self.size.append(0)
+        self.size[at] += 1
+        if r["isbn"] and (self.base[at] is r or not self.base[at]["isbn"]):
+            self.base[at] = r
+            self.by_isbn[r["isbn"]] = min(at, self.by_isbn.get(r["isbn"], at))
+
+    def rows(self) -> list[tuple]:
+        return [(self.dest, i, b["id"], n) for i, (b, n) in enumerate(zip(self.base, self.size, strict=True))]
 
 
 def greedy(claims: DataFrame) -> DataFrame:
-    """(dest, cluster, ids): records in order of id join the first cluster whose base (valid ISBN, then lowest id) is the same book.
+    """(dest, cluster, base_id, members): records in order of id join the first cluster whose base (valid ISBN, then lowest id) is the same book.
 
-    Equal records (number, title, authors, year) behave alike, so they are united before the grouping: a place that many copies claim
-    reaches the task as its distinct records."""
+    The order is the meaning, so a place is one stream: records are dealt by place, sorted on disk if need be, and pass through in Arrow batches; no place
+    is gathered. Records without an id come last."""
     norm = claims.select("dest", "id", text.normalise(F.col("title")).alias("title"), F.transform("authors", text.normalise).alias("authors"), "isbn", "year")
-    distinct = norm.groupBy("dest", "title", "authors", "isbn", "year").agg(F.min("id").alias("id"), F.count("*").alias("members"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list] = []
-        for r in pdf.sort_values("id").itertuples(index=False):
-            for c in clusters:
-                base = min([x for x in c if x.isbn] or c, key=lambda x: x.id)
-                if _same(base, r):
-                    c.append(r)
-                    break
-            else:
-                clusters.append([r])
-        return pd.DataFrame([{"dest": c[0].dest, "cluster": i, "base_id": min([x for x in c if x.isbn] or c, key=lambda x: x.id).id, "members": sum(x.members for x in c)} for i, c in enumerate(clusters)])
-
-    return distinct.groupBy("dest").applyInPandas(run, "dest string, cluster long, base_id long, members long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, done = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if place is None or place.dest != r["dest"]:
+                    done += place.rows() if place else []
+                    place = _Place(r["dest"])
+                place.take(r)
+            if len(done) > 10_000:
+                yield _batch(done)
+                done = []
+        yield _batch(done + (place.rows() if place else []))
+
+    dealt = norm.repartition("dest").sortWithinPartitions("dest", F.col("id").asc_nulls_last())
+    return dealt.mapInArrow(run, "dest string, cluster long, base_id long, members long")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["dest", "cluster", "base_id", "members"])

@@ -21,13 +21,20 @@ def isbn_in_content(number: Column, found: Column, texts: Column) -> Column:
     return F.coalesce(number.isNotNull() & ((number == found) | F.exists(texts, lambda t: F.contains(F.regexp_replace(t, "[^0-9]", ""), number))), F.lit(False))
 
 
-def scored(df: DataFrame, title: str = "title", author: str | None = None, page: str = "first_page") -> DataFrame:
-    """df with `title_score` (and `author_score`): how well they stand in the first characters of the page. Both are answered in the
-    engine where the text contains them; only the other rows reach the fuzzy matcher."""
-    norm = df.withColumn("__t", text.normalise(F.coalesce(F.col(title), F.lit("")))).withColumn("__p", text.normalise(F.substring(F.coalesce(F.col(page), F.lit("")), 1, WINDOW)))
-    out = norm.withColumn("title_score", fuzzy.in_text(F.col("__t"), F.col("__p")))
-    if author:
-        out = out.withColumn("__a", text.normalise(F.coalesce(F.col(author), F.lit("")))).withColumn("author_score", fuzzy.in_text(F.col("__a"), F.col("__p"), author=True)).drop("__a")
+def _normal(texts: Column) -> Column:
+    return F.transform(texts, lambda t: text.normalise(F.substring(t, 1, WINDOW)))
+
+
+def scored(df: DataFrame, title: str = "title", authors: Column | None = None, texts: Column | None = None) -> DataFrame:
+    """df with `title_score` (and `author_score`): the best of how well the title (any of the authors) stands in the first characters of any of
+    the texts, by default the first page. Both are answered in the engine where a text contains them; only the other rows reach the fuzzy matcher."""
+    texts = F.array(F.coalesce("first_page", F.lit(""))) if texts is None else texts
+    known = F.transform(F.array(F.coalesce(F.col(title), F.lit(""))), text.normalise)
+    norm = df.withColumn("__p", _normal(texts)).withColumn("__t", known)
+    out = norm.withColumn("title_score", fuzzy.best_in_texts(F.col("__t"), F.col("__p")))
+    if authors is not None:
+        names = F.transform(F.filter(F.coalesce(authors, F.array().cast("array<string>")), lambda a: a.isNotNull()), text.normalise)
+        out = out.withColumn("__a", names).withColumn("author_score", fuzzy.best_in_texts(F.col("__a"), F.col("__p"), author=True)).drop("__a")
     return out.drop("__t", "__p")
 
 
@@ -35,7 +42,7 @@ def verify(df: DataFrame) -> DataFrame:
     """df (primary_file, isbn, title, isbn_from_text, first_page, embedded_title) with `result`: VERIFIED, UNCERTAIN, MISMATCH or NO_CONTENT."""
     number, db = F.col("isbn_from_text"), F.col("isbn")
     readable = (F.coalesce(F.col("first_page"), F.lit("")) != "") & (F.coalesce(F.col("title"), F.lit("")) != "")
-    d = scored(df)
+    d = scored(df, texts=F.when(number.isNull(), F.array(F.coalesce("first_page", F.lit("")))).otherwise(F.array().cast("array<string>")))
     s = F.col("title_score")
     by_title = F.when(s >= C.STRONG, "VERIFIED").when(s >= C.WEAK, "UNCERTAIN").otherwise("MISMATCH")
     by_isbn = F.when(db.isNull() | (db == number), "VERIFIED").otherwise("MISMATCH")
@@ -43,27 +50,51 @@ def verify(df: DataFrame) -> DataFrame:
     return d.withColumn("result", F.when(F.col("primary_file").isNull(), "NO_CONTENT").when(number.isNotNull(), by_isbn).when(readable, by_title).otherwise(rest))
 
 
+def _stands(df: DataFrame, title: Column, author: Column, page: Column) -> Column:
+    """A title and, if there is one, an author both stand in a text."""
+    has = F.coalesce(title, F.lit("")) != ""
+    page = F.when(has, text.normalise(F.substring(F.coalesce(page, F.lit("")), 1, WINDOW)))
+    at = lambda c, a: F.coalesce(fuzzy.in_text(text.normalise(c), page, author=a), F.lit(0.0)) >= C.STRONG
+    return has & at(title, False) & (author.isNull() | (author == "") | at(author, True))
+
+
 def acquire_identity(df: DataFrame) -> DataFrame:
-    """df with `identity`: which evidence of the content confirms the record first, null if none."""
-    d = scored(df.withColumn("__first", F.get("authors", F.lit(0))), author="__first")
-    both = (F.coalesce(F.col("title"), F.lit("")) != "") & F.col("__first").isNotNull() & (F.col("title_score") >= C.STRONG) & (F.col("author_score") >= C.STRONG)
-    found = F.when(F.col("isbn_from_text").isNotNull(), "content-isbn").when(isbn_in_content(F.col("isbn"), F.col("isbn_from_text"), windows()), "metadata-isbn").when(both, "metadata")
-    return d.withColumn("identity", found).drop("__first")
+    """df with `identity`: struct(source, isbn, title, authors, year) of the first evidence that the content bears out, null if none: a number in the
+    content (text, else embedded: isbn_from_text, x_isbn), the record's number found in it, the record's title and author on the first
+    page, those mined from the page (title_from_text, authors_from_text, year_from_text). Missing evidence columns count as null."""
+    have = set(df.columns)
+    col = lambda n, t="string": F.col(n) if n in have else F.lit(None).cast(t)
+    number = F.coalesce(F.col("isbn_from_text"), col("x_isbn"))
+    first, mined = F.get("authors", F.lit(0)), F.get(col("authors_from_text", "array<string>"), F.lit(0))
+    own = first.isNotNull() & _stands(df, F.col("title"), first, F.col("first_page"))
+    theirs = mined.isNotNull() & _stands(df, col("title_from_text"), mined, F.col("first_page"))
+    kinds = {"isbn": "string", "title": "string", "authors": "array<string>", "year": "int"}
+    made = lambda source, **v: F.struct(F.lit(source).alias("source"), *[v.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
+    found = (
+        F.when(number.isNotNull(), made("content-isbn", isbn=number))
+        .when(isbn_in_content(F.col("isbn"), number, windows()), made("metadata", isbn=F.col("isbn")))
+        .when(own, made("metadata", title=F.col("title"), authors=F.col("authors"), year=col("year", "int")))
+        .when(theirs, made("extractor", title=col("title_from_text"), authors=col("authors_from_text", "array<string>"), year=col("year_from_text", "int")))
+    )
+    return df.withColumn("identity", found)
 
 
 def confirm_identity(df: DataFrame) -> DataFrame:
-    """df with `confirmed`: the proposal (isbn, title, first author) is borne out by the content."""
-    d = scored(df.withColumn("__first", F.get("authors", F.lit(0))), author="__first")
-    title = (F.coalesce(F.col("title"), F.lit("")) != "") & (F.size(windows()) > 0)
-    both = (F.col("title_score") >= C.STRONG) & (F.col("__first").isNull() | (F.col("author_score") >= C.STRONG))
+    """df with `confirmed`: the proposal (isbn, title, first author) is borne out by some window of the content."""
+    first = F.get("authors", F.lit(0))
+    has = F.coalesce(F.col("title"), F.lit("")) != ""
+    within = lambda name: _stands(df, F.col("title"), first, F.col(name))
     alone = (F.char_length(text.normalise(F.col("title"))) >= 10) & (F.col("title_score") >= C.TITLE_ONLY)
-    return d.withColumn("confirmed", isbn_in_content(F.col("isbn"), F.col("isbn_from_text"), windows()) | (title & (both | alone))).drop("__first")
+    number = isbn_in_content(F.col("isbn"), F.col("isbn_from_text"), windows())
+    d = scored(df, texts=windows()).withColumn("__both", within("first_page") | within("broader"))
+    return d.withColumn("confirmed", number | (has & (F.size(windows()) > 0) & (F.col("__both") | alone))).drop("__both")
 
 
 def classify_formats(df: DataFrame) -> DataFrame:
     """One row for each format file with `verdict`: its text's ISBN, else the title in its page, against the record."""
     number, db = F.col("isbn_from_text"), F.col("isbn")
-    d = scored(df)
+    # what the number decides does not reach the matcher
+    d = scored(df, texts=F.when(number.isNull() | db.isNull(), F.array(F.coalesce("first_page", F.lit("")))).otherwise(F.array().cast("array<string>")))
     s = F.col("title_score")
     readable = (F.coalesce(F.col("first_page"), F.lit("")) != "") & (F.coalesce(F.col("title"), F.lit("")) != "")
     by_title = F.when(s >= C.STRONG, "AGREES").when(s < C.WEAK, "DISAGREES").otherwise("UNCERTAIN")

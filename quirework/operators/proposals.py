@@ -60,16 +60,18 @@ def identity_agrees(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def verified(df: DataFrame) -> DataFrame:
-    """df (a proposal's title, authors, isbn beside the content's isbn_from_text, first_page, broader) with `passed` and `feedback`."""
-    d = content.scored(df.withColumn("__first", F.get("authors", F.lit(0))), author="__first")
+    """df (a proposal's title, authors, isbn beside the content's isbn_from_text, first_page, broader) with `passed` and `feedback`. Title and
+    authors are sought in every window, each author for itself."""
     windows = content.windows()
+    d = content.scored(df, authors=F.col("authors"), texts=windows)
+    someone = F.exists(F.coalesce("authors", F.array().cast("array<string>")), lambda a: F.coalesce(a, F.lit("")) != "")
     conflict = F.coalesce(F.col("isbn") != F.col("isbn_from_text"), F.lit(False))
-    title, author = F.col("title_score") >= C.STRONG, F.col("__first").isNotNull() & (F.col("author_score") >= C.STRONG)
+    title, author = F.col("title_score") >= C.STRONG, F.col("author_score") >= C.STRONG
     alone = (F.char_length(text.normalise(F.coalesce("title", F.lit("")))) >= 10) & (F.col("title_score") >= C.TITLE_ONLY)
     number = content.isbn_in_content(F.col("isbn"), F.col("isbn_from_text"), windows)
-    why = F.concat_ws("; ", F.when(_set(F.col("title")) & ~title, F.lit("the title is not in the text")), F.when(F.col("__first").isNotNull() & ~author, F.lit("the author is not in the text")))
+    why = F.concat_ws("; ", F.when(_set(F.col("title")) & ~title, F.lit("the title is not in the text")), F.when(someone & ~author, F.lit("no author is in the text")))
     feedback = F.when(F.size(windows) == 0, "").when(conflict, "the text has another ISBN").when((title & author) | alone | number, "").otherwise(why)
-    return d.withColumn("feedback", feedback).withColumn("passed", F.col("feedback") == "").drop("__first")
+    return d.withColumn("feedback", feedback).withColumn("passed", F.col("feedback") == "")
 
 
 def projected_clean(df: DataFrame, proposed: str = "proposed") -> DataFrame:

@@ -33,16 +33,6 @@ def verify_books(spark, sf_dir):
     return content.verify(content.with_content(records(spark, sf_dir))).select("id", "result", F.round("title_score", 6).alias("score"))
 
 
-@query()
-def acquire_identity(spark, sf_dir):
-    return content.acquire_identity(content.with_content(records(spark, sf_dir))).select("id", "identity")
-
-
-@query()
-def confirm_identity(spark, sf_dir):
-    return content.confirm_identity(content.with_content(records(spark, sf_dir))).select("id", "confirmed")
-
-
 def _formats(spark, sf_dir):
     """The formats of a book: its own text, and for others a foreign page and number."""
     c = content.with_content(records(spark, sf_dir)).select("id", "title", "isbn", "first_page", "isbn_from_text", F.explode("formats").alias("format"))

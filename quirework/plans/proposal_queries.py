@@ -82,11 +82,6 @@ def identity_agrees(spark, sf_dir):
     return proposals.identity_agrees(b).select("id", "agrees")
 
 
-@query()
-def verify_proposal(spark, sf_dir):
-    return proposals.verified(content.with_content(records(spark, sf_dir))).select("id", "passed", "feedback")
-
-
 @query(cte() + "SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE title END AS o_title, CASE WHEN id % 3 = 0 THEN 'x' ELSE 'old' END AS p_note, id % 4 = 0 OR title <> '' AS has_title FROM books")
 def editor_overlay(spark, sf_dir):
     """An editor's fields over a proposal: non-empty ones set, cleared ones null, others as they were."""
