@@ -64,6 +64,8 @@ PAGE_PLACEHOLDERS = [
     "neznámý", "nezanmy", "unknown", "anonym", "anonymní", "autor", "title", "subject", "name", "nc", "nc17", "prolog", "epilog",
     "předmluva", "predmluva", "kapitola", "obsah", "další", "předchozí", "úvod", "uvod", "doslov",
 ]
+# Lines of a site's navigation, whole.
+WEB_NAVIGATION = r"(?iu)^(předchozí|další|obsah|hlavní\s+stránka|homepage|zpět|domů)$"
 PAGE_TRIM = ".:;,-–—!?'\"()"
 CZ_PAGE_LETTERS = "áčďéěíňóřšťúůýžôäĺľŕš"
 FILE_GARBAGE = r"^(microsoft\s+word\s*-\s*[^\s]*\.doc[x]?|[a-z0-9_]+\.(docx?|epub|pdf|pdb|mobi|txt|rtf)$)"

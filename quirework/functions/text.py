@@ -80,7 +80,7 @@ def bare(s: Column) -> Column:
 def noise(line: Column) -> Column:
     """A line that can be neither title nor author."""
     tokens = F.filter(F.split(line, r"\s+"), lambda t: t != "")
-    return (bare(line) == "") | F.forall(tokens, lambda t: bare(t).isin(C.PAGE_PLACEHOLDERS)) | bare(line).isin(C.PAGE_PLACEHOLDERS) | line.rlike("(?i)" + C.FILE_GARBAGE) | ~line.rlike("[A-Za-zÁ-ž]")
+    return (bare(line) == "") | F.forall(tokens, lambda t: bare(t).isin(C.PAGE_PLACEHOLDERS)) | bare(line).isin(C.PAGE_PLACEHOLDERS) | line.rlike("(?i)" + C.FILE_GARBAGE) | bare(line).rlike(C.WEB_NAVIGATION) | ~line.rlike("[A-Za-zÁ-ž]")
 
 
 def title_like(line: Column) -> Column:
@@ -136,6 +136,12 @@ def author_like(line: Column) -> Column:
     return ~noise(line) & ok & ~prose & ~loose & F.exists(tokens, lambda t: t.rlike(r"^\p{Lu}"))
 
 
+def _without_placeholder(line: Column) -> Column:
+    """A line without a placeholder that leads it."""
+    head = F.split_part(line, F.lit(" "), F.lit(1))
+    return F.when(bare(head).isin(C.PAGE_PLACEHOLDERS), F.trim(F.substr(line, F.char_length(head) + 1))).otherwise(line)
+
+
 def mined_authors(text: Column) -> Column:
     """Names under author labels, else up to three name-like lines of the first eight that are not the title."""
     lines = page_lines(text)
@@ -144,9 +150,12 @@ def mined_authors(text: Column) -> Column:
     plain = F.transform(values, lambda v: F.trim(F.split_part(strip(F.trim(v), ".;,-–—"), F.lit("("), F.lit(1))))
     labelled = F.transform(F.filter(plain, author_like), title_case)
     title = F.lower(F.coalesce(mined_title(text), F.lit("\x00")))
-    cased = F.transform(F.filter(F.slice(lines, 1, 8), lambda x: ~noise(x) & (F.size(F.split(x, r"\s+")) <= 4)), title_case)
+    short = F.transform(F.filter(F.slice(lines, 1, 8), lambda x: ~noise(x) & (F.size(F.split(x, r"\s+")) <= 4)), _without_placeholder)
+    # a line must be a name as it is written; only one all in capitals is held against its usual case
+    capitals = lambda x: x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}")
+    cased = F.transform(F.filter(short, lambda x: author_like(x) | (capitals(x) & author_like(title_case(x)))), title_case)
     other = lambda x: (F.lower(x) != title) & ~F.lower(x).startswith(F.concat(title, F.lit(" "))) & ~F.lower(x).endswith(F.concat(F.lit(" "), title))
-    guessed = F.slice(F.filter(cased, lambda x: author_like(x) & other(x)), 1, 3)
+    guessed = F.slice(F.filter(cased, other), 1, 3)
     return F.array_distinct(F.when(F.size(labelled) > 0, labelled).otherwise(guessed))
 
 

@@ -28,11 +28,6 @@ def verify_isbn_path(spark, sf_dir):
     return content.verify(content.with_content(records(spark, sf_dir)).where("isbn_from_text is not null")).select("id", "result")
 
 
-@query()
-def verify_books(spark, sf_dir):
-    return content.verify(content.with_content(records(spark, sf_dir))).select("id", "result", F.round("title_score", 6).alias("score"))
-
-
 def _formats(spark, sf_dir):
     """The formats of a book: its own text, and for others a foreign page and number."""
     c = content.with_content(records(spark, sf_dir)).select("id", "title", "isbn", "first_page", "isbn_from_text", F.explode("formats").alias("format"))
@@ -49,11 +44,6 @@ def crosscheck_isbn(spark, sf_dir):
     return content.classify_formats(f).select("id", "format", "verdict")
 
 
-@query()
-def crosscheck_formats(spark, sf_dir):
-    return content.crosscheck(content.classify_formats(_formats(spark, sf_dir)))
-
-
 @query(D_FORMATS + ", n AS (SELECT id, count(*) AS files, count_if(verdict = 'AGREES') AS a, count_if(verdict = 'DISAGREES') AS d FROM v GROUP BY id), c AS (SELECT CASE WHEN files < 2 THEN 'skipped' WHEN a > 0 AND d > 0 THEN 'quarantine' WHEN d > 0 THEN 'ambiguous' ELSE 'clean' END AS decision FROM n) SELECT decision, count(*) AS n FROM c GROUP BY decision")
 def crosscheck_summary(spark, sf_dir):
     f = _formats(spark, sf_dir).where("isbn is not null and isbn_from_text is not null")
@@ -260,10 +250,10 @@ def review_filter(spark, sf_dir):
     return b.where(F.col("action").isNull() & F.contains(F.lower(F.concat_ws(" ", "path", "author_folder", "title")), F.lit("asimov"))).select("id")
 
 
-@query(cte() + ", f AS (SELECT id, language FROM books WHERE id % 3 = 0) SELECT id, coalesce(lead(id) OVER w, first_value(id) OVER (PARTITION BY language ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_id, coalesce(lag(id) OVER w, last_value(id) OVER (PARTITION BY language ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS prev_id FROM f WINDOW w AS (PARTITION BY language ORDER BY id)")
+@query(cte() + ", f AS (SELECT id, language FROM books WHERE NOT verified) SELECT id, coalesce(lead(id) OVER w, first_value(id) OVER (PARTITION BY language ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_id, coalesce(lag(id) OVER w, last_value(id) OVER (PARTITION BY language ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS prev_id FROM f WINDOW w AS (PARTITION BY language ORDER BY id)")
 def next_prev_entry(spark, sf_dir):
     """Neighbours in each language's filtered list, wrapping at its ends; the ends come from an aggregate, not from a second frame."""
-    f = books(spark, sf_dir).where("id % 3 = 0").select("id", "language")
+    f = books(spark, sf_dir).where("not verified").select("id", "language")
     ends = f.groupBy(F.col("language").alias("of")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     w = Window.partitionBy("language").orderBy("id")
     return f.select("id", "language", F.lead("id").over(w).alias("n"), F.lag("id").over(w).alias("p")).join(ends, F.col("language").eqNullSafe(F.col("of"))).select("id", F.coalesce("n", "lo").alias("next_id"), F.coalesce("p", "hi").alias("prev_id"))
@@ -350,7 +340,7 @@ def cooldown_escalation(spark, sf_dir):
     return e.withColumn("run", run).where("bad").select("event_id", F.least(F.lit(60), 5 * F.pow(F.lit(2), F.least("run", F.lit(10)) - 1)).cast("long").alias("cooldown"))
 
 
-@query()
+@query("WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events), f AS (SELECT *, max(t / 1e6 - k * 2.0) OVER (PARTITION BY user_id ORDER BY t, event_id) AS free FROM e) SELECT event_id, round(free + k * 2.0 - t / 1e6, 3) AS wait FROM f")
 def leaky_bucket_admission(spark, sf_dir):
     """When each call of a user is admitted: at its time, or an interval after the one before. The running maximum of (time - n * interval)
     gives it in one window, without state: admitted(n) = n * interval + max over k <= n of (time(k) - k * interval)."""
@@ -378,7 +368,7 @@ def stream_dedup(spark, sf_dir):
     return deduplicated(spark, f"{sf_dir}/events.parquet")
 
 
-@query()
+@query(cte() + "SELECT id, CASE WHEN id % 5 <> 3 THEN concat('T', id) END AS title, CASE WHEN id % 5 = 2 THEN 'A|B' ELSE '' END AS authors, CAST(CASE WHEN id % 5 = 0 THEN 1999 END AS INT) AS year FROM books")
 def json_sanitize(spark, sf_dir):
     from quirework.functions.answers import parsed
 

@@ -9,7 +9,7 @@ from quirework.operators import content, proposals, rules
 from quirework.plans.adapter import books, cte
 from quirework.plans.record_queries import D_ISBN, D_RULES, d_rule, records
 from quirework.plans.registry import query
-from quirework.plans.text_queries import _PAGE, D_BROKEN
+from quirework.plans.text_queries import _PAGE, _WANT, D_BROKEN
 
 _EVIDENCE = """CASE WHEN id % 9 = 0 THEN '9788071741305' END AS x_isbn, CASE WHEN id % 9 = 1 THEN '9788085906455' END AS x_text_isbn,
 CASE WHEN id % 4 = 0 THEN concat('Clean title ', id) END AS x_title, CASE WHEN id % 5 = 0 THEN 'Clean Author' END AS x_author,
@@ -76,12 +76,6 @@ def projected_clean(spark, sf_dir):
     return proposals.projected_clean(records(spark, sf_dir).withColumn("proposed", F.map_from_entries(fix))).select("id", "clean")
 
 
-@query()
-def identity_agrees(spark, sf_dir):
-    b = records(spark, sf_dir).select("id", F.col("title").alias("a_title"), F.col("base").alias("b_title"), F.get("authors", F.lit(0)).alias("a_author"), F.col("author_folder").alias("b_author"), F.col("isbn").alias("a_isbn"), F.col("isbn").alias("b_isbn"))
-    return proposals.identity_agrees(b).select("id", "agrees")
-
-
 @query(cte() + "SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE title END AS o_title, CASE WHEN id % 3 = 0 THEN 'x' ELSE 'old' END AS p_note, id % 4 = 0 OR title <> '' AS has_title FROM books")
 def editor_overlay(spark, sf_dir):
     """An editor's fields over a proposal: non-empty ones set, cleared ones null, others as they were."""
@@ -104,9 +98,9 @@ def allcaps_title(spark, sf_dir):
     return b.select("id", F.when(~text.noise(F.col("line")), text.capitals_title(F.col("line"))).alias("title"))
 
 
-@query(cte() + "SELECT id, CASE id % 6 WHEN 0 THEN 'Jan Novák' WHEN 4 THEN 'Karel Čapek' ELSE '' END AS authors FROM books WHERE id % 6 IN (0, 4, 5)")
+@query(cte() + f"SELECT id, {_WANT(4)} AS authors FROM books")
 def author_mining(spark, sf_dir):
-    b = books(spark, sf_dir).where("id % 6 IN (0, 4, 5)").selectExpr("id", f"{_PAGE} AS page")
+    b = books(spark, sf_dir).selectExpr("id", f"{_PAGE} AS page")
     return b.select("id", F.array_join(text.mined_authors(F.col("page")), "|").alias("authors"))
 
 

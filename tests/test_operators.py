@@ -94,3 +94,64 @@ def test_provider_loop_and_limits(spark):
     rows = spark.createDataFrame([(1, "t"), (2, "t")], "id long, text string")
     out = provider.answered(rows, lambda: provider.Mock([good]), lambda r, a: None).collect()
     assert sorted((r.id, r.title, r.label) for r in out) == [(1, "Right", "llm:flash"), (2, "Right", "llm:flash")]
+
+
+def test_clusters_follow_the_order_of_ids(spark):
+    """A later record with a number becomes the base, and what comes after is held against it; equal records before and after may part."""
+    from quirework.operators.clusters import greedy
+
+    ddl = "dest string, id long, title string, authors array<string>, isbn string, year int"
+    rows = [("d", 1, "T", ["A"], None, None), ("d", 2, "T", ["A"], None, 1999), ("d", 3, "T", ["A"], "9788071741305", 2005), ("d", 4, "T", ["A"], None, 1999), ("e", 9, "", [], None, None), ("e", 8, "", [], None, None)]
+    got = sorted((r.dest, r.base_id, r.members) for r in greedy(spark.createDataFrame(rows, ddl)).collect())
+    assert got == [("d", 3, 3), ("d", 4, 1), ("e", 8, 1), ("e", 9, 1)]
+
+
+def test_clusters_against_brute_force(spark):
+    import random
+
+    from quirework.functions.fuzzy import token_sort_ratio
+    from quirework.operators.clusters import greedy
+
+    r = random.Random(5)
+    ddl = "dest string, id long, title string, authors array<string>, isbn string, year int"
+    rows = [(f"d{r.randrange(4)}", i, r.choice(["war and peace", "peace and war", "war and piece", "other", ""]), r.sample(["ann lee", "lee ann", "bo"], r.randint(0, 2)), r.choice([None, None, "1", "2"]), r.choice([None, 1999, 2005])) for i in range(160)]
+
+    def same(a, b):
+        if a[4] and a[4] == b[4]:
+            return True
+        near = lambda x, y: token_sort_ratio(x, y) >= 85
+        return bool(a[2] and b[2] and near(a[2], b[2]) and any(near(x, y) for x in a[3] for y in b[3]) and not (a[5] and b[5] and a[5] != b[5]))
+
+    want = []
+    for dest in sorted({x[0] for x in rows}):
+        found = []
+        for x in [y for y in rows if y[0] == dest]:
+            base = lambda c: min([y for y in c if y[4]] or c, key=lambda y: y[1])
+            home = next((c for c in found if same(base(c), x)), None)
+            home.append(x) if home else found.append([x])
+        want += [(dest, i, min([y for y in c if y[4]] or c, key=lambda y: y[1])[1], len(c)) for i, c in enumerate(found)]
+    assert sorted(tuple(x) for x in greedy(spark.createDataFrame(rows, ddl)).collect()) == sorted(want)
+
+
+def test_proposals_are_sought_in_every_window_and_for_every_author(spark):
+    from quirework.operators import content, proposals
+
+    ddl = "title string, authors array<string>, isbn string, isbn_from_text string, first_page string, broader string"
+    rows = [("Nothing alike here", ["Nobody", "Karel Čapek"], None, None, "plain prose of page one", "then nothing alike here by karel capek"), ("Nothing alike here", ["Nobody"], None, None, "prose", "xyz"), ("Zz", ["Nobody"], None, None, "", None)]
+    d = spark.createDataFrame(rows, ddl)
+    assert [r.passed for r in proposals.verified(d).collect()] == [True, False, True]
+    assert [r.confirmed for r in content.confirm_identity(d).collect()] == [True, False, False]
+
+
+def test_snapshot_of_the_scan(spark, tmp_path):
+    from quirework.sources import snapshot
+
+    rows = spark.createDataFrame([("/a", 1, 2, "u1", '{"title":"A"}'), ("/b", 1, 2, None, "x"), ("/a", 2, 2, "u1", '{"title":"A2"}')], "path string, mtime long, size long, uuid string, payload string")
+    s = snapshot.saved(snapshot.put(snapshot.empty(spark), rows), f"{tmp_path}/v1")
+    assert [(r.path, r.mtime) for r in s.collect()] == [("/a", 2)]
+    listing = spark.createDataFrame([("/a", 2, 2), ("/c", 1, 1)], "path string, mtime long, size long")
+    assert sorted((r.path, r.state) for r in snapshot.looked_up(listing, s).collect()) == [("/a", "hit"), ("/c", "new")]
+    moved = snapshot.repointed(s, spark.createDataFrame([("/a", "/n")], "path string, new_path string"))
+    assert [r.path for r in moved.collect()] == ["/n"]
+    s.withColumn("version", s.version + 1).write.parquet(f"{tmp_path}/v2")
+    assert snapshot.loaded(spark, f"{tmp_path}/v2").count() == 0
