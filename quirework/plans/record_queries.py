@@ -273,10 +273,11 @@ def skip_verified_limit(spark, sf_dir):
 
 @query(D_DIAG + ", e AS (SELECT id, unnest(diags) AS d FROM diag), c AS (SELECT split_part(d, ':', 1) AS category, id, d FROM e) SELECT category, count(DISTINCT id) AS n, coalesce(list_position([" + quoted(C.CATEGORIES) + "], category), 99) AS sort_key, min(split_part(d, ':', 2)) AS verdict FROM c GROUP BY category")
 def category_report(spark, sf_dir):
-    """Records by category; a record counts once for each of its categories. Partial counts precede the shuffle."""
-    d = rules.detect_all(records(spark, sf_dir)).select("id", F.explode("diagnoses").alias("d")).select("id", "d.category", "d.verdict")
-    once = d.groupBy("category", "id").agg(F.min("verdict").alias("verdict"))
-    out = once.groupBy("category").agg(F.count("*").alias("n"), F.min("verdict").alias("verdict"))
+    """Records by category; a record counts once for each of its categories, at the first of that category in its row, so partial counts precede the only shuffle."""
+    cats = F.transform("diagnoses", lambda d: d["category"])
+    d = rules.detect_all(records(spark, sf_dir)).select(cats.alias("cats"), F.posexplode("diagnoses").alias("p", "d"))
+    first = F.array_position("cats", F.col("d.category")) == F.col("p") + 1
+    out = d.groupBy(F.col("d.category").alias("category")).agg(F.count_if(first).alias("n"), F.min("d.verdict").alias("verdict"))
     at = F.array_position(F.array(*map(F.lit, C.CATEGORIES)), F.col("category"))
     return out.select("category", "n", F.when(at > 0, at).otherwise(F.lit(99)).cast("int").alias("sort_key"), "verdict")
 

@@ -39,9 +39,9 @@ def opf_year(date: Column) -> Column:
 
 
 def overlaid(raw: Column, managed: Column) -> Column:
-    """A manifest with the managed keys (a JSON object) laid over it; all other keys survive."""
-    old, new = F.from_json(raw, "map<string,string>"), F.from_json(managed, "map<string,string>")
-    keep = F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(new, k))
+    """A manifest with the managed keys (a JSON object) laid over it; all other keys survive, numbers, lists and objects as such."""
+    old, new = F.from_json(raw, "map<string,variant>"), F.from_json(managed, "map<string,variant>")
+    keep = F.map_filter(F.coalesce(old, F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, v: ~F.map_contains_key(new, k))
     return F.to_json(F.map_concat(keep, new))
 
 

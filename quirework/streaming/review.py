@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quirework-")
+    """A path in the shared folder; a folder of this machine serves local sessions only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quirework-")
     return f"{base.rstrip('/')}/quirework/{name}-{uuid.uuid4().hex}"
 
 
@@ -28,35 +31,30 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def _first(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Keeps the first decision of a key; later ones change nothing."""
-    old = state.get if state.exists else None
-    best = old
-    for pdf in batches:
-        i = pdf.event_id.idxmin()
-        if best is None or int(pdf.event_id[i]) < best[0]:
-            best = (int(pdf.event_id[i]), str(pdf.event_type[i]))
-    if old is None and best is not None:
-        state.update(best)
-        yield pd.DataFrame({"user_id": [key[0]], "decision": [best[1]]})
+def first_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """(user_id, decision) of the first deciding event of each key.
 
+    What is decided is the table itself: each micro-batch is reduced to one row a key (partial aggregates first, so a hot key sends few rows), anti-joined with the
+    batches before it and written under its number; a replayed batch gives the same rows again."""
+    out, rows = _shared(spark, "decisions"), "user_id long, decision string, batch int"
+
+    def put(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("decision"))
+        if number:
+            first = first.join(spark.read.schema(rows).parquet(out).where(F.col("batch") < number), "user_id", "left_anti")
+        first.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def first_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """(user_id, decision) of the first deciding event of each key."""
     events = _events(spark, path).where("event_type <> 'view'")
-    # a first reduction before the state: of a key's rows in a partition only the smallest matters, so a hot key sends few rows
-    decided = events.groupBy("user_id").applyInPandasWithState(_first, "user_id long, decision string", "id long, kind string", "append", "NoTimeout")
-    out = _shared(spark, "decisions")
-    decided.writeStream.format("parquet").option("checkpointLocation", out + "-state").outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema("user_id long, decision string").parquet(out)
+    events.writeStream.foreachBatch(put).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows).parquet(out).select("user_id", "decision")
 
 
-def deduplicated(spark: SparkSession, path: str) -> DataFrame:
-    """event_id of each event once, though the stream is replayed."""
+def deduplicated(spark: SparkSession, path: str, late: str = "30 days") -> DataFrame:
+    """event_id of each event once, though the stream is replayed. State of an event is dropped once the watermark, `late` behind the newest event, has passed it."""
     once = _events(spark, path).select("event_id", "ts")
     replay = once.union(_events(spark, path).select("event_id", "ts"))
     out = _shared(spark, "events")
-    kept = replay.withWatermark("ts", "3650 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id")
+    kept = replay.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id")
     kept.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema("event_id long").parquet(out)
 
