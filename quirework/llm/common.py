@@ -26,9 +26,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests), a local one is made, once."""
+    """The folder that all executors share. Only where a local session names none (tests), one is made, once."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="quirework-"))
         found = _OWN[0]
