@@ -1,9 +1,11 @@
 """Chat formatting by a template compiler.
 
-A template is text with {{ expression }} and {% statement %} in a small sandboxed language: for / if / elif / else / set / generation
-blocks; names, attributes of messages (never of other objects), strings, integers, booleans, none; + ~ == != < <= > >= in, not in,
-and, or, not; the filters trim, upper, lower, length, escape, escape_line; loop.first, loop.last, loop.index, loop.index0. A '-' inside a tag trims the
-text beside it. There are no calls, imports or Python attributes, so a template can reach nothing but its variables.
+A template is text with {{ expression }} and {% statement %} in a sandboxed language: for / if / elif / else / set / generation
+blocks; names, keys of messages (never attributes of objects), items and slices of lists, strings, integers, lists, booleans, none; + - * % ~ == != < <= > >= in,
+not in, and, or, not, a if c else b; tests (is defined, none, string, mapping, ...); the filters in _FILTERS, the methods of texts and mappings in _METHODS, the
+functions namespace, range and raise_exception; loop.first, loop.last, loop.index, loop.index0. A '-' inside a tag trims the text beside it; with
+`blocks` a line's blanks before a statement and the newline after it go, as published chat templates expect. No other calls, imports or Python attributes
+exist, so a template can reach nothing but its variables; whatever goes wrong in it is a TemplateError.
 
 `compile_template` parses into a syntax tree, folds constants (operations on literals, branches of constant conditions,
 neighbouring pieces of text) and generates one Python closure for each node. Closures write to a sink piece by piece, with a flag for
@@ -21,6 +23,7 @@ conversation id is one conversation of its own; a null turn comes first; repeate
 from __future__ import annotations
 
 import hashlib
+import json
 import operator
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -60,13 +63,47 @@ def unescape(text: str) -> str:
 
 # ---------------------------------------------------------------- syntax
 
-_TAG = re.compile(r"\{%-?\s*(.*?)\s*-?%\}|\{\{-?\s*(.*?)\s*-?\}\}|\{#.*?#\}", re.S)
-_TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[+~|.()\[\]<>=,]))""", re.S)
+_QUOTED = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?"""
+_TAG = re.compile(r"\{#.*?#\}|\{%[-+]?\s*(" + _QUOTED + r")\s*[-+]?%\}|\{\{-?\s*(" + _QUOTED + r")\s*-?\}\}", re.S)
+_TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~|.()\[\]<>=,%*:]))""", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"'}
 _CONST = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
-_FILTERS: dict[str, Callable] = {"trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "length": len, "escape": lambda x: escape(str(x)), "escape_line": lambda x: escape_line(str(x))}
+_WORDS = ("and", "or", "not", "in", "is", "if", "else")
+
+
+def _joined(x, by: str = "") -> str:
+    return by.join(map(_text, x))
+
+
+def _json(x, indent: int | None = None) -> str:
+    return json.dumps(x, ensure_ascii=False, indent=indent)
+
+
+_FILTERS: dict[str, Callable] = {
+    "trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "length": len, "count": len, "escape": lambda x: escape(str(x)), "escape_line": lambda x: escape_line(str(x)),
+    "join": _joined, "tojson": _json, "default": lambda x, y="": y if x in (None, "") else x, "replace": lambda x, a, b: str(x).replace(a, b), "first": lambda x: next(iter(x), None), "last": lambda x: list(x)[-1] if x else None,
+    "list": list, "string": str, "int": int, "items": lambda x: list(x.items()), "capitalize": lambda x: str(x).capitalize(),
+}
+_METHODS: dict[type, tuple[str, ...]] = {str: ("strip", "lstrip", "rstrip", "startswith", "endswith", "split", "upper", "lower", "title", "replace"), dict: ("items", "keys", "values", "get")}
+_TESTS: dict[str, Callable] = {
+    "none": lambda x: x is None, "string": lambda x: isinstance(x, str), "mapping": lambda x: isinstance(x, dict), "number": lambda x: isinstance(x, int) and not isinstance(x, bool), "boolean": lambda x: isinstance(x, bool),
+    "true": lambda x: x is True, "false": lambda x: x is False, "sequence": lambda x: isinstance(x, (list, tuple, str)), "iterable": lambda x: isinstance(x, (list, tuple, str, dict, range)),
+}
+
+
+def _raise(text: str = "") -> None:
+    raise TemplateError(text)
+
+
+def _range(*bounds: int) -> range:
+    if any(abs(b) > 1_000_000 for b in bounds):
+        raise TemplateError("a range is too long")
+    return range(*bounds)
+
+
+_CALLS: dict[str, Callable] = {"raise_exception": _raise, "namespace": lambda **x: dict(x), "range": _range}
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
-_LOOP = ("first", "last", "index", "index0")
+_ARITHMETIC = {"add": operator.add, "sub": operator.sub, "mul": operator.mul, "mod": operator.mod}
 
 
 def _tokens(source: str) -> list[tuple[str, str]]:
@@ -96,11 +133,22 @@ class _Expressions:
         return None
 
     def whole(self):
-        e = self.either()
+        e = self.chosen()
         if self.i < len(self.t):
             raise TemplateError(f"left over in {self.source!r}")
         return e
 
+    def need(self, op: str) -> None:
+        if not self.take(op):
+            raise TemplateError(f"{op!r} is missing in {self.source!r}")
+
+    def chosen(self):
+        e = self.either()
+        if self.take("if"):
+            test = self.either()
+            e = ("choose", test, e, self.chosen() if self.take("else") else ("const", None))
+        return e
+
     def either(self):
         e = self.both()
         while self.take("or"):
@@ -118,36 +166,71 @@ class _Expressions:
 
     def compared(self):
         e = self.summed()
-        while op := self.take(*_COMPARE, "in", "not"):
-            if op == "not":
-                if not self.take("in"):
-                    raise TemplateError(f"'in' is missing in {self.source!r}")
+        while op := self.take(*_COMPARE, "in", "not", "is"):
+            if op == "is":
+                turned = self.take("not")
+                name = self.next()[1]
+                if name not in (*_TESTS, "defined", "undefined"):
+                    raise TemplateError(f"no test {name}")
+                e = ("not", ("test", name, e)) if turned else ("test", name, e)
+            elif op == "not":
+                self.need("in")
                 e = ("not", ("in", e, self.summed()))
             else:
                 e = ("in", e, self.summed()) if op == "in" else ("cmp", op, e, self.summed())
         return e
 
     def summed(self):
-        e = self.filtered()
-        while op := self.take("+", "~"):
-            e = ("cat" if op == "~" else "add", e, self.filtered())
+        e = self.product()
+        while op := self.take("+", "~", "-"):
+            e = ({"~": "cat", "+": "add", "-": "sub"}[op], e, self.product())
         return e
 
+    def product(self):
+        e = self.signed()
+        while op := self.take("*", "%"):
+            e = ("mul" if op == "*" else "mod", e, self.signed())
+        return e
+
+    def signed(self):
+        return ("sub", ("const", 0), self.signed()) if self.take("-") else self.filtered()
+
+    def listed(self, end: str) -> tuple:
+        """Expressions up to `end`, named ones as ('named', name, e)."""
+        out = []
+        while not self.take(end):
+            if self.peek() and self.i + 1 < len(self.t) and self.t[self.i][0] == "name" and self.t[self.i + 1] == ("op", "="):
+                name = self.next()[1]
+                self.need("=")
+                out.append(("named", name, self.chosen()))
+            else:
+                out.append(self.chosen())
+            if self.peek() != end:
+                self.need(",")
+        return ("args", *out)
+
     def filtered(self):
         e = self.primary()
-        while op := self.take("|", ".", "["):
-            if op == "[":
-                kind, value = self.next()
-                if kind != "str" or not self.take("]"):
-                    raise TemplateError("only a string may stand in brackets")
-                e = ("get", e, self.string(value))
+        while op := self.take("|", ".", "[", "("):
+            if op == "(":
+                if not (e[0] == "name" and e[1] in _CALLS or e[0] == "get" and any(e[2] in m for m in _METHODS.values())):
+                    raise TemplateError(f"no such function in {self.source!r}")
+                e = ("call", e, self.listed(")"))
+            elif op == "[":
+                start = ("const", None) if self.peek() == ":" else self.chosen()
+                if self.take(":"):
+                    stop = ("const", None) if self.peek() == "]" else self.chosen()
+                    e = ("slice", e, start, stop)
+                else:
+                    e = ("get", e, start[1]) if start[0] == "const" and isinstance(start[1], str) else ("item", e, start)
+                self.need("]")
             else:
                 kind, name = self.next()
                 if kind != "name":
                     raise TemplateError(f"a name is missing in {self.source!r}")
                 if op == "|" and name not in _FILTERS:
                     raise TemplateError(f"no filter {name}")
-                e = ("filter", name, e) if op == "|" else ("get", e, name)
+                e = ("get", e, name) if op == "." else ("filter", name, e, self.listed(")") if self.take("(") else ("args",))
         return e
 
     def next(self) -> tuple[str, str]:
@@ -166,21 +249,28 @@ class _Expressions:
             return ("const", self.string(value))
         if kind == "int":
             return ("const", int(value))
-        if kind == "name" and value not in ("and", "or", "not", "in"):
+        if kind == "name" and value not in _WORDS:
             return ("const", _CONST[value]) if value in _CONST else ("name", value)
         if value == "(":
-            e = self.either()
-            if not self.take(")"):
-                raise TemplateError(f"')' is missing in {self.source!r}")
+            e = self.chosen()
+            self.need(")")
             return e
+        if value == "[":
+            return ("list", self.listed("]"))
         raise TemplateError(f"unexpected {value!r} in {self.source!r}")
 
 
-def parse(template: str) -> list:
-    """The syntax tree: a list of ('text', s), ('out', e), ('for', name, e, body), ('if', [(e, body)]), ('set', name, e), ('gen', body)."""
+def parse(template: str, blocks: bool = False) -> list:
+    """The syntax tree: a list of ('text', s), ('out', e), ('for', name, e, body), ('if', [(e, body)]), ('set', name, e), ('put', name, key, e), ('gen', body)."""
     pieces, at = [], 0
     for m in _TAG.finditer(template):
         text = template[at : m.start()]
+        if "{{" in text or "{%" in text:
+            raise TemplateError(f"a tag is not closed in {text[:40]!r}")
+        if blocks and m[2] is None and not m[0].startswith("{%+"):
+            line = text.rpartition("\n")[2]
+            if not line.strip(" \t") and ("\n" in text or at == 0 or template[at - 1] == "\n"):
+                text = text[: len(text) - len(line)]
         pieces.append(("text", text))
         if m[0].startswith(("{%-", "{{-")):
             pieces[-1] = ("text", text.rstrip())
@@ -188,6 +278,10 @@ def parse(template: str) -> list:
         at = m.end()
         if m[0].endswith(("-%}", "-}}")):
             at += len(template[at:]) - len(template[at:].lstrip())
+        elif blocks and m[2] is None and template.startswith("\n", at):
+            at += 1
+    if "{{" in template[at:] or "{%" in template[at:]:
+        raise TemplateError(f"a tag is not closed in {template[at : at + 40]!r}")
     pieces.append(("text", template[at:]))
     pos = 0
 
@@ -222,10 +316,11 @@ def parse(template: str) -> list:
                     test = more if end == "elif" else None
                 out.append(("if", arms))
             elif word == "set":
-                m = re.fullmatch(r"([A-Za-z_]\w*)\s*=(?!=)\s*(.*)", rest.strip(), re.S)
+                m = re.fullmatch(r"([A-Za-z_]\w*)(?:\.([A-Za-z_]\w*))?\s*=(?!=)\s*(.*)", rest.strip(), re.S)
                 if not m:
                     raise TemplateError(f"can't read 'set {rest}'")
-                out.append(("set", m[1], _Expressions(m[2]).whole()))
+                e = _Expressions(m[3]).whole()
+                out.append(("put", m[1], m[2], e) if m[2] else ("set", m[1], e))
             elif word == "generation":
                 out.append(("gen", body("endgeneration")[0]))
             else:
@@ -246,8 +341,13 @@ def fold_expression(e):
         return e
     e = tuple(fold_expression(x) if isinstance(x, tuple) else x for x in e)
     parts = [x for x in e[1:] if isinstance(x, tuple)]
-    if all(p[0] == "const" for p in parts) and kind != "get":
-        return ("const", _evaluate(e)({}))
+    if kind in ("get", "item", "slice", "call", "args", "named", "list", "test", "filter") and not (kind == "filter" and all(p[0] == "const" or p == ("args",) for p in parts)):
+        return e
+    if all(p[0] == "const" or p == ("args",) for p in parts):
+        try:
+            return ("const", _evaluate(e)({}))
+        except (TypeError, ValueError, ArithmeticError):
+            return e  # what can't be computed fails where it is used
     if kind == "cat" and e[1][0] == "cat" and e[1][2][0] == "const" and e[2][0] == "const":
         return ("cat", e[1][1], ("const", _text(e[1][2][1]) + _text(e[2][1])))
     return e
@@ -285,8 +385,8 @@ def fold(tree: list) -> list:
             put(("for", node[1], fold_expression(node[2]), fold(node[3])))
         elif node[0] == "gen":
             put(("gen", fold(node[1])))
-        elif node[0] == "set":
-            put(("set", node[1], fold_expression(node[2])))
+        elif node[0] in ("set", "put"):
+            put((*node[:-1], fold_expression(node[-1])))
         else:
             put(node)
     return out
@@ -317,9 +417,60 @@ def _evaluate(e) -> Callable[[dict], object]:
             return x.get(key)
 
         return get
+    if kind in ("item", "slice"):
+        inner, *keys = (_evaluate(x) for x in e[1:])
+
+        def item(env: dict) -> object:
+            x, k = inner(env), [key(env) for key in keys]
+            if isinstance(x, dict) and kind == "item":
+                return x.get(k[0])
+            if not isinstance(x, (list, tuple, str)) or not all(i is None or isinstance(i, int) for i in k):
+                raise TemplateError("an item of something that is not a list")
+            return x[k[0] : k[1]] if kind == "slice" else x[k[0]] if -len(x) <= k[0] < len(x) else None
+
+        return item
+    if kind == "args":
+        plain, named = [_evaluate(x) for x in e[1:] if x[0] != "named"], {x[1]: _evaluate(x[2]) for x in e[1:] if x[0] == "named"}
+        return lambda env: ([v(env) for v in plain], {k: v(env) for k, v in named.items()})
+    if kind == "list":
+        inner = _evaluate(e[1])
+        return lambda env: inner(env)[0]
     if kind == "filter":
-        inner, made = _evaluate(e[2]), _FILTERS[e[1]]
-        return lambda env: made("" if (x := inner(env)) is None else x)
+        inner, made, given = _evaluate(e[2]), _FILTERS[e[1]], _evaluate(e[3])
+
+        def filtered(env: dict) -> object:
+            plain, named = given(env)
+            return made("" if (x := inner(env)) is None else x, *plain, **named)
+
+        return filtered
+    if kind == "call":
+        given = _evaluate(e[2])
+        if e[1][0] == "name":
+            made = _CALLS[e[1][1]]
+            return lambda env: made(*(a := given(env))[0], **a[1])
+        inner, method = _evaluate(e[1][1]), e[1][2]
+
+        def call(env: dict) -> object:
+            x = inner(env)
+            if method not in _METHODS.get(type(x), ()):
+                raise TemplateError(f"no {method} of this value")
+            plain, named = given(env)
+            return getattr(x, method)(*plain, **named)
+
+        return call
+    if kind == "choose":
+        test, yes, no = (_evaluate(x) for x in e[1:])
+        return lambda env: yes(env) if test(env) else no(env)
+    if kind == "test":
+        if e[1] in ("defined", "undefined"):
+            wants = e[1] == "defined"
+            if e[2][0] == "name":
+                name = e[2][1]
+                return lambda env: (name in env) == wants
+            inner = _evaluate(e[2])
+            return lambda env: (inner(env) is not None) == wants
+        inner, holds = _evaluate(e[2]), _TESTS[e[1]]
+        return lambda env: holds(inner(env))
     if kind == "not":
         inner = _evaluate(e[1])
         return lambda env: not inner(env)
@@ -332,8 +483,17 @@ def _evaluate(e) -> Callable[[dict], object]:
         return lambda env: a(env) in b(env)
     if kind == "cat":
         return lambda env: _text(a(env)) + _text(b(env))
-    if kind == "add":
-        return lambda env: a(env) + b(env)
+    if kind in _ARITHMETIC:
+        made = _ARITHMETIC[kind]
+
+        def reckoned(env: dict) -> object:
+            x, y = a(env), b(env)
+            # texts are joined or added, never multiplied or used as formats
+            if not (isinstance(x, int) and isinstance(y, int) or kind == "add" and isinstance(x, (str, list)) and type(x) is type(y)):
+                raise TemplateError(f"can't reckon with {type(x).__name__} and {type(y).__name__}")
+            return made(x, y)
+
+        return reckoned
     compare = _COMPARE[e[1]]
     return lambda env: compare(a(env), b(env))
 
@@ -371,6 +531,15 @@ def _step(node) -> Callable[[dict, Sink, bool], None]:
             env[name] = value(env)
 
         return put
+    if kind == "put":
+        name, key, value = node[1], node[2], _evaluate(node[3])
+
+        def put_in(env: dict, sink: Sink, mask: bool) -> None:
+            if not isinstance(env.get(name), dict):
+                raise TemplateError(f"{name} is no namespace")
+            env[name][key] = value(env)
+
+        return put_in
     if kind == "if":
         arms = [(_evaluate(t), _render(b)) for t, b in node[1]]
 
@@ -399,20 +568,34 @@ def _step(node) -> Callable[[dict, Sink, bool], None]:
     return loop
 
 
-def compile_template(template: str) -> Callable[..., None]:
-    """render(messages, sink, **variables): writes (text, masked) pieces to the sink."""
-    run = _render(fold(parse(template)))
+def _uses(node, name: str) -> int:
+    """How often a tree names a variable."""
+    if isinstance(node, tuple) and node[:1] == ("name",):
+        return int(node[1] == name)
+    return sum(_uses(x, name) for x in node) if isinstance(node, (tuple, list)) else 0
+
+
+def compile_template(template: str, blocks: bool = False) -> Callable[..., None]:
+    """render(messages, sink, **variables): writes (text, masked) pieces to the sink. Messages stream through if the template only loops over them, once."""
+    tree = fold(parse(template, blocks))
+    run = _render(tree)
+    streams = _uses(tree, "messages") == 1 and sum(n[0] == "for" and n[2] == ("name", "messages") for n in tree) == 1
 
     def render(messages: Iterable[dict], sink: Sink, **variables) -> None:
-        run({**variables, "messages": messages}, sink, False)
+        try:
+            run({**variables, "messages": messages if streams else list(messages)}, sink, False)
+        except TemplateError:
+            raise
+        except (TypeError, ValueError, AttributeError, KeyError, IndexError, ArithmeticError) as e:
+            raise TemplateError(str(e)) from e
 
     return render
 
 
-def formatted(template: str, messages: list[dict], **variables) -> tuple[str, list[tuple[int, int]]]:
+def formatted(template: str, messages: list[dict], blocks: bool = False, **variables) -> tuple[str, list[tuple[int, int]]]:
     """The whole text and its masked spans, for conversations that fit in memory."""
     parts, spans, at = [], [], 0
-    for text, mask in _collect(compile_template(template), messages, **variables):
+    for text, mask in _collect(compile_template(template, blocks), messages, **variables):
         if mask and text:
             if spans and spans[-1][1] == at:
                 spans[-1] = (spans[-1][0], at + len(text))

@@ -80,3 +80,76 @@ def test_long_conversation_and_other_tables(spark):
     extra = spark.createDataFrame([(1, 0, "assistant", "a")], CONV).withColumn("n_turns", F.lit(9))
     done = ct.format_conversations(extra).first()
     assert done.text[done.masked[0].start : done.masked[0].end] == "a"
+
+
+TURNS = [{"role": "system", "content": " be kind "}, {"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo }} {%"}]
+#: In the manner of published chat templates: a system turn taken out, roles that must take turns, a namespace, a generation prompt.
+PUBLISHED = """{%- if messages[0]['role'] == 'system' %}
+    {%- set system = messages[0]['content'] | trim %}
+    {%- set rest = messages[1:] %}
+{%- else %}
+    {%- set rest = messages %}
+{%- endif %}
+{%- set ns = namespace(n=0) %}
+{{- bos_token if bos_token is defined else '' }}
+{%- for m in rest %}
+    {%- if (m.role == 'user') != (loop.index0 % 2 == 0) %}
+        {{- raise_exception('roles must take turns') }}
+    {%- endif %}
+    {%- if loop.first and system is defined %}
+        {{- '[INST] <<' + system + '>> ' + m['content'].strip() + ' [/INST]' }}
+    {%- elif m.role == 'user' %}
+        {{- '[INST] ' + m['content'] + ' [/INST]' }}
+    {%- else %}
+        {%- generation %}{{- ' ' + m['content'] + '}}' }}{%- endgeneration %}
+    {%- endif %}
+    {%- set ns.n = ns.n + m.content|length %}
+{%- endfor %}
+{{- ' ' ~ ns.n ~ (tools | tojson if tools is not none else '') }}"""
+
+
+def test_a_template_as_they_are_published():
+    text, spans = ct.formatted(PUBLISHED, TURNS, bos_token="<s>", tools=[{"name": "é"}])
+    assert text == '<s>[INST] <<be kind>> hi [/INST] yo }} {%}} 10[{"name": "é"}]'
+    assert [text[a:b] for a, b in spans] == [" yo }} {%}}"]
+    assert ct.formatted(PUBLISHED, TURNS[1:], tools=None)[0] == "[INST] hi [/INST] yo }} {%}} 10"
+    with pytest.raises(ct.TemplateError, match="take turns"):
+        ct.formatted(PUBLISHED, [TURNS[2]], tools=None)
+
+
+@pytest.mark.parametrize(
+    ("template", "want"),
+    [
+        ("{{ messages[-1].role }}{{ messages[1:2]|length }}{{ messages[9] is none }}", "assistant1True"),
+        ("{{ 7 % 4 * 2 - 1 }}{{ -1 + 3 }}", "52"), ("{{ 'a' if false else 'b' }}{{ 'c' if false }}", "b"), ("{{ ['x', 'y']|join('-') }}{{ x|default('d') }}", "x-yd"),
+        ("{{ '}}' ~ \"%}\" }}", "}}%}"), ("{{ ' A,b '.strip().lower().split(',')[1] }}", "b"), ("{% for i in range(3) %}{{ i }}{% endfor %}", "012"),
+        ("{{ 'assistant' is string and messages is iterable and messages[0] is mapping and 1 is not string }}", "True"), ("{% for k, v in x %}{% endfor %}", None),
+    ],
+)
+def test_wider_language(template, want):
+    if want is None:
+        with pytest.raises(ct.TemplateError):
+            ct.formatted(template, TURNS)
+    else:
+        assert ct.formatted(template, TURNS)[0] == want
+
+
+def test_blocks_drop_their_lines():
+    t = "a\n  {% if true %}\n  b\n  {% endif %}\nc\n{{ 'd' }}\n"
+    assert ct.formatted(t, [], blocks=True)[0] == "a\n  b\nc\nd\n"
+
+
+@pytest.mark.parametrize("bad", ["{{ none in 3 }}", "{{ 1 + 'a' }}", "{{ 5 % 0 }}", "{{ messages.append(1) }}", "{{ ''.format(1) }}", "{{ ''['__class__'] }}", "{{ range(10000000) }}", "{{ x is odd }}", "{{ 'open", "{% if x", "{{ namespace }}{{ open('f') }}", "{{ messages[0].get.x }}", "{{ 'a'.join }}", "{{ 'a' * 99 }}", "{{ '%s' % 1 }}"])
+def test_whatever_fails_is_a_template_error(bad):
+    with pytest.raises(ct.TemplateError):
+        ct.formatted(bad, TURNS)
+
+
+def test_messages_stream_through_one_loop():
+    seen = []
+    ct.compile_template(ct.CHATML)(iter(TURNS), lambda t, m: seen.append(t))
+    assert "".join(seen).count(ct.START) == 3
+    lazy = (m for m in TURNS)
+    out = []
+    ct.compile_template("{{ messages|length }}")(lazy, lambda t, m: out.append(t))
+    assert out == ["3"]
