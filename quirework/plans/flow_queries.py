@@ -307,7 +307,7 @@ def opf_year(spark, sf_dir):
     return books(spark, sf_dir).selectExpr("id", f"{_DATE} AS d").select("id", year(F.col("d")).alias("year"))
 
 
-@query()
+@query(cte() + "SELECT id, CASE WHEN id % 10 > 0 THEN concat('T', id) END AS title, CASE WHEN id % 10 > 0 THEN 'Jan N' ELSE '' END AS authors, CASE WHEN id % 10 > 0 THEN '9788071741305' END AS isbn, CAST(CASE WHEN id % 10 > 0 THEN 1999 END AS INT) AS year, CASE WHEN id % 10 > 0 THEN 'sf' ELSE '' END AS tags, CASE WHEN id % 10 > 0 THEN 'S' END AS series, id % 10 = 0 AS failed FROM books")
 def opf_scan(spark, sf_dir):
     """Package documents parsed in Arrow batches; malformed ones give an error, not a failed job."""
     from quirework.sources.manifest import parsed_opf

@@ -139,7 +139,7 @@ def evidence(files: DataFrame, providers: dict[str, Callable[[bytes], dict]] | N
 
     got = files.select("path", "content").mapInArrow(run, _DDL)
     return got.select(
-        "*", isbn.first_in(F.col("scan")).alias("isbn_from_text"), text.mined_title(F.col("page")).alias("title_from_text"),
+        "*", isbn.first_in(F.col("scan")).alias("isbn_from_text"), text.mined_title(F.col("page")).alias("title_from_text"), text.mined_authors(F.col("page")).alias("authors_from_text"),
         text.mined_publisher(F.col("page")).alias("publisher_from_text"), text.mined_year(F.col("page")).alias("year_from_text"),
     )
 
