@@ -61,3 +61,25 @@ def test_odd_input(spark):
     m = toxicity.fit(docs(spark, texts), odd)
     rows = toxicity.score(docs(spark, [None, "", " ", *ODD[5:]]), m).orderBy("doc_id").collect()
     assert [r["toxicity"].severity for r in rows[:3]] == [0, 0, 0]
+
+
+def test_severity_against_brute_force_and_planted_amounts(spark):
+    """Scores word by word from the model's weights; the mean severity rises with the number of planted words, and so does the grade."""
+    import math
+    from collections import Counter
+
+    texts, labels = corpus()
+    m = toxicity.fit(docs(spark, texts), spark.createDataFrame(labels, LABELS))
+    weight = dict(zip(m.at.tolist(), m.weight.tolist(), strict=True))
+    amounts = [0, 1, 3, 8, 16]
+    planted = [" ".join([prose(5000 + i, 60, 800), *[BAD[(i + k) % 3] for k in range(n)]]) for i in range(20) for n in amounts]
+    got = {r.doc_id: r["toxicity"] for r in toxicity.score(docs(spark, planted), m).collect()}
+    for i, t in enumerate(planted):
+        words = t.lower().split()
+        c = Counter(f for w in words for f in toxicity._positions(w) if f in weight)
+        z = sum(weight[f] * math.log1p(n) for f, n in c.items()) + m.length * (math.log1p(len(words)) - 6)
+        want = sum(1 / (1 + math.exp(-max(-40, min(40, z - x)))) for x in m.theta)
+        assert abs(got[i].severity - want) < 1e-9
+    mean = [sum(got[i].severity for i in range(k, len(planted), 5)) / 20 for k in range(5)]
+    grade = [sum(got[i].grade for i in range(k, len(planted), 5)) / 20 for k in range(5)]
+    assert mean == sorted(mean) and mean[-1] - mean[0] > 1 and grade == sorted(grade)
