@@ -27,7 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 or more of five-word shingles in common) the document with the smallest id stays."""
+    """Of each group of near copies (0.8 or more of five-word shingles in common) the document with the smallest id stays.
+    SimHash fingerprints of these shingles propose the pairs, by an index of byte positions with count filtering; the shingles themselves verify them."""
     return near_copies.keep_first(docs).select(*docs.columns)
 
 

@@ -1,16 +1,23 @@
-"""Near copies by exact Jaccard similarity of word shingles: those of 0.8 or more, over five words.
-
-A text is its set of shingle hashes; equal sets are one entry, so copies never become pairs. Candidates come from MinHash: BANDS
-postings of ROWS minima each, of which a pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS (0.99997 at
-0.8, more above). A 64-bit SimHash would need a radius of about 16 bits for that, at which no byte is sure to be equal. Within a posting
-an entry is first paired with the first one and the BEFORE ones before it, sorted by the next posting, so that pairs grow with the entries and not
-with the square of a group; postings of at most BEFORE + 1 entries give all their pairs. Every pair is then verified by the sets themselves.
-
-In larger postings pairs are left over. Those within one component need no look. All entries of a larger posting with several components go through an
-exact search instead, prefix filtering: with all shingles in one order, two sets of the similarity share one of the first (1 - similarity) * n + 1 of each. The order is
+"""Near copies by SimHash: texts of which 0.8 or more of the shingles of five words are common (Jaccard, of distinct shingles).
+
+A text is its set of shingle hashes; equal sets are one entry, so copies never become pairs. At similarity 0.8 about 15 % of a fingerprint's bits
+differ, which leaves 64 bits no byte that is sure to be equal. So a fingerprint here has 23 words: 168 byte positions are indexed, the other 90
+bits are a check. Two entries of similarity 0.8 share 45 of the 168 (position, byte) tokens on average, unrelated ones less than one.
+As in `simhash`, lists of single tokens would be too long, and postings are for positions taken jointly: GROUPS groups of three positions, with a posting for
+each two of a group, so a pair that shares more than GROUPS tokens shares a posting for sure, and one of similarity 0.8 with probability
+1 - 0.82^GROUPS (0.99998). Bits of small sets differ more often: up to SHORT shingles a second grouping is posted, up to SHORTEST a third, too.
+A posting is sorted by size; each entry meets those before it of a size that allows the similarity, and is paired with the
+BEFORE nearest whose check bits differ by at most RADIUS. Then the equal (position, byte) tokens of the whole fingerprints are
+counted, pairs below LEAST_EQUAL go, and the sets themselves verify the rest.
+
+Pairs are left over where an entry has more than BEFORE such neighbours, or a posting more than LIMIT entries of like size. Both entries are
+marked then. Pairs within one component need no look. All marked entries of a posting in which they have several components go through an
+exact search, prefix filtering: with all shingles in one order, two sets of the similarity share one of the first (1 - similarity) * n + 1 of each. The order is
 rare ones first, by counts of hashed shingles, so a passage that many texts share is in no one's prefix; entries of different components that share a prefix shingle
 are verified. Groups are the components of all verified pairs.
 
+A posting holds 1/65536 of the entries or more: three at 0.5 GB, some 200 at 30 GB. Comparisons of check bits within postings therefore grow with the square of the corpus.
+
 Odd input: null text counts as empty; texts without words are copies of each other; a text of fewer words than a shingle is one
 shingle; rows without an id are no one's copies and stay; extra columns are kept; an empty table gives an empty result.
 """
@@ -30,12 +37,20 @@ from quirework.llm.common import join_small, unused, written
 from quirework.llm.simhash import CHUNK, SEED, components
 
 SHINGLE, SIMILARITY = 5, (4, 5)
-BANDS, ROWS, BEFORE = 20, 4, 8
+#: Words of a fingerprint: the first and the last are for the check.
+WORDS, GROUPS, SHORT, SHORTEST = 23, 56, 25, 5
+BEFORE, LIMIT, LEAST_EQUAL = 1, 1024, 10
+#: Differing check bits of a pair at most; the second for sets of at most SHORT shingles.
+RADIUS, RADIUS_SHORT = 30, 34
 _DRAW = np.random.RandomState(SEED)
-_XOR = _DRAW.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64)
-_ODD = _DRAW.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-#: Hashes whose minima are taken at once, and of sets handed on together; they bound memory.
-_STEP, _HANDED = 1 << 12, 1 << 20
+_ADD = _DRAW.randint(0, 1 << 62, WORDS).astype(np.uint64) * np.uint64(4) + _DRAW.randint(0, 4, WORDS).astype(np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+#: Hashes whose bits are counted at once in bytes, entries posted at once, and hashes of sets handed on together; they bound memory.
+_STEP, _POSTED, _HANDED = 255, 1 << 8, 1 << 20
+#: A posting's key is followed by the size, as _SIZE_BITS bits of its logarithm to _SIZE_BASE, and by _CHECK_BITS bits of the last word.
+_SIZE_BITS, _SIZE_BASE, _CHECK_BITS = 12, 1.01, 26
+_SIZES_APART = int(np.ceil(np.log(SIMILARITY[1] / SIMILARITY[0]) / np.log(_SIZE_BASE))) + 1
 #: Shingles are counted in 2^_ORDER_BITS buckets.
 _ORDER_BITS = 18
 #: Keys of postings, or ids, of at most 12 bytes a row, that are broadcast at most.
@@ -58,14 +73,43 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def postings(hashes: np.ndarray) -> np.ndarray:
-    """The signed keys of a set's BANDS postings."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The WORDS words of a set's SimHash; a bit is 1 if set in over half of its shingles' hashes, which a mixer draws out to as many words."""
+    ones = np.zeros(64 * WORDS, np.int64)
     with np.errstate(over="ignore"):
         for lo in range(0, len(hashes), _STEP):
-            np.minimum(least, ((hashes[lo : lo + _STEP, None] ^ _XOR) * _ODD).min(axis=0), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+            z = hashes[lo : lo + _STEP, None] + _ADD
+            for shift, factor in _MIX:
+                z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+            z ^= z >> np.uint64(31)
+            bits = np.unpackbits(z.view(np.uint8), axis=1, bitorder="little")
+            ones += bits.view(np.uint64).sum(axis=0).view(np.uint8)  # eight counts of a byte each at once
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _tables() -> list[np.ndarray]:
+    """The three groupings: of each, the pairs of indexed byte positions that make a posting. No pair is in two of them."""
+    i = np.arange(GROUPS)
+    out = []
+    for one, two in ((0, 0), (1, 3), (2, 5)):
+        x, y, z = i, GROUPS + (i + one) % GROUPS, 2 * GROUPS + (i + two) % GROUPS
+        out.append(np.concatenate([[x, y], [x, z], [y, z]], axis=1))
+    return out
+
+
+TABLES = _tables()
+
+
+def postings(prints: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, keys) of the postings of fingerprints (rows of prints); keys hold the posting, the size and check bits, in that order."""
+    tokens = prints[:, 1:-1].copy().view(np.uint8).astype(np.int64)
+    tail = (np.log(np.maximum(sizes, 1)) / np.log(_SIZE_BASE)).astype(np.int64) << _CHECK_BITS
+    tail |= (prints[:, -1] & np.uint64((1 << _CHECK_BITS) - 1)).astype(np.int64)
+    for k, ((x, y), most) in enumerate(zip(TABLES, (np.inf, SHORT, SHORTEST), strict=True)):
+        at = np.flatnonzero((sizes > 0) & (sizes <= most))
+        table = np.arange(len(x)) + k * len(x)
+        key = (table << 16) | (tokens[at][:, x] << 8) | tokens[at][:, y]
+        yield np.repeat(at, len(x)), ((key << (_SIZE_BITS + _CHECK_BITS)) | tail[at, None]).reshape(-1)
 
 
 def _name(hashes: np.ndarray) -> int:
@@ -89,7 +133,7 @@ def _entries(shingle: int):
                 s = shingles(t.as_py(), shingle)
                 names.append(_name(s))
                 sizes.append(len(s))
-                keys.append(postings(s) if len(s) else np.zeros(0, np.int64))
+                keys.append(fingerprint(s))
             yield pa.RecordBatch.from_arrays([b.column(0), _signed(names), pa.array(sizes, pa.int64()), _lists(keys)], ["id", "name", "n", "keys"])
 
     return run
@@ -108,31 +152,89 @@ def _sets(shingle: int):
     return run
 
 
-def candidates(entries: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of entries (name, n, keys) that share a posting and whose sizes allow the similarity."""
-    num, den = SIMILARITY
-    nxt = F.expr(f"keys[(i + 1) % {BANDS}]")
-    p = entries.select("name", "n", "keys", F.posexplode("keys").alias("i", "key")).select("i", "key", nxt.alias("nxt"), F.struct("name", "n").alias("e"))
-    w = Window.partitionBy("i", "key").orderBy("nxt", "e")
-    met = p.select("e", F.first("e").over(w).alias("o0"), *[F.lag("e", d).over(w).alias(f"o{d}") for d in range(1, BEFORE + 1)])
-    met = met.where("o1 is not null").select("e", F.array(*[f"o{d}" for d in range(BEFORE + 1)]).alias("others"))
-    pairs = met.select("e", F.explode("others").alias("o")).where(
-        (F.col("e.name") != F.col("o.name")) & (F.least("e.n", "o.n") * den >= F.greatest("e.n", "o.n") * num)
-    )
-    return pairs.select(F.least("e.name", "o.name").alias("a"), F.greatest("e.name", "o.name").alias("b")).distinct()
+def _words(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, _POSTED):
+            b = whole.slice(lo, _POSTED)
+            prints, names = _words(b.column(2)), b.column(0).to_numpy()
+            for at, keys in postings(prints, b.column(1).to_numpy()):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, names[at], prints[at, 0].view(np.int64))], ["key", "name", "check"])
+
+
+def _meet(before: int, limit: int):
+    """Over sorted postings: (a, b, false) for pairs taken, (posting, entry, true) for entries of pairs left over."""
+    low = _SIZE_BITS + _CHECK_BITS
+    short = int(np.log(SHORT) / np.log(_SIZE_BASE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            start = len(kept[0])
+            key, name, check = (np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(kept))
+            posting, size = key >> low, (key >> _CHECK_BITS) & ((1 << _SIZE_BITS) - 1)
+            extra = key & ((1 << _CHECK_BITS) - 1)
+            met, marked = np.zeros(len(key), np.int32), np.zeros(len(key), bool)
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            i = np.arange(start, len(key))
+            for d in range(1, limit + 2):
+                i = i[i >= d]
+                i = i[(posting[i] == posting[i - d]) & (size[i] - size[i - d] <= _SIZES_APART)]
+                if not len(i):
+                    break
+                if d > limit:
+                    marked[i] = marked[i - d] = True
+                    break
+                differ = np.bitwise_count((check[i] ^ check[i - d]).view(np.uint64)).astype(np.int64) + np.bitwise_count(extra[i] ^ extra[i - d])
+                near = i[(differ <= np.where(size[i] <= short, RADIUS_SHORT, RADIUS)) & (name[i] != name[i - d])]
+                taken, over = near[met[near] < before], near[met[near] >= before]
+                met[taken] += 1
+                found.append((name[taken], name[taken - d]))
+                marked[over] = marked[over - d] = True
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), bool))], ["a", "b", "left"])
+            if marked.any():
+                yield pa.RecordBatch.from_arrays([pa.array(posting[marked]), pa.array(name[marked]), pa.array(np.ones(int(marked.sum()), bool))], ["a", "b", "left"])
+            kept = [c[-limit - 1 :][posting[-limit - 1 :] == posting[-1]] if len(c) else c for c in (key, name, check)]
+
+    return run
+
+
+def meetings(entries: DataFrame) -> DataFrame:
+    """(a, b, left) of `_meet` over the postings of entries (name, n, keys); keys are the fingerprint's words."""
+    p = entries.select("name", "n", "keys").mapInArrow(_posted, "key long, name long, check long")
+    p = p.repartition(F.shiftright("key", _SIZE_BITS + _CHECK_BITS)).sortWithinPartitions("key", "name")
+    return p.mapInArrow(_meet(BEFORE, LIMIT), "a long, b long, left boolean").distinct()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, y = (_words(b.column(c))[:, 1:-1].copy().view(np.uint8) for c in (2, 3))
+        yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_EQUAL))
+
+
+def candidates(entries: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: pairs of entries (name, n, keys) that meet in a posting and share LEAST_EQUAL (position, byte) tokens."""
+    pairs = (meetings(entries) if met is None else met).where("not left").select("a", "b")
+    a, b = (entries.select(F.col("name").alias(c), F.col("keys").alias(k)) for c, k in (("a", "x"), ("b", "y")))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_count, "a long, b long")
 
 
-def crowded(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """(name, root, least) of the entries in a posting of more than BEFORE + 1 that holds several components."""
-    rooted = entries.join(roots, entries.name == roots.node, "left").select("name", "least", "keys", F.coalesce("root", "name").alias("root"))
-    p = rooted.select("name", "root", "least", F.posexplode("keys").alias("i", "key"))
-    big = p.groupBy("i", "key").agg(F.count("*").alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    big = written(big.where((F.col("all") > BEFORE + 1) & (F.col("lo") != F.col("hi"))).select("i", "key"), "postings")
-    return join_small(p, big, ["i", "key"], "left_semi", big.count(), BROADCAST_ROWS).select("name", "root", "least").distinct()
+def crowded(entries: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(name, root, least) of the entries marked in a posting whose marked entries are of several components."""
+    marks = met.where("left").select(F.col("a").alias("key"), F.col("b").alias("name"))
+    rooted = written(marks.join(roots, marks.name == roots.node, "left").select("key", "name", F.coalesce("root", "name").alias("root")), "marks")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    names = rooted.join(mixed, "key", "left_semi").select("name", "root").distinct()
+    return names.join(entries.select("name", "least"), "name").select("name", "root", "least")
 
 
 def _bucket(items: np.ndarray) -> np.ndarray:
-    return ((items.view(np.uint64) * _ODD[0]) >> np.uint64(64 - _ORDER_BITS)).astype(np.int64)
+    return ((items.view(np.uint64) * _ODD) >> np.uint64(64 - _ORDER_BITS)).astype(np.int64)
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
@@ -208,12 +310,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     prints = texts.mapInArrow(_entries(shingle), "id long, name long, n long, keys array<long>")
     entries = written(prints.groupBy("name").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "entries")
-    pairs = written(candidates(entries), "candidates")
+    met = written(meetings(entries), "met")
+    pairs = written(candidates(entries, met), "candidates")
     used = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
     sets = _sets_of(texts, written(entries.join(used, "name", "left_semi").select("name", "least"), "used"), shingle)
     links = written(verified(pairs, sets), "links")
     roots = written(components(links), "roots")
-    crowd = written(crowded(entries, roots), "crowded")
+    crowd = written(crowded(entries, met, roots), "crowded")
     if not crowd.isEmpty():
         sets = _sets_of(texts, crowd, shingle)
         roots = components(links.union(verified(written(leftover(crowd, sets), "leftover"), sets)))
