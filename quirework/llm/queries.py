@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import chat_template, decontam, line_runs, maxent_lm, pii_anchor, quality, simhash, site_style, sp_dropout, toxicity
+from quirework.llm import chat_template, decontam, line_runs, maxent_lm, periodic_runs, pii_anchor, quality, simhash, site_style, sp_dropout, toxicity
 from quirework.llm.common import table
 
 
@@ -48,9 +48,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents", spread=True))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents", spread=True))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_pii, op10_simhash)
+    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_pii, op10_simhash, op11_periodic_runs)
 }
 
 _OP5 = """
