@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +45,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: lineage ends here and every executor can read it again."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df as a written table: lineage ends here and every executor can read it again. options: of the writer."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.options(**{"compression": "snappy"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,3 +77,23 @@ def unused(columns: list[str], *names: str) -> list[str]:
 def join_small(left: DataFrame, small: DataFrame, on, how: str, rows: int, bound: int) -> DataFrame:
     """Join that broadcasts `small` only if its counted `rows` are within `bound`; else a merge join."""
     return left.join(F.broadcast(small) if rows <= bound else small.hint("merge"), on, how)
+
+
+def usual_length(vectors: DataFrame, vec_col: str) -> int:
+    """The most frequent length of the vectors, of equally frequent ones the longest; 0 if there is none but empty ones."""
+    sizes = vectors.select(F.size(F.col(vec_col)).alias("n")).where("n > 0").groupBy("n").count()
+    top = sizes.orderBy(F.desc("count"), F.desc("n")).first()
+    return top.n if top else 0
+
+
+def floors(vectors: pa.Array, length: int, scale: float, limit: int) -> tuple[pa.Array, np.ndarray]:
+    """(mask of the vectors that take part, their components as integers floor(scale * x)). Vectors take no part that are null or of another length,
+    or hold components that are null, not finite or beyond the limit."""
+    fits = pc.equal(pc.list_value_length(vectors), length).fill_null(False)
+    x = vectors.filter(fits).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, length)
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = np.floor(x * scale)
+        sound = (np.abs(x) <= limit).all(axis=1)  # false for NaN, which null becomes
+    kept = np.asarray(fits).copy()
+    kept[kept] = sound
+    return pa.array(kept), x[sound].astype(np.int64)

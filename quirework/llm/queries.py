@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import chat_template, decontam, line_runs, maxent_lm, periodic_runs, pii_anchor, quality, simhash, site_style, sp_dropout, toxicity
+from quirework.llm import chat_template, decontam, filtering_lloyd, line_runs, maxent_lm, periodic_runs, pii_anchor, quality, simhash, site_style, sp_dropout, toxicity
 from quirework.llm.common import table
 
 
@@ -52,9 +52,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(table(spark, sf_dir, "documents", spread=True))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering_lloyd.digest(table(spark, sf_dir, "embeddings", spread=True))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_pii, op10_simhash, op11_periodic_runs)
+    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_pii, op10_simhash, op11_periodic_runs, op13_vector_codes)
 }
 
 _OP5 = """
@@ -89,7 +93,38 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLE = {"op7_chat_formatting": _OP7, "op5_line_dedup": _OP5}
+_FLOORS = """
+SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
+FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+
+def _op13(rounds: int = 6) -> str:
+    """Lloyd's rounds, written out: in a_r every part has the least 256 * distance + entry; b_r are the codebooks before it."""
+    ctes = [f"v AS MATERIALIZED ({_FLOORS.format(scale=4096)})"]
+    ctes.append("p AS MATERIALIZED (SELECT vec_id, label, part, list_slice(ints, part * (len(ints) // 8) + 1, (part + 1) * (len(ints) // 8)) AS c FROM v, range(8) t(part))")
+    ctes.append("b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, c FROM p QUALIFY entry < 16)")
+    for r in range(rounds + 1):
+        ctes.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, label, part, c, min(256 * CAST(list_sum(list_transform(list_zip(c, e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS HUGEINT) + entry) AS least"
+            f" FROM (SELECT p.*, b.entry, b.c AS e FROM p JOIN b{r} b USING (part)) GROUP BY ALL)"
+        )
+        if r < rounds:
+            ctes.append(
+                f"b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM"
+                f" (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, least % 256 AS entry, unnest(c) AS x, generate_subscripts(c, 1) AS pos FROM a{r}) GROUP BY ALL)"
+                f" GROUP BY ALL) m ON m.part = b.part AND m.entry = b.entry)"
+            )
+    return (
+        "WITH " + ",\n".join(ctes) + f""",
+rows AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(least % 256 AS INT)), '' ORDER BY part) AS code, CAST(sum(least // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL),
+sums AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM rows GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM rows JOIN sums ON rows.label IS NOT DISTINCT FROM sums.label"""
+    )
+
+
+ORACLE = {"op13_vector_codes": _op13(), "op7_chat_formatting": _OP7, "op5_line_dedup": _OP5}
 
 
 def queries() -> dict:
