@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import chat_template, decontam, filtering_lloyd, line_runs, maxent_lm, periodic_runs, pii_anchor, quality, simhash, site_style, sp_dropout, toxicity
+from quirework.llm import chat_template, decontam, filtering_lloyd, line_runs, maxent_lm, periodic_runs, pii_anchor, pivot_topk, quality, simhash, site_style, sp_dropout, toxicity
 from quirework.llm.common import table
 
 
@@ -52,13 +52,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(table(spark, sf_dir, "documents", spread=True))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.digest(table(spark, sf_dir, "embeddings", spread=True))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtering_lloyd.digest(table(spark, sf_dir, "embeddings", spread=True))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_pii, op10_simhash, op11_periodic_runs, op13_vector_codes)
+    for f in (op1_decontamination, op2_quality_rules, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_pii, op10_simhash, op11_periodic_runs, op12_exact_topk, op13_vector_codes)
 }
 
 _OP5 = """
@@ -124,7 +128,15 @@ FROM rows JOIN sums ON rows.label IS NOT DISTINCT FROM sums.label"""
     )
 
 
-ORACLE = {"op13_vector_codes": _op13(), "op7_chat_formatting": _OP7, "op5_line_dedup": _OP5}
+_OP12 = f"""
+WITH v AS MATERIALIZED ({_FLOORS.format(scale=1024)})
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id, s.score
+FROM (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.ints, b.ints), lambda t: t[1] * t[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) s
+JOIN v q ON q.vec_id = s.query_id QUALIFY rank <= 10
+"""
+
+ORACLE = {"op12_exact_topk": _OP12, "op13_vector_codes": _op13(), "op7_chat_formatting": _OP7, "op5_line_dedup": _OP5}
 
 
 def queries() -> dict:
