@@ -30,6 +30,30 @@ def token_sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+def _advance(s: np.ndarray, m: np.ndarray) -> None:
+    """One column of bits for many strings at once, as in lcs: s and m have a row for each 64 bits, the carry goes from row to row."""
+    carry = None
+    for row, mask in zip(s, m, strict=True):
+        u = row & mask
+        t = row + u
+        over = t < u
+        if carry is not None:
+            t += carry
+            over |= t < carry
+        row[:] = t | (row & ~u)
+        carry = over.astype(np.uint64)
+
+
+def _left(s: np.ndarray, size: int) -> np.ndarray:
+    """Bits that are still set among the first `size`: these characters are in no common subsequence."""
+    last = np.uint64((1 << (size - 64 * (len(s) - 1))) - 1)
+    return sum((np.bitwise_count(r) for r in s[:-1]), np.bitwise_count(s[-1] & last)).astype(np.int64)
+
+
+def _split(mask: int, rows: int) -> list[int]:
+    return [mask >> 64 * r & 0xFFFFFFFFFFFFFFFF for r in range(rows)]
+
+
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter text with a window of its length in the longer, windows cut at the ends included."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
@@ -38,26 +62,49 @@ def partial_ratio(a: str, b: str) -> float:
         return 0.0 if n else 100.0
     if short in long:
         return 100.0
-    if m > 63:
-        return max(ratio(short, long[max(0, i) : i + m]) for i in range(1 - m, n))
+    rows = -(-m // 64)
     masks: dict[str, int] = {}
     for i, c in enumerate(short):
         masks[c] = masks.get(c, 0) | 1 << i
+    number = {c: k for k, c in enumerate(masks, 1)}
+    table = np.array([[0] * rows, *(_split(masks[c], rows) for c in number)], np.uint64).T
     # all windows at once: window w covers padded[w : w + m]
-    padded = np.zeros(n + 2 * (m - 1), np.uint64)
-    padded[m - 1 : m - 1 + n] = [masks.get(c, 0) for c in long]
+    padded = np.zeros((rows, n + 2 * (m - 1)), np.uint64)
+    padded[:, m - 1 : m - 1 + n] = table[:, [number.get(c, 0) for c in long]]
     windows = n + m - 1
-    full = np.uint64((1 << m) - 1)
-    s = np.full(windows, full, np.uint64)
+    s = np.full((rows, windows), 0xFFFFFFFFFFFFFFFF, np.uint64)
     for j in range(m):
-        u = s & padded[j : j + windows]
-        s = ((s + u) | (s - u)) & full
-    common = m - np.bitwise_count(s).astype(np.int64)
+        _advance(s, padded[:, j : j + windows])
+    common = m - _left(s, m)
     at = np.arange(windows)
     size = np.minimum(at + 1, m) - np.maximum(0, at - n + 1)
     return float((200.0 * common / (m + size)).max())
 
 
+class Many:
+    """Texts that others are compared with, one of these against all at a time."""
+
+    def __init__(self, texts: list[str]):
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.number: dict[str, int] = {}
+        # column j holds the j-th characters; 0 is behind the end
+        self.codes = np.zeros((int(self.sizes.max(initial=0)), len(texts)), np.int32)
+        for k, t in enumerate(texts):
+            self.codes[: len(t), k] = [self.number.setdefault(c, len(self.number) + 1) for c in t]
+
+    def lcs(self, text: str, which: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of text with the texts numbered `which`."""
+        rows = max(1, -(-len(text) // 64))
+        table = np.zeros((rows, len(self.number) + 1), np.uint64)
+        for i, c in enumerate(text):
+            if k := self.number.get(c):
+                table[i // 64, k] |= np.uint64(1 << i % 64)
+        s = np.full((rows, len(which)), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for column in self.codes[: int(self.sizes[which].max(initial=0))]:
+            _advance(s, table[:, column[which]])
+        return len(text) - _left(s, len(text)) if text else np.zeros(len(which), np.int64)
+
+
 def _pairwise(f):
     def made(a: Column, b: Column) -> Column:
         def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -70,6 +117,7 @@ def _pairwise(f):
     return made
 
 
+indel = _pairwise(ratio)
 token_sort = _pairwise(token_sort_ratio)
 partial = _pairwise(partial_ratio)
 

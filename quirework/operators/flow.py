@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quirework.functions import constants as C
 from quirework.functions import fuzzy, text
-from quirework.operators import content, rules
+from quirework.operators import content, rules, similar
+from quirework.tables import join_checked, written
 
 #: Fields of a proposal that a content or a lookup gives.
 FIELDS = ("title", "authors", "isbn", "publisher", "year")
@@ -37,17 +38,24 @@ def classified(df: DataFrame, accept_missing: bool = True, verify_ok: bool = Fal
 
 def online_fill(df: DataFrame, by_isbn: DataFrame, by_title: DataFrame) -> DataFrame:
     """df (id, identity) with `online`: the record that a lookup gives for the identity, null if none. by_isbn (isbn, source, title, authors, publisher,
-    year, rank) is asked for identities with a number; by_title (title, the same) for others, by normalised title, and its first author must be that of the
-    identity (token-sorted ratio of at least 80, lower case only) if both name one."""
+    year, rank) is asked for identities with a number; by_title (the same, ranks unique) for others, by similarity of the title and by the identity's year (see
+    `similar`), and the first author of what is found must be that of the identity (token-sorted ratio of at least 80, lower case only) if both name one.
+
+    Only distinct titles and years are looked up; the identity is worked out once for these and once for df, which is cheaper than to write df with its texts."""
     hit = F.struct("source", "title", "authors", "isbn", "publisher", "year")
     exact = by_isbn.groupBy(F.col("isbn").alias("__isbn")).agg(F.min_by(hit, "rank").alias("__exact"))
-    named = by_title.groupBy(text.normalise(F.col("title")).alias("__title")).agg(F.min_by(hit, "rank").alias("__named"))
-    asks = F.when(F.col("identity")["isbn"].isNull(), text.normalise(F.col("identity")["title"]))
-    d = df.join(exact, F.col("identity")["isbn"] == F.col("__isbn"), "left").join(named, asks == F.col("__title"), "left")
+    asks = F.when(F.col("identity")["isbn"].isNull(), F.col("identity")["title"])
+    # pinned: else the filter goes below the projection and works the identity out again
+    pinned = F.when(F.spark_partition_id() >= 0, F.struct(asks.alias("title"), F.col("identity")["year"].alias("want_year"))).alias("asks")
+    asked = written(df.select(pinned).where("asks.title <> ''").select("asks.*").distinct(), "identities")
+    named = similar.looked_up(asked, by_title.select("title", "year", F.col("rank").cast("long").alias("place"), hit.alias("hit"))).where("found is not null")
+    named = written(named.select(F.col("title").alias("__title"), F.col("want_year").alias("__year"), F.col("found.hit").alias("__named")), "named")
+    d = df.join(exact, F.col("identity")["isbn"] == F.col("__isbn"), "left")
+    d = join_checked(d, named, (asks == F.col("__title")) & F.col("identity")["year"].eqNullSafe(F.col("__year")))
     theirs, ours = (F.lower(F.get(c["authors"], F.lit(0))) for c in (F.col("__named"), F.col("identity")))
     same = F.when(theirs.isNull() | ours.isNull() | (theirs == ours), True).otherwise(fuzzy.token_sort(F.when(theirs != ours, theirs), ours) >= 80)
     found = F.coalesce("__exact", F.when(F.coalesce(same, F.lit(True)), F.col("__named")))
-    return d.withColumn("online", found).drop("__isbn", "__exact", "__title", "__named")
+    return d.withColumn("online", found).drop("__isbn", "__exact", "__title", "__year", "__named")
 
 
 def content_proposal(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from quirework.operators import content, flow, proposals, review, rules
 from quirework.plans.adapter import books, cte
 from quirework.plans.record_queries import _PLAIN, D_ISBN, d_rule, d_segment, quoted, records
 from quirework.plans.registry import query
+from quirework.plans.similar_queries import d_key, d_similar
 from quirework.plans.text_queries import D_BROKEN
 
 # ---------------------------------------------------------------- records with a content of known evidence
@@ -57,7 +58,7 @@ D_IN_CONTENT = lambda n: f"coalesce(isbn IS NOT NULL AND (isbn = {n} OR contains
 D_OWN = f"({_IN('title', 'first_page')} AND contains(first_page, authors[1]))"
 D_MINED = f"(title_from_text IS NOT NULL AND mined_author IS NOT NULL AND contains(first_page, title_from_text) AND contains(first_page, {_AUTHOR}))"
 D_IDENTITY = f"CASE WHEN {D_NUMBER} IS NOT NULL THEN 'content-isbn' WHEN {D_IN_CONTENT('NULL')} THEN 'metadata' WHEN {D_OWN} THEN 'metadata' WHEN {D_MINED} THEN 'extractor' END"
-D_IDENT = D_FLOW + f", idn AS (SELECT *, {D_IDENTITY} AS id_source, CASE WHEN {D_NUMBER} IS NOT NULL THEN {D_NUMBER} WHEN {D_IN_CONTENT('NULL')} THEN isbn END AS id_isbn, CASE WHEN {D_NUMBER} IS NOT NULL OR {D_IN_CONTENT('NULL')} THEN NULL WHEN {D_OWN} THEN title WHEN {D_MINED} THEN title_from_text END AS id_title FROM flow) "
+D_IDENT = D_FLOW + f", idn AS (SELECT *, {D_IDENTITY} AS id_source, CASE WHEN {D_NUMBER} IS NOT NULL THEN {D_NUMBER} WHEN {D_IN_CONTENT('NULL')} THEN isbn END AS id_isbn, CASE WHEN {D_NUMBER} IS NOT NULL OR {D_IN_CONTENT('NULL')} THEN NULL WHEN {D_OWN} THEN title WHEN {D_MINED} THEN title_from_text END AS id_title, CASE WHEN {D_NUMBER} IS NOT NULL OR {D_IN_CONTENT('NULL')} THEN NULL WHEN {D_OWN} THEN year WHEN {D_MINED} THEN year_from_text END AS id_year FROM flow) "
 
 
 @query(D_IDENT + "SELECT id, id_source AS source, id_isbn AS isbn, id_title AS title FROM idn")
@@ -101,7 +102,7 @@ def classify_audited(spark, sf_dir):
 
 
 _BY_ISBN = "SELECT isbn, CASE WHEN id % 2 = 0 THEN 'databazeknih' ELSE 'openlibrary' END AS source, concat('Found ', id) AS title, 'Ωψφ ΞÁ' AS author, 'Argo' AS publisher, CAST(2001 AS INT) AS year, id AS rank FROM {t} WHERE isbn IS NOT NULL AND id % 4 < 2"
-_BY_TITLE = "SELECT true_title AS title, CASE WHEN id % 2 = 0 THEN 'legie' ELSE 'google_books' END AS source, CAST(NULL AS VARCHAR(1)) AS isbn, CASE id % 3 WHEN 1 THEN 'Qqqq Wwww' ELSE 'ωψφ ξá' END AS author, 'Odeon' AS publisher, CAST(2002 AS INT) AS year, id AS rank FROM {t} WHERE id % 2 = 0"
+_BY_TITLE = "SELECT true_title AS title, CASE WHEN id % 2 = 0 THEN 'legie' ELSE 'google_books' END AS source, CAST(NULL AS VARCHAR(1)) AS isbn, CASE id % 3 WHEN 1 THEN 'Qqqq Wwww' ELSE 'ωψφ ξá' END AS author, 'Odeon' AS publisher, CAST(1990 + id % 20 AS INT) AS year, id AS rank FROM {t} WHERE id % 2 = 0"
 
 
 def _lookups(spark, d):
@@ -111,9 +112,10 @@ def _lookups(spark, d):
 
 
 D_LOOK = f""", bi AS ({_BY_ISBN.format(t='flow')}), bt AS ({_BY_TITLE.format(t='flow')}),
-ri AS (SELECT isbn, arg_min(source, rank) AS source, arg_min(title, rank) AS title FROM bi GROUP BY isbn), rt AS (SELECT title AS k, arg_min(source, rank) AS source, arg_min(title, rank) AS title, arg_min(author, rank) AS author FROM bt GROUP BY title),
+ri AS (SELECT isbn, arg_min(source, rank) AS source, arg_min(title, rank) AS title FROM bi GROUP BY isbn), kn AS (SELECT {d_key('title')} AS k, year, rank AS place FROM bt),
+aq AS (SELECT DISTINCT {d_key('id_title')} AS k, id_year AS want_year FROM cl WHERE id_isbn IS NULL AND id_title <> ''), {d_similar('aq', 'kn')},
 ol AS (SELECT c.*, CASE WHEN ri.source IS NOT NULL THEN ri.source WHEN lower(rt.author) = lower({_AUTHOR}) THEN rt.source END AS on_source, CASE WHEN ri.source IS NOT NULL THEN ri.title WHEN lower(rt.author) = lower({_AUTHOR}) THEN rt.title END AS on_title
-FROM cl c LEFT JOIN ri ON c.id_isbn = ri.isbn LEFT JOIN rt ON c.id_isbn IS NULL AND c.id_title = rt.k) """
+FROM cl c LEFT JOIN ri ON c.id_isbn = ri.isbn LEFT JOIN fd ON c.id_isbn IS NULL AND {d_key('c.id_title')} = fd.k AND c.id_year IS NOT DISTINCT FROM fd.want_year LEFT JOIN bt rt ON rt.rank = fd.place) """
 
 
 @query(D_CLASS + D_LOOK + "SELECT id, on_source AS source, on_title AS title FROM ol")

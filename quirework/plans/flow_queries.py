@@ -174,17 +174,6 @@ def same_book_isbn(spark, sf_dir):
     return k.groupBy("isbn").agg(F.min("id").alias("rep"), F.count("*").alias("members")).where("members > 1")
 
 
-@query()
-def same_book_fuzzy(spark, sf_dir):
-    """Part names alike (token-sorted ratio of at least 85 of a block's distinct names): pairs of representatives and how many parts each stands for."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(text.normalise(F.col("p_name")).alias("name")).agg(F.count("*").alias("members"), F.min("p_partkey").alias("rep"))
-    b = p.withColumn("block", F.explode(F.array_distinct(F.split("name", " "))))
-    a = b.select("block", F.col("name").alias("a"), F.col("rep").alias("rep_a"), F.col("members").alias("members_a"))
-    c = b.select("block", F.col("name").alias("b"), F.col("rep").alias("rep_b"), F.col("members").alias("members_b"))
-    pairs = a.join(c, "block").where("a < b").drop("block").distinct()
-    return pairs.withColumn("score", F.round(fuzzy.token_sort(F.col("a"), F.col("b")), 6)).where("score >= 85")
-
-
 @query()
 def greedy_clusters(spark, sf_dir):
     """Order-dependent clusters within a place: a record joins the first cluster whose base is the same book."""

@@ -144,12 +144,6 @@ def record_repair(spark, sf_dir):
     return r.select("id", "title", F.array_join("authors", "|").alias("authors"), "encoding_repaired", F.array_join("bad_fields", ",").alias("bad_fields"))
 
 
-@query()
-def token_sort(spark, sf_dir):
-    b = books(spark, sf_dir).select("id", text.normalise(F.col("title")).alias("a"), text.normalise(F.col("base")).alias("b"))
-    return b.select("id", F.round(fuzzy.token_sort(F.col("a"), F.col("b")), 6).alias("score"))
-
-
 @query()
 def title_in_text(spark, sf_dir):
     """How well the title stands in the first 4000 characters; the exact case never reaches Python's work."""
