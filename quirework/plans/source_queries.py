@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quirework.functions import fuzzy, text
+from quirework.plans import built_files
 from quirework.plans.adapter import books, cte
 from quirework.plans.book_flow_queries import D_FLOW, flow_records
+from quirework.plans.built_files import built
 from quirework.plans.record_queries import D_ISBN, records
 from quirework.plans.registry import query
+from quirework.plans.text_queries import PAGES
 from quirework.sources import files, manifest, render, review_file, web
 
 
@@ -43,10 +46,36 @@ _N = lambda: F.col("id").cast("string")
 _ID = "CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT)"
 
 
-@query(cte() + "SELECT id, md5(left(text, 5000)) AS page_md5, 'txt' AS source_format FROM books")
+#: What a book's file says: a labelled title page for one in three, then the document's text without digits and markup, and a number at its head or its end, or none.
+_NUMBER = "ISBN 80-85906-45-7"
+_LABELLED = f"CASE WHEN id % 3 = 0 THEN {PAGES[0][0]} END"
+_BODY_IN = r"trim(regexp_replace(regexp_replace(text, '[0-9<>&\f]', '', 'g'), '[ \t\n\r\x0B]+', ' ', 'g'))"
+_BODY_SPARK = r"trim(regexp_replace(regexp_replace(text, '[0-9<>&\\f]', ''), '[ \\t\\n\\r\\x0B]+', ' '))"
+_MINED = "CASE WHEN id % 3 = 0 THEN {} END"
+D_FILE = cte() + f", bk AS (SELECT id, {_LABELLED} AS label, {_BODY_IN} AS body FROM books), "
+
+
+def _file_books(spark, sf_dir):
+    return books(spark, sf_dir).selectExpr("id", f"{_LABELLED} AS label", f"{_BODY_SPARK} AS body")
+
+
+def _told(found, *more: str):
+    """Columns of evidence; what is mined counts where the page is labelled."""
+    d = found.selectExpr("*", f"{_ID} AS id")
+    return d.selectExpr("id", *more, _MINED.format("title_from_text") + " AS mined_title", _MINED.format("array_join(authors_from_text, '|')") + " AS mined_authors", _MINED.format("publisher_from_text") + " AS mined_publisher", _MINED.format("year_from_text") + " AS mined_year")
+
+
+_D_MINED = f"{_MINED.format(PAGES[0][1])} AS mined_title, {_MINED.format(PAGES[0][4])} AS mined_authors, {_MINED.format(PAGES[0][2])} AS mined_publisher, CAST({_MINED.format(PAGES[0][3])} AS INT) AS mined_year"
+_D_MINED_GOOD = _D_MINED.replace("CASE WHEN id % 3 = 0", "CASE WHEN id % 3 = 0 AND NOT bad").replace("END AS mined_authors", "WHEN id % 3 = 0 THEN '' END AS mined_authors")
+_TXT = f"CASE id % 4 WHEN 0 THEN concat_ws('', '{_NUMBER} ', label, body) WHEN 1 THEN concat_ws('', label, body, ' {_NUMBER}') ELSE concat_ws('', label, body) END"
+
+
+@query(D_FILE + f"""tx AS (SELECT id, {_TXT} AS t FROM bk) SELECT id, md5(left(t, 5000)) AS page_md5, length(t) > 5000 AS has_broader,
+CASE WHEN id % 4 = 0 OR (id % 4 = 1 AND (length(t) <= 5000 OR strlen(t) > 8000)) THEN '9788085906455' END AS isbn_from_text, CAST(NULL AS VARCHAR) AS mined_title, CASE WHEN id % 3 = 0 THEN '' END AS mined_authors, CAST(NULL AS VARCHAR) AS mined_publisher, CAST(NULL AS INT) AS mined_year FROM tx""")
 def txt_source(spark, sf_dir):
-    b = books(spark, sf_dir).select("id", _file("txt"), F.encode("text", "UTF-8").alias("content"))
-    return files.evidence(b).selectExpr(f"{_ID} AS id", "md5(page) AS page_md5", "source_format")
+    """Plain text: a number in the first 5000 characters, else in the last 5000 bytes of a longer file; nothing is mined."""
+    b = _file_books(spark, sf_dir).select("id", _file("txt"), F.encode(F.expr(_TXT), "UTF-8").alias("content"))
+    return _told(files.evidence(b), "md5(page) AS page_md5", "broader IS NOT NULL AS has_broader", "isbn_from_text")
 
 
 @query(cte() + "SELECT id, concat('Titul ', id) AS title, CASE WHEN id % 3 > 0 THEN 'Karel Novák' ELSE '' END AS authors FROM books")
@@ -67,18 +96,62 @@ def comic_source(spark, sf_dir):
     return files.evidence(b).selectExpr(f"{_ID} AS id", "title", "array_join(authors, '|') AS authors", "error is not null AS failed")
 
 
-@query(cte() + "SELECT id, concat('T', id) AS title, 'Jan Novák' AS authors, '9788071741305' AS isbn, concat('First page ', id, ' | Second page of it', CASE WHEN id % 3 = 0 THEN ' ISBN 80-85906-45-7' ELSE '' END) AS page, CASE WHEN id % 3 = 0 THEN '9788085906455' END AS isbn_from_text FROM books")
+#: Item k of the spine of a book: its labelled page, the number, nothing but a picture, missing, or a chapter.
+_ITEM = f"""CASE WHEN k = 0 AND label IS NOT NULL THEN label WHEN k = id % 17 THEN concat('Tiráž {_NUMBER} knihy ', chr(CAST(65 + k AS INT))) WHEN (k + id) % 3 = 0 THEN '' WHEN (k + id) % 7 = 2 THEN NULL
+ELSE trim(concat('Kapitola ', chr(CAST(65 + k AS INT)), ' ', left(body, 700))) END"""
+_SPINE_LENGTH = "CAST(1 + id % 19 AS INT)"
+D_EPUB = D_FILE + f"sp AS (SELECT id, label, list_transform(range(0, {_SPINE_LENGTH}), lambda k: {_ITEM}) AS items FROM bk), "
+_D_JOIN = lambda items: f"array_to_string(list_filter({items}, lambda x: length(x) > 5), ' | ')"
+
+
+@query(D_EPUB + f"""wn AS (SELECT id, {_D_JOIN('items[1:8]')} AS p, {_D_JOIN('items[1:15]')} AS br, {_D_JOIN('CASE WHEN len(items) <= 10 THEN items ELSE list_concat(items[1:5], items[-5:]) END')} AS sc FROM sp)
+SELECT id, concat('T', id) AS title, 'Jan Novák' AS authors, '9788071741305' AS isbn, md5(nullif(left(p, 8000), '')) AS page_md5, CASE WHEN length(br) > length(left(p, 8000)) THEN length(left(br, 30000)) END AS broader_chars,
+CASE WHEN p <> '' AND (contains(sc, 'ISBN') OR contains(left(p, 8000), 'ISBN')) THEN '9788085906455' END AS isbn_from_text, {_D_MINED} FROM wn""")
 def epub_source(spark, sf_dir):
-    """Embedded fields, the spine in its order (not that of the manifest), the number in the text."""
-    opf = F.concat(
-        F.lit('<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>T'), _N(), F.lit("</dc:title><dc:creator>Jan Novák</dc:creator><dc:identifier>urn:isbn:8071741302</dc:identifier></metadata>"),
-        F.lit('<manifest><item id="b" href="b.xhtml"/><item id="a" href="a.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>'),
-    )
-    box = F.lit('<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
-    first = F.concat(F.lit("<p>First page "), _N(), F.lit("</p>"))
-    second = F.when(F.col("id") % 3 == 0, "<p>Second page of it <b>ISBN 80-85906-45-7</b></p>").otherwise("<p>Second page of it</p>")
-    b = books(spark, sf_dir).select("id", _file("epub"), _zipped("META-INF/container.xml", "OEBPS/content.opf", "OEBPS/a.xhtml", "OEBPS/b.xhtml")(box, opf, first, second).alias("content"))
-    return files.evidence(b).selectExpr(f"{_ID} AS id", "title", "array_join(authors, '|') AS authors", "isbn", "page", "isbn_from_text")
+    """Embedded fields; windows of the spine by its order (not the manifest's), items without text counted; the number in the text; mined fields."""
+    spark_item = _ITEM.replace("chr(", "char(")
+    items = F.expr(f"transform(sequence(0, {_SPINE_LENGTH} - 1), k -> {spark_item})")
+    pages = F.transform(items, lambda t: F.when(t == "", "<p><img src='x.png'/></p>").otherwise(F.concat(F.lit("<p>"), t, F.lit("</p>"))))
+    b = _file_books(spark, sf_dir).select("id", _file("epub"), built(built_files.epub)(F.concat(F.lit("T"), _N()), pages).alias("content"))
+    return _told(files.evidence(b), "title", "array_join(authors, '|') AS authors", "isbn", "md5(page) AS page_md5", "CAST(char_length(broader) AS BIGINT) AS broader_chars", "isbn_from_text")
+
+
+_MARKUP_TEXT = f"concat_ws(concat(chr(10), ' '), label, nullif(body, ''), CASE WHEN id % 2 = 0 THEN '{_NUMBER}' END)"
+
+
+@query(D_FILE + f"""tx AS (SELECT id, {_MARKUP_TEXT} AS t FROM bk), fl AS (SELECT *, id % 7 = 5 AS bad FROM tx) SELECT id, bad AS failed, CASE WHEN NOT bad THEN concat('Titul ', id) END AS title, CASE WHEN bad THEN '' ELSE 'Karel Čapek|Jan Novák' END AS authors,
+CASE WHEN NOT bad AND id % 4 = 0 THEN '9788071741305' END AS isbn, CASE WHEN NOT bad THEN md5(nullif(left(t, 8000), '')) END AS page_md5, CASE WHEN NOT bad AND length(t) > 8000 THEN length(left(t, 30000)) END AS broader_chars,
+CASE WHEN NOT bad AND id % 2 = 0 THEN '9788085906455' END AS isbn_from_text, {_D_MINED_GOOD} FROM fl""")
+def mobi_source(spark, sf_dir):
+    """Mobipocket books, packed or not: embedded fields, the whole text and the number in it; cut files give an error."""
+    parts = [F.concat(F.lit("<p>"), F.col(c), F.lit("</p>")) for c in ("label", "body")]
+    markup = F.concat(F.lit("<html><body>"), *[F.coalesce(p, F.lit("")) for p in parts], F.when(F.col("id") % 2 == 0, F.lit(f"<p>{_NUMBER}</p>")).otherwise(""), F.lit("</body></html>"))
+    number = F.when(F.col("id") % 4 == 0, "8071741302")
+    raw = built(built_files.mobi)(F.concat(F.lit("Titul "), _N()), F.lit("Karel Čapek & Jan Novák"), number, markup, (1 + F.col("id") % 3 % 2).cast("int"))
+    b = _file_books(spark, sf_dir).select("id", _file("mobi"), F.when(F.col("id") % 7 == 5, F.substring(raw, 1, 300)).otherwise(raw).alias("content"))
+    return _told(files.evidence(b), "error IS NOT NULL AS failed", "title", "array_join(authors, '|') AS authors", "isbn", "md5(page) AS page_md5", "CAST(char_length(broader) AS BIGINT) AS broader_chars", "isbn_from_text")
+
+
+#: Lines of a printed document: pieces of 90 characters, 30 on a page; a page more for the number.
+D_PDF = D_FILE + f"""ln AS (SELECT id, list_concat(CASE WHEN label IS NULL THEN [] ELSE [label] END, [substr(body, CAST(90 * i + 1 AS INT), 90) FOR i IN range(0, (length(body) + 89) // 90)]) AS lines FROM bk),
+pg AS (SELECT id, list_concat([array_to_string(list_filter(lines[30 * i + 1 : 30 * i + 30], lambda x: x <> ''), chr(10)) FOR i IN range(0, greatest((len(lines) + 29) // 30, 1))], CASE WHEN id % 2 = 0 THEN ['{_NUMBER}'] ELSE [] END) AS pages FROM ln)"""
+
+
+@query(D_PDF + f""", tx AS (SELECT id, pages, array_to_string(pages[1:15], chr(12)) AS t, id % 7 = 5 AS bad FROM pg), wn AS (SELECT *, CASE WHEN trim(t, concat(' ', chr(12), chr(10))) = '' THEN NULL ELSE left(t, 5000) END AS p FROM tx)
+SELECT id, bad AS failed, CASE WHEN NOT bad THEN concat('Titul ', id) END AS title, CASE WHEN bad THEN '' ELSE 'Karel Čapek|Jan Novák' END AS authors, CASE WHEN NOT bad THEN md5(p) END AS page_md5,
+CASE WHEN NOT bad AND p IS NOT NULL AND length(t) > 5000 THEN length(left(t, 30000)) END AS broader_chars, CASE WHEN NOT bad AND (contains(p, '{_NUMBER}') OR (p IS NOT NULL AND len(pages) > 3 AND id % 2 = 0)) THEN '9788085906455' END AS isbn_from_text, {_D_MINED_GOOD} FROM wn""")
+def pdf_source(spark, sf_dir):
+    """The text layer of documents of three makes: the first 15 pages, the last five for a number; encrypted ones give an error."""
+    lines = F.concat(F.array_compact(F.array("label")), F.expr("transform(filter(sequence(0, (char_length(body) + 89) div 90), i -> i * 90 < char_length(body)), i -> substr(body, CAST(90 * i + 1 AS INT), 90))"))
+    pages = F.expr("transform(sequence(0, greatest((size(lines) + 29) div 30, 1) - 1), i -> slice(lines, CAST(30 * i + 1 AS INT), 30))")
+    last = F.when(F.col("id") % 2 == 0, F.array(F.array(F.lit(_NUMBER)))).otherwise(F.array().cast("array<array<string>>"))
+    narrow = ~F.array_join("lines", "").rlike(r"[^\x20-\x7E]")
+    kind = F.when((F.col("id") % 3 == 1) & narrow, 2).otherwise(F.col("id") % 2).cast("int")
+    b = _file_books(spark, sf_dir).select("id", lines.alias("lines")).select("id", "lines", pages.alias("pages"))
+    raw = built(built_files.pdf)(F.concat(F.lit("Titul "), _N()), F.lit("Karel Čapek; Jan Novák"), F.lit(None).cast("string"), F.concat("pages", last), kind)
+    locked = F.concat(raw, F.encode(F.lit("\ntrailer <</Encrypt 9 0 R>>"), "UTF-8"))
+    b = b.select("id", _file("pdf"), F.when(F.col("id") % 7 == 5, locked).otherwise(raw).alias("content"))
+    return _told(files.evidence(b), "error IS NOT NULL AS failed", "title", "array_join(authors, '|') AS authors", "md5(page) AS page_md5", "CAST(char_length(broader) AS BIGINT) AS broader_chars", "isbn_from_text")
 
 
 @query(cte() + ", f AS (SELECT id, unnest(['epub', 'xyz']) AS k FROM books) SELECT id, k AS source_format, k = 'xyz' OR id % 2 = 0 AS failed FROM f")

@@ -36,20 +36,29 @@ def html_to_text(spark, sf_dir):
     return p.select("page_id", F.md5("t").alias("text_md5"), F.char_length("t").cast("long").alias("n_chars"))
 
 
-@query("WITH s AS (SELECT doc_id AS id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x)) > 5) AS items FROM documents) SELECT id, left(array_to_string(items[1:8], ' | '), 8000) AS first_page FROM s")
+_ITEMS = "WITH s AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS items FROM documents)"
+_LEFT = lambda items: f"array_to_string(list_filter({items}, lambda x: length(trim(x)) > 5), ' | ')"
+
+
+def _spine(spark, sf_dir):
+    """Spine items are the document's lines. Places are counted first; items of five characters or fewer are left out then."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("items"))
+    return d, lambda items: F.array_join(F.filter(items, lambda x: F.char_length(F.trim(x)) > 5), " | ")
+
+
+@query(f"{_ITEMS} SELECT id, left({_LEFT('items[1:8]')}, 8000) AS first_page FROM s")
 def first_page_window(spark, sf_dir):
-    """Spine items are the document's lines: the first eight, at most 8000 characters."""
-    items = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.char_length(F.trim(x)) > 5)
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), items.alias("items"))
-    return d.select("id", F.left(F.array_join(F.slice("items", 1, 8), " | "), F.lit(8000)).alias("first_page"))
+    """The first eight items, at most 8000 characters."""
+    d, kept = _spine(spark, sf_dir)
+    return d.select("id", F.left(kept(F.slice("items", 1, 8)), F.lit(8000)).alias("first_page"))
 
 
-@query("WITH s AS (SELECT doc_id AS id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x)) > 5) AS items FROM documents) SELECT id, md5(array_to_string(CASE WHEN len(items) <= 10 THEN items ELSE list_concat(items[1:5], items[-5:]) END, ' | ')) AS scanned FROM s")
+@query(f"{_ITEMS} SELECT id, md5({_LEFT('CASE WHEN len(items) <= 10 THEN items ELSE list_concat(items[1:5], items[-5:]) END')}) AS scanned FROM s")
 def spine_isbn_window(spark, sf_dir):
-    items = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.char_length(F.trim(x)) > 5)
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), items.alias("items"))
+    """The first five and the last five items."""
+    d, kept = _spine(spark, sf_dir)
     window = F.when(F.size("items") <= 10, F.col("items")).otherwise(F.concat(F.slice("items", 1, 5), F.expr("slice(items, greatest(size(items) - 4, 1), 5)")))
-    return d.select("id", F.md5(F.array_join(window, " | ")).alias("scanned"))
+    return d.select("id", F.md5(kept(window)).alias("scanned"))
 
 
 @query("SELECT doc_id AS id, coalesce(length(text) >= 80 AND len(regexp_extract_all(regexp_replace(regexp_replace(text, '@page\\s*\\{[^}]*\\}', ' ', 'g'), '[{};]', ' ', 'g'), '[A-Za-zÁ-ž]{3,}')) >= 8, false) AS usable FROM documents")

@@ -1,7 +1,10 @@
-"""Evidence from book files: EPUB, comic archives, MBP sidecars and plain text, one row for each file.
+"""Evidence from book files: EPUB, Mobipocket, PDF, comic archives, MBP sidecars and plain text, one row for each file.
 
 Input is a `binaryFile` DataFrame (path, content); each format family is parsed in Arrow batches and a file that can't be read becomes a
-row with `error`. Formats that need an outside program (PDF, MOBI, OCR, rar) go through a provider, a function from bytes to evidence.
+row with `error`. Formats that need an outside program (OCR, rar, djvu, doc) go through a provider, a function from bytes to evidence.
+
+A reader gives `page`, what a title page can be mined from, `broader`, a larger window where there is more than the page, and `scan`, the texts in which a number is looked for,
+the next one only where those before it have none. Windows are taken by place first (items of a spine, pages, characters); what is empty is left out after that.
 """
 
 from __future__ import annotations
@@ -20,9 +23,14 @@ from pyspark.sql import functions as F
 
 from quirework.functions import isbn, text
 from quirework.sources.manifest import canonical
+from quirework.sources.mobi import read as read_mobi
+from quirework.sources.pdf import Document
 
 PAGE, BROADER, TXT_HEAD, TXT_TAIL = 8000, 30_000, 15_000, 5000
-_DDL = "path string, source_format string, title string, authors array<string>, isbn string, publisher string, language string, page string, broader string, scan string, error string"
+#: Items of a spine for the page and the broader text, and at either end for a number; pages of a PDF for its text, and at the end for a number.
+PAGE_ITEMS, BROADER_ITEMS, END_ITEMS, PDF_PAGES, PDF_END = 8, 15, 5, 15, 5
+PDF_PAGE = TXT_PAGE = 5000
+_DDL = "path string, source_format string, title string, authors array<string>, isbn string, publisher string, language string, page string, broader string, scan array<string>, error string"
 _NAMES = [c.split()[0] for c in _DDL.split(", ")]
 _TYPES = [pa.list_(pa.string()) if "array" in c else pa.string() for c in _DDL.split(", ")]
 
@@ -34,7 +42,6 @@ def _strip(raw: bytes) -> str:
         s = raw.decode(m[1].decode("ascii") if m else "utf-8", "replace")
     except LookupError:
         s = raw.decode("utf-8", "replace")
-    s = re.sub(r"(?i)<head\b.*?</head>|<style\b.*?</style>", " ", s, flags=re.S)
     s = re.sub(r"(?i)</(?:p|div|h[1-6]|li|tr|td|th|section|article|header|footer|body|blockquote)\s*>|<br\s*/?>", "\n", s)
     s = re.sub(r"<[^>]+>", " ", s)
     for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#8217;", "'")):
@@ -54,15 +61,53 @@ def epub(raw: bytes) -> dict:
         first = lambda tag: next((e.text.strip() for e in _all(root, tag) if e.text and e.text.strip()), None)
         href = {e.attrib.get("id"): e.attrib.get("href") for e in _all(root, "item")}
         spine = [posixpath.join(posixpath.dirname(opf), h) for e in _all(root, "itemref") if (h := href.get(e.attrib.get("idref")))]
-        texts = [t for n in spine if n in z.namelist() and len(t := _strip(z.read(n))) > 5]
-    scan = texts if len(texts) <= 10 else texts[:5] + texts[-5:]
+        held = set(z.namelist())
+        # places are counted before what is empty or missing is left out
+        want = {i for i in range(len(spine)) if i < BROADER_ITEMS or i >= len(spine) - END_ITEMS}
+        texts = {i: t for i in sorted(want) if spine[i] in held and len(t := _strip(z.read(spine[i]))) > 5}
+    joined = lambda places: " | ".join(texts[i] for i in places if i in texts)
+    n = len(spine)
+    ends = range(n) if n <= 2 * END_ITEMS else [*range(END_ITEMS), *range(n - END_ITEMS, n)]
+    page, broader = joined(range(PAGE_ITEMS))[:PAGE], joined(range(BROADER_ITEMS))
     numbers = (canonical(re.sub(r"(?i)^(urn:)?isbn:", "", e.text or "")) for e in _all(root, "identifier"))
     return {
         "title": first("title"), "authors": [e.text.strip() for e in _all(root, "creator") if e.text and e.text.strip()], "publisher": first("publisher"),
-        "language": first("language"), "isbn": next((n for n in numbers if n), None), "page": " | ".join(texts[:8])[:PAGE], "broader": " | ".join(texts)[:BROADER], "scan": " | ".join(scan),
+        "language": first("language"), "isbn": next((n for n in numbers if n), None), **_windows(page, broader, [joined(ends), page] if page else []),
     }
 
 
+def _windows(page: str, broader: str, scan: list[str]) -> dict:
+    return {"page": page or None, "broader": broader[:BROADER] if len(broader) > len(page) else None, "scan": scan}
+
+
+def mobi(raw: bytes) -> dict:
+    """Mobipocket and Palm books: a number is looked for in the whole text."""
+    meta, markup = read_mobi(raw)
+    one = lambda name: next((v for v in meta.get(name, []) if v), None)
+    numbers = (canonical(re.sub(r"(?i)^(urn:)?isbn:", "", v)) for v in meta.get("isbn", []))
+    t = _strip(markup.encode("utf-8", "replace"))
+    authors = [a.strip() for v in meta.get("author", []) for a in re.split(r"[&;]", v) if a.strip()]
+    return {"title": one("title"), "authors": authors, "publisher": one("publisher"), "language": one("language"), "isbn": next((n for n in numbers if n), None), **_windows(t[:PAGE], t, [t, t[:PAGE]])}
+
+
+def pdf(raw: bytes) -> dict:
+    """The text of the first pages; for a number the last ones too. A page that can't be read is an empty one."""
+    doc = Document(raw)
+    pages, info = doc.pages(), doc.info()
+
+    def text_of(page: dict) -> str:
+        try:
+            return doc.text(page)
+        except (ValueError, IndexError, TypeError, KeyError):
+            return ""
+
+    t = "\f".join(map(text_of, pages[:PDF_PAGES]))
+    page = t[:PDF_PAGE] if t.strip() else ""
+    end = "\f".join(map(text_of, pages[-PDF_END:])) if page and len(pages) > 3 else ""
+    made = {"title": info.get("title") or None, "authors": [a.strip() for a in re.split("[;,]", info.get("author", "")) if a.strip()], "isbn": canonical(info.get("isbn", ""))}
+    return made | _windows(page, t, [page, end]) | ({} if page or any(made.values()) else {"error": "no text and no metadata"})
+
+
 def comic(raw: bytes) -> dict:
     """ComicInfo.xml of a zipped comic; without a title, the series and number."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -101,24 +146,35 @@ def mbp(raw: bytes) -> dict:
     return {"title": found.get(b"TITL"), "authors": [found[b"AUTH"]] if b"AUTH" in found else []}
 
 
-def txt(raw: bytes) -> dict:
-    def decoded(b: bytes) -> str:
-        for codec in ("utf-8", "cp1250"):
-            try:
-                return b.decode(codec)
-            except UnicodeDecodeError:
-                continue
-        return b.decode("iso-8859-2")
+def _decoded(raw: bytes, front: bool, back: bool) -> str:
+    """Text of unknown encoding; front, back: it is cut there, perhaps within a character."""
+    for codec in ("utf-8", "cp1250"):
+        part = raw
+        if codec == "utf-8":
+            while front and part and part[0] & 0xC0 == 0x80:
+                part = part[1:]
+            for n in range(1, 4):
+                if back and len(part) >= n and part[-n] >= 0xC0:
+                    lead = part[-n]
+                    part = part[:-n] if n < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4) else part
+                    break
+        try:
+            return part.decode(codec)
+        except UnicodeDecodeError:
+            continue
+    return raw.decode("iso-8859-2")
+
 
-    head = raw[:TXT_HEAD]
-    while head and len(raw) > TXT_HEAD and head[-1] & 0xC0 == 0x80:  # a cut inside a character
-        head = head[:-1]
-    s = decoded(head[:-1] if len(raw) > TXT_HEAD and head and head[-1] >= 0xC0 else head)
-    tail = raw[-TXT_TAIL:].decode("utf-8", "replace") if len(raw) > PAGE else ""
-    return {"page": s[:5000], "broader": s, "scan": s + " | " + tail}
+def txt(raw: bytes) -> dict:
+    """A number is looked for in the page, and in the end of a longer file if there is none. Nothing is mined from plain text."""
+    s = _decoded(raw[:TXT_HEAD], False, len(raw) > TXT_HEAD)
+    scan = [s[:TXT_PAGE], _decoded(raw[-TXT_TAIL:], True, False)] if len(raw) > PAGE else [s[:TXT_PAGE]]
+    return _windows(s[:TXT_PAGE], s, scan) | {"page": s[:TXT_PAGE]}
 
 
-EXTRACTORS: dict[str, Callable[[bytes], dict]] = {"epub": epub, "cbz": comic, "mbp": mbp, "txt": txt}
+EXTRACTORS: dict[str, Callable[[bytes], dict]] = {"epub": epub, "cbz": comic, "mbp": mbp, "txt": txt, "pdf": pdf} | dict.fromkeys(("mobi", "prc", "azw", "azw3", "pdb"), mobi)
+#: Kinds of files from whose text nothing is mined.
+UNMINED = ["txt"]
 
 
 def evidence(files: DataFrame, providers: dict[str, Callable[[bytes], dict]] | None = None) -> DataFrame:
@@ -138,9 +194,11 @@ def evidence(files: DataFrame, providers: dict[str, Callable[[bytes], dict]] | N
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
     got = files.select("path", "content").mapInArrow(run, _DDL)
+    page = F.when(~F.col("source_format").isin(UNMINED), F.col("page"))
+    number = F.get(F.filter(F.transform("scan", isbn.first_in), lambda n: n.isNotNull()), F.lit(0))
     return got.select(
-        "*", isbn.first_in(F.col("scan")).alias("isbn_from_text"), text.mined_title(F.col("page")).alias("title_from_text"), text.mined_authors(F.col("page")).alias("authors_from_text"),
-        text.mined_publisher(F.col("page")).alias("publisher_from_text"), text.mined_year(F.col("page")).alias("year_from_text"),
+        "*", number.alias("isbn_from_text"), text.mined_title(page).alias("title_from_text"), text.mined_authors(page).alias("authors_from_text"),
+        text.mined_publisher(page).alias("publisher_from_text"), text.mined_year(page).alias("year_from_text"),
     )
 
 
