@@ -349,6 +349,44 @@ def stream_review_first_decision(spark, sf_dir):
     return first_decisions(spark, f"{sf_dir}/events.parquet")
 
 
+_RESULT = [
+    "md5(concat('book-', doc_id)) AS uuid", "doc_id AS pos", "doc_id % 5 > 0 AS wanted", "CASE doc_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'delete' END AS action", "concat('new ', doc_id) AS proposed",
+    "concat('/now/', doc_id) AS path", "doc_id % 8 = 0 AS verified",
+]
+_EARLIER = [
+    "md5(concat('book-', doc_id)) AS uuid", "doc_id * 10 + k AS pos", "CASE doc_id % 6 WHEN 0 THEN 'keep' WHEN 3 THEN 'accept' END AS action", "concat('old ', doc_id, '-', k) AS proposed",
+    "concat('note ', doc_id) AS notes", "concat('/was/', doc_id) AS path", "doc_id % 9 = 0 AS verified",
+]
+D_STREAM = f"""WITH e AS (SELECT {", ".join(_EARLIER)} FROM (SELECT doc_id, unnest([1, 2]) AS k FROM documents WHERE doc_id % 3 < 2)), p AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY pos DESC) = 1), r AS (SELECT {", ".join(_RESULT)} FROM documents WHERE doc_id % 7 > 0),
+w AS (SELECT * FROM r WHERE wanted), fin AS (SELECT w.uuid, CASE WHEN p.action IS NOT NULL THEN p.action ELSE w.action END AS action, CASE WHEN p.action IS NOT NULL THEN p.proposed ELSE w.proposed END AS proposed, p.notes, w.path, CASE WHEN p.action IS NOT NULL THEN p.verified ELSE w.verified END AS verified,
+CASE WHEN p.action IS NOT NULL THEN 'kept' ELSE 'built' END AS state FROM w LEFT JOIN p ON w.uuid = p.uuid UNION ALL SELECT p.uuid, p.action, p.proposed, p.notes, p.path, p.verified, 'carried' FROM p ANTI JOIN w ON p.uuid = w.uuid) """
+
+
+def _streamed(spark, sf_dir):
+    """Results as they come, all of them twice, against an earlier review with repeated entries."""
+    from quirework.streaming import review
+    from quirework.tables import scratch
+
+    documents = f"{sf_dir}/documents.parquet"
+    earlier = spark.read.parquet(documents).where("doc_id % 3 < 2").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).selectExpr(*_EARLIER)
+    once = lambda: review.stream_of(spark, documents).where("doc_id % 7 > 0").selectExpr(*_RESULT)
+    out = scratch(spark, "entries")
+    return review.closed(review.reviewed(once().union(once()), earlier, out, f"{out}-state"), earlier)
+
+
+@query(D_STREAM + "SELECT * FROM fin")
+def stream_review_state(spark, sf_dir):
+    """The review after a stream of results: decided entries kept, others built, the rest carried over."""
+    return _streamed(spark, sf_dir)
+
+
+@query(D_STREAM + "SELECT count(*) AS written, count_if(state = 'kept') AS kept, count_if(state = 'carried') AS carried, count_if(state = 'built' AND action = 'accept') AS accept, count_if(state = 'built' AND action IS NULL) AS open, count_if(state = 'built' AND action <> 'accept') AS other, count_if(state = 'built' AND verified) AS verified FROM fin")
+def stream_review_summary(spark, sf_dir):
+    from quirework.streaming.review import summary
+
+    return summary(_streamed(spark, sf_dir))
+
+
 @query("SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark, sf_dir):
     """Replayed events read as a stream, each kept once within the watermark."""
