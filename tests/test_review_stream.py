@@ -77,3 +77,49 @@ def test_first_decisions_over_batches(spark, tmp_path):
         if t != "view":
             want.setdefault(u, t)
     assert got == want
+
+
+def entries(spark, lo, n):
+    kind = "id long, uuid string, path string, action string, proposed map<string,string>, notes string, verified boolean"
+    return spark.createDataFrame([(i, f"u{i}", f"/b/{i}", [None, "accept"][i % 2], {"title": f"T: {i} # ž", "year": None, "authors": '["A", "B"]'}, "two\nlines" if i % 3 else None, True) for i in range(lo, lo + n)], kind)
+
+
+def test_sink_writes_what_is_read_back(spark, tmp_path):
+    import os
+
+    from quirework.sources import review_file, review_sink
+
+    review_sink.register(spark)
+    path = str(tmp_path / "review")
+    entries(spark, 0, 50).repartition(4).write.format("review").mode("append").save(path)
+    with open(f"{path}/header.yaml") as f:
+        assert "# 50 books need review." in f.read()
+    got = {r.uuid: r for r in review_file.read_reviews(spark, path).collect()}
+    assert len(got) == 50 and got["u1"].action == "accept" and got["u0"].action is None and got["u4"].notes == "two\nlines"
+    assert got["u7"].proposed == {"title": "T: 7 # ž", "year": None, "authors": '["A", "B"]'} and "year" in got["u7"].proposed_keys
+    # a task that fails leaves the old review and nothing else
+    bad = entries(spark, 100, 40).repartition(4).withColumn("path", F.when(F.col("id") == 117, F.raise_error(F.lit("disk full"))).otherwise(F.col("path")))
+    with pytest.raises(Exception, match="disk full"):
+        bad.write.format("review").mode("append").save(path)
+    assert {r.uuid for r in review_file.read_reviews(spark, path).collect()} == set(got) and os.listdir(tmp_path) == ["review"]
+    # the next one replaces it, and the old one stays behind until the run is finished
+    entries(spark, 200, 3).coalesce(1).write.format("review").mode("append").save(path)
+    assert {r.uuid for r in review_file.read_reviews(spark, path).collect()} == {"u200", "u201", "u202"}
+    assert {r.uuid for r in review_file.read_reviews(spark, f"{path}.bak").collect()} == set(got)
+    review_sink.finished(path)
+    assert os.listdir(tmp_path) == ["review"]
+    entries(spark, 0, 0).write.format("review").mode("append").save(path)
+    assert review_file.read_reviews(spark, path).count() == 0
+
+
+def test_files_that_nobody_counted_go(tmp_path):
+    from quirework.sources.review_sink import ReviewWriter, Written
+
+    w = ReviewWriter(str(tmp_path / "r"))
+    from pyspark.sql import Row
+
+    first, again = w.write(iter([Row(uuid="a", action=None)])), w.write(iter([Row(uuid="a", action=None)]))
+    w.commit([again, None, Written("gone.yaml", 0)])
+    import os
+
+    assert sorted(os.listdir(tmp_path / "r")) == ["header.yaml", again.file] and first.file != again.file
