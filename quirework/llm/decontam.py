@@ -4,7 +4,8 @@ Texts are folded to letters and digits in lower case with one space between runs
 occur with up to k = floor(rate * m) edits; then, by the q-gram lemma, item and occurrence share at least T = m + 1 - q(k + 1)
 q-grams, all on diagonals (text position less item position) at most k apart. Hits are tallied in diagonal bands of
 width 2w that overlap by w >= k (w by item), so some band holds all shared q-grams; bands with T hits or more are kept and verified
-by banded alignment, which gives edits, start and end. If T would be less than 1, k is lowered until it is 1
+by banded alignment, which gives edits, start and end of every best diagonal of a band; where an item stands exactly, its exact occurrences are
+taken one behind the other from the left, and the rest of the text is aligned. If T would be less than 1, k is lowered until it is 1
 (short items), never T; items of fewer than q characters must occur as whole words exactly.
 
 Documents are not shuffled: each task folds its rows in blocks of about BLOCK characters; a longer text is folded piece by piece, each
@@ -12,7 +13,8 @@ searched together with the last folded characters of those before it, enough for
 dropped between them. So a text of any length is searched whole in bounded memory. The
 items are the stated query set: their index goes to the tasks if it has at most ITEM_CHARS characters, else the items are dealt into
 blocks of that size by hash of their id, with one written pass over the documents for each, so that the driver and the tasks hold one
-block at a time; no item is left out.
+block at a time; no item is left out. Hits of a repetitive item in a repetitive text grow with the product of both; they are expanded EXPAND at a time
+and kept as tallies of bands.
 
 Odd input: null or empty texts and items match nothing; repeated items or ids each give their rows; a repeated row gives its own spans;
 overlapping occurrences of one item are one span, that of fewest edits (ties: the first); extra columns are kept; without
@@ -34,6 +36,8 @@ from quirework.llm.common import unused, written
 Q, RATE = 8, 0.1
 BLOCK = 1 << 20
 ITEM_CHARS = 4_000_000
+#: Hits held at once.
+EXPAND = 1 << 21
 SPAN = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 SPANS_DDL = "array<struct<item_id: long, start: long, end: long, edits: int>>"
 _BITS = 20
@@ -75,32 +79,37 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, budget: int, anchored: bool = False) -> tuple[int, int] | None:
-    """Fewest edits between the whole item and a stretch of text on diagonals lo..hi, and where the stretch ends;
-    None beyond the budget. anchored: it begins at 0, else anywhere."""
-    width, far = hi - lo + 1, np.int32(1 << 20)
-    ramp, m = np.arange(width, dtype=np.int32), len(item)
+#: In a cell of the alignment, edits stand above the place where the stretch starts, counted down from here: of equal edits the latest start is less.
+_EDIT, _PLACE = np.int64(1) << np.int64(40), np.int64((1 << 40) - 1)
+
+
+def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, budget: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """Fewest edits between the whole item and a stretch of text that ends on diagonals lo..hi, and the (start, end) of stretches of so many, one for each end; None beyond the budget."""
+    width, far = hi - lo + 1, (np.int64(1) << np.int64(20)) * _EDIT
+    ramp, m = np.arange(width, dtype=np.int64), len(item)
     before = max(0, -lo)
     padded = np.zeros(before + len(text) + max(0, m + hi + 1 - len(text)) + 1, np.uint32)
     padded[before : before + len(text)] = text
     j = ramp + lo
-    row = np.where(j < 0, far, np.where(j <= len(text), j if anchored else 0, far)).astype(np.int32)
+    row = np.where((j < 0) | (j > len(text)), far, _PLACE - j)
+    steps = ramp * _EDIT
     for i in range(m):
         at = before + i + lo
-        best = row + (padded[at : at + width] != item[i])
+        best = row + np.where(padded[at : at + width] != item[i], _EDIT, 0)
         if i + lo < 0:
             best[: -(i + lo)] = far
-        np.minimum(best[:-1], row[1:] + 1, out=best[:-1])
-        row = (np.minimum.accumulate(best - ramp) + ramp).astype(np.int32)
+        np.minimum(best[:-1], row[1:] + _EDIT, out=best[:-1])
+        row = np.minimum.accumulate(best - steps) + steps
         if i + lo < -1:  # cells before the text, but for the one where all of the item so far is left out
             row[: -(i + 1 + lo)] = far
         if i + 1 + lo <= 0 <= i + 1 + hi:
-            row[-(i + 1 + lo)] = min(row[-(i + 1 + lo)], i + 1)
-        if row.min() > budget:
+            row[-(i + 1 + lo)] = min(row[-(i + 1 + lo)], (i + 1) * _EDIT + _PLACE)
+        if row.min() >= (budget + 1) * _EDIT:
             return None
     row = np.where(j + m <= len(text), row, far)
-    x = int(row.argmin())
-    return (int(row[x]), m + lo + x) if row[x] <= budget else None
+    edits = row // _EDIT
+    least = int(edits.min())
+    return (least, [(int(_PLACE - row[x] % _EDIT), m + lo + int(x)) for x in np.flatnonzero(edits == least)]) if least <= budget else None
 
 
 class Items:
@@ -149,46 +158,93 @@ class Items:
             k[k == len(self.hash)] = 0
             ok = self.hash[k] == h[at]
             at, k = at[ok], k[ok]
-            n = self.count[k]
-            ends = np.cumsum(n)
-            entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[k] - ends + n, n)
-            item = self.item[entry]
-            # positions are moved up by the longest item, so that diagonals are never negative
-            band = (np.repeat(at, n) - self.pos[entry] + self.longest) >> self.shift[item]
             bands = (len(codes) + 2 * self.longest >> int(self.shift.min())) + 2
             # hits of one band count together only within one text of the block
             cuts = np.flatnonzero(codes == 0)
-            inside = np.repeat(np.searchsorted(cuts, at), n)
-            key, hits = np.unique((item.astype(np.int64) * (len(cuts) + 1) + inside) * bands + band, return_counts=True)
+            key, hits = self._tallies(at, k, np.searchsorted(cuts, at), len(cuts) + 1, bands)
             nxt = np.zeros_like(hits)
             follows = np.flatnonzero(key[1:] == key[:-1] + 1)
             nxt[follows] = hits[follows + 1]
+            exact: dict[tuple[int, int], list[int]] = {}
             # a band is two neighbouring halves; a half without hits before one with hits adds nothing to it alone
             for x in np.flatnonzero(hits + nxt >= self.need_of[key // (bands * (len(cuts) + 1))]):
                 i, b = divmod(int(key[x]), bands)
                 i, part = divmod(i, len(cuts) + 1)
                 begin, stop = int(cuts[part - 1]) + 1 if part else 0, int(cuts[part]) if part < len(cuts) else len(codes)
                 lo, half = (b << int(self.shift[i])) - self.longest, 1 << int(self.shift[i])
-                if got := self._verify(i, codes[begin:stop], lo - begin, lo - begin + 2 * half - 1):
-                    found.append((got[0], got[1] + begin, got[2] + begin, got[3]))
+                for s, e, edits in self._verify(i, codes[begin:stop], lo - begin, lo - begin + 2 * half - 1, exact.setdefault((i, part), [])):
+                    found.append((self.ids[i], s + begin, e + begin, edits))
         for i, c in self.short:
             found += [(i, s, s + len(c), 0) for s in _occurrences(codes, c)]
         return _apart(found)
 
-    def _verify(self, i: int, codes: np.ndarray, lo: int, hi: int) -> tuple[int, int, int, int] | None:
+    def _tallies(self, at: np.ndarray, k: np.ndarray, inside: np.ndarray, texts: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, hits) of each half band that has hits: places `at` of the text with their entries k of the table and the texts that they are in."""
+        ends = np.cumsum(self.count[k])
+        keys, hits, held, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, where = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(where, np.concatenate(hits), len(key)).astype(np.int64)
+
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + EXPAND, "right")))
+            for of in range(0, int(self.count[k[lo]]) if hi == lo + 1 else 1, EXPAND):  # one place may have more entries than that
+                n = np.minimum(self.count[k[lo:hi]] - of, EXPAND)
+                stop = np.cumsum(n)
+                entry = np.arange(stop[-1]) + np.repeat(self.first[k[lo:hi]] + of - stop + n, n)
+                item = self.item[entry]
+                # positions are moved up by the longest item, so that diagonals are never negative
+                band = (np.repeat(at[lo:hi], n) - self.pos[entry] + self.longest) >> self.shift[item]
+                key, count = np.unique((item.astype(np.int64) * texts + np.repeat(inside[lo:hi], n)) * bands + band, return_counts=True)
+                keys.append(key)
+                hits.append(count)
+                held += len(key)
+            if held > EXPAND:
+                key, count = merged()
+                keys, hits, held = [key], [count], 0
+            lo = hi
+        return merged()
+
+    def _verify(self, i: int, codes: np.ndarray, lo: int, hi: int, exact: list[int]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the item in a text on diagonals lo..hi. exact: starts of its exact occurrences in the text, apart, once some are known."""
         item, k = self.codes[i], self.k[i]
-        a, b = max(0, lo), min(len(codes), hi + len(item) + k + 1)
-        text = codes[a:b]
-        spot = text.tobytes().find(item.tobytes())
-        while spot >= 0 and spot % 4:
-            spot = text.tobytes().find(item.tobytes(), spot + 1)
-        if spot >= 0:
-            return self.ids[i], a + spot // 4, a + spot // 4 + len(item), 0
+        m = len(item)
+        a, b = max(0, lo), min(len(codes), hi + m + k + 1)
+        text, out = codes[a:b], []
+        if _find(text, item, 0) >= 0:
+            if not exact:
+                at, raw, own = 0, codes.tobytes(), item.tobytes()
+                while (at := _find_in(raw, own, at)) >= 0:
+                    exact.append(at)
+                    at += m
+                out += [(s, s + m, 0) for s in exact]
+            # what else could stand here needs room between those
+            first = max(0, bisect_left(exact, a - m) - 1)
+            edges = [exact[first - 1] + m if first else 0]
+            room, x = False, first
+            while not room and edges[-1] < b:
+                to = exact[x] if x < len(exact) else len(codes)
+                room = to - edges[-1] >= m - k and to > a
+                edges.append(to + m)
+                x += 1
+            if not room:
+                return out
         if not (got := align(item, text, lo - a - k, hi - a + k, k)):
-            return None
-        edits, end = got
-        back = align(item[::-1], text[:end][::-1], -k, k, edits, anchored=True)
-        return self.ids[i], a + end - (back[1] if back else len(item)), a + end, edits
+            return out
+        return out + [(a + start, a + end, got[0]) for start, end in got[1]]
+
+
+def _find_in(raw: bytes, item: bytes, at: int) -> int:
+    """Where the item's code points stand in raw ones from place `at` on, or -1."""
+    spot = raw.find(item, 4 * at)
+    while spot >= 0 and spot % 4:
+        spot = raw.find(item, spot + 1)
+    return spot // 4 if spot >= 0 else -1
+
+
+def _find(text: np.ndarray, item: np.ndarray, at: int) -> int:
+    return _find_in(text.tobytes(), item.tobytes(), at)
 
 
 def _occurrences(codes: np.ndarray, item: np.ndarray) -> list[int]:

@@ -157,3 +157,39 @@ def test_spans_apart_against_brute_force():
         if not any(g[0] == f[0] and g[1] < f[2] and f[1] < g[2] for g in kept):
             kept.append(f)
     assert sorted(decontam._apart(found)) == sorted(kept)
+
+
+def test_repetitive_items_are_found_one_behind_the_other():
+    item = " ".join(["0"] * 500)
+    items = decontam.Items([(1, item)])
+    for n in (1, 20, 80):
+        got = decontam.find_spans([" ".join([item] * n)], items)[0]
+        assert got == [(1, 1000 * x, 1000 * x + 999, 0) for x in range(n)]
+    # a rest with an edit behind exact ones, and tiles of which each has an edit
+    rest = item.split()[:495]
+    got = decontam.find_spans([f"{item} {item} {' '.join(rest)}" + " end"], items)[0]
+    assert [x[1:3] for x in got[:2]] == [(0, 999), (1000, 1999)] and len(got) == 3 and got[2][1] == 2000
+    r = random.Random(9)
+    base = [r.choice("abcdefghij") for _ in range(300)]
+    tiles = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in (r.randrange(300) for _ in range(30))]
+    assert len(decontam.find_spans([" ".join(tiles)], decontam.Items([(1, " ".join(base))]))[0]) == 30
+
+
+def test_hits_expanded_in_pieces_tally_alike(monkeypatch):
+    r = random.Random(10)
+    rows = [(i, " ".join(r.choice("ab") for _ in range(r.randrange(20, 90)))) for i in range(12)]
+    texts = [" ".join(r.choice("abc") if r.random() < 0.1 else r.choice("ab") for _ in range(600)) + " " + rows[k % 12][1] for k in range(20)]
+    whole = decontam.find_spans(texts, decontam.Items(rows))
+    monkeypatch.setattr(decontam, "EXPAND", 7)
+    assert decontam.find_spans(texts, decontam.Items(rows)) == whole and any(whole)
+
+
+def test_a_long_text_of_one_word_keeps_within_memory():
+    import tracemalloc
+
+    item = " ".join(["0"] * 500)
+    tracemalloc.start()
+    got = decontam.find_spans(["0 " * 150_000], decontam.Items([(1, item)]))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 300 and peak < 500e6
