@@ -6,7 +6,8 @@ Presentation importance is the entropy of the child sequences over log m; conten
 texts of log(pages that have the text) / log m: texts on every page give 0, texts on one page give 1. The composite is
 (1 - GAMMA) * presentation + GAMMA * content. Branches below LOW on at least MIN_PAGES pages are low:
 templates that a site repeats. They are removed from each page, with what structure says is no article: menus, headers, footers,
-sidebars, notices, adverts, forms, comments by element, role, or a word of the class or id. If a page has an article or main
+sidebars, notices, adverts, forms, comments by element, role, or a class or id that says nothing else. A class that has such a word among others ("login-guide", "related-reading") is only a
+reason for doubt: the element goes if links make up half of its text. If a page has an article or main
 element the text is taken from there, and the tree then decides on its inner containers (div, section) only;
 otherwise it decides on every branch of the body. A page whose branches are all low keeps them: a host of copies loses nothing.
 
@@ -15,13 +16,15 @@ low paths are few rows for a host and are joined to its pages: broadcast if thei
 else by a join whose skewed hosts Spark splits. No host's pages are gathered anywhere.
 
 Odd input: null or empty html gives an empty text; unclosed, crossed and unknown tags, comments and references without an end
-are read as browsers do as far as text goes; a form that frames the article is no form of it; a page without a url belongs to the host ''; repeated rows count each; extra columns are kept.
+are read as browsers do as far as text goes; a form without visible controls, or with an article, a heading of the first order or much prose for each control, frames the page and is no form of it;
+pages of any depth and with any number of open elements are read in one pass; a page without a url belongs to the host ''; repeated rows count each; extra columns are kept.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -58,11 +61,18 @@ CUES = frozenset(
 WEAK = frozenset("share sharing social notice notices related promotion banner alert overlay toolbar consent".split())
 FRAME = frozenset(
     "area bar block bottom box btn button buttons container content counter data dialog entry fixed floating footer group header icon icons inline inner item items js left "
-    "link links list message module msg news note outer panel post posts right row section site sticky strip sub tools top widget widgets wrap wrapper".split()
+    "link links list message module msg news note outer panel post posts right row section site sticky strip sub tools top widget widgets wrap wrapper "
+    "article articles author blog desktop field fields form full google holder info jp js law main media mobile page pages place popular primary read secondary slot square stories story text thread "
+    "title unit user users wp zone".split()
 )
-#: What a form must hold to be the frame of a page and no form of it.
+#: What makes a form the frame of a page: such an element in it, or so many characters of prose for each visible control.
 _HOLDS_ARTICLE = re.compile(r"<(?:article|main|h1)[\s/>]", re.I)
+_CONTROL = re.compile(r"<(?:select|textarea|button)[\s/>]|<input(?=[\s/>])(?![^>]*type\s*=\s*[\"']?hidden)", re.I)
 _FORM_END = re.compile(r"</form[\s/>]", re.I)
+_MARKUP = re.compile(r"<[^>]*>")
+PROSE = 300
+#: Share of an element's text in links from which a doubtful one goes.
+LINKED = 0.5
 #: These count outside an article only: an article has a header of its own.
 OUTER_CUES = frozenset("header topbar".split())
 INNER = frozenset(["div", "section"])
@@ -81,73 +91,119 @@ _DEEP = 60
 
 
 class Node:
-    __slots__ = ("tag", "path", "drop", "main", "kids", "key")
+    """An element. tree: the nearest one from it upwards that stands for itself in the style tree (deep ones share that of an outer one); doubt: the nearest doubtful one."""
 
-    def __init__(self, tag: str, path: str, drop: bool, main: bool):
+    __slots__ = ("tag", "path", "drop", "main", "kids", "key", "parent", "tree", "doubt", "size", "linked", "gone")
+
+    def __init__(self, tag: str, path: str, drop: bool, main: bool, parent: Node | None = None):
         self.tag, self.path, self.drop, self.main, self.kids, self.key = tag, path, drop, main, [], None
+        self.parent, self.size, self.linked, self.gone = parent, 0, 0, False
+        self.tree = parent.tree if parent and parent.parent and path == parent.path else self
+        self.doubt: Node | None = parent.doubt if parent else None
+
+    def above(self) -> Iterator[Node]:
+        """The elements of the style tree from this one upwards."""
+        node = self.tree
+        while node.parent:
+            yield node
+            node = node.parent.tree
+
+
+class Forms:
+    """What the forms of a page hold, counted once."""
+
+    def __init__(self, page: str):
+        self.ends = [m.start() for m in _FORM_END.finditer(page)]
+        self.articles = [m.start() for m in _HOLDS_ARTICLE.finditer(page)]
+        self.controls = [m.start() for m in _CONTROL.finditer(page)]
+        self.marks, self.markup, total = [], [0], 0
+        for m in _MARKUP.finditer(page):
+            total += m.end() - m.start()
+            self.marks.append(m.start())
+            self.markup.append(total)
+        self.length = len(page)
+
+    def frames(self, at: int) -> bool:
+        """A form that opens before `at` frames the page."""
+        e = bisect_left(self.ends, at)
+        end = self.ends[e] if e < len(self.ends) else self.length
+        count = lambda found: bisect_left(found, end) - bisect_left(found, at)
+        if count(self.articles):
+            return True
+        controls = count(self.controls)
+        prose = end - at - (self.markup[bisect_left(self.marks, end)] - self.markup[bisect_left(self.marks, at)])
+        return not controls or prose >= PROSE * controls
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
 
 
-def _cue_words(found: set[str]) -> bool:
-    cues = found & CUES
-    return bool(cues - WEAK) or bool(cues) and all(w in FRAME or len(w) < 3 for w in found - cues)
-
-
-def _frames(page: str, at: int) -> bool:
-    """A form that opens before `at` holds the article: it frames the page."""
-    end = _FORM_END.search(page, at)
-    return bool(_HOLDS_ARTICLE.search(page, at, end.start() if end else len(page)))
-
-
-def _cued(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+def _cued(tag: str, attrs: dict[str, str], inside: bool) -> bool | None:
+    """Whether an element says of itself that it is no part of the article; None: perhaps."""
     if tag in WHOLE:
         return False
     if attrs.get("role", "").lower() in ROLES:
         return True
+    doubt = False
     for name in ("class", "id"):
         for token in attrs.get(name, "").split():
             found = {w.lower() for w in _WORDS.findall(token)}
-            if not found & LAYOUT and (_cue_words(found) or not inside and tag != "article" and found & OUTER_CUES):
+            if found & LAYOUT:
+                continue
+            cues = found & CUES
+            if cues and all(w in FRAME or len(w) < 3 for w in found - cues) or not inside and tag != "article" and found & OUTER_CUES:
                 return True
-    return False
+            doubt |= bool(cues - WEAK)
+    return None if doubt else False
 
 
-def blocks(page: str | None) -> tuple[list[tuple[tuple[Node, ...], str]], list[Node]]:
-    """((open elements), text) of each block in page order, and all elements. Text in dropped elements, inline ones too, is left out."""
+def blocks(page: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
+    """(innermost element, text) of each block in page order, and all elements. Text in dropped elements, inline ones too, is left out, so is that of doubtful ones which are mostly links."""
     page = page or ""
     root = Node("", "", False, False)
     stack, every, out, parts = [root], [], [], []
+    linked, forms, open_, doubts = 0, None, Counter(), []
 
     def flush() -> None:
+        nonlocal linked
         if parts and (text := " ".join("".join(parts).split())):
-            out.append((tuple(stack[1:]), text))
+            out.append((stack[-1], text))
+            if doubt := stack[-1].doubt:
+                doubt.size += len(text)
+                doubt.linked += min(linked, len(text))
         parts.clear()
+        linked = 0
 
     def close(to: int) -> None:
         if any(n.tag in BLOCK for n in stack[to:]):
             flush()
+        open_.subtract(n.tag for n in stack[to:])
         del stack[to:]
 
+    def add(text: str) -> None:
+        nonlocal linked
+        parts.append(entities.unescape(text))
+        if open_["a"] > 0:
+            linked += len(parts[-1].strip())
+
     at, low = 0, None
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at and not stack[-1].drop:
-            parts.append(entities.unescape(page[at : m.start()]))
+            add(page[at : m.start()])
         at = m.end()
         if not (tag := m[2]):
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[i].tag == tag:
                     close(i)
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     close(i)
@@ -156,7 +212,7 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[Node, ...], str]], list[N
                     break
         if tag in ENDS:
             these, shields = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_[t] > 0 for t in these) else ():
                 if stack[i].tag in these:
                     close(i)
                     break
@@ -174,23 +230,40 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[Node, ...], str]], list[N
         above = stack[-1]
         first = attrs.get("class", "").split()[:1]
         name = tag + ("." + _DIGITS.sub("", first[0]) if first else "")
-        comment = bool(attrs) and _cued(tag, attrs, above.main)
-        drop = above.drop or tag in DROP and not (tag == "form" and _frames(page, at)) or comment or "hidden" in attrs or tag == "header" and not above.main
+        cued = _cued(tag, attrs, above.main) if attrs else False
+        if tag == "form" and not above.drop and forms is None:
+            forms = Forms(page)
+        drop = above.drop or tag in DROP and not (tag == "form" and forms.frames(at)) or bool(cued) or "hidden" in attrs or tag == "header" and not above.main
         main = above.main or tag in ("article", "main") and not drop
-        node = Node(tag, f"{above.path}/{name}" if len(stack) < _DEEP else above.path, drop, main)
+        node = Node(tag, f"{above.path}/{name}" if len(stack) < _DEEP else above.path, drop, main, above)
+        if cued is None:
+            node.doubt = node
+            doubts.append(node)
         above.kids.append(name)
         every.append(node)
         if m[3].rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         stack.append(node)
+        open_[tag] += 1
         if tag in RAW:
             low = page.lower() if low is None else low
             end = low.find(f"</{tag}", at) if len(low) == len(page) else page.find(f"</{tag}", at)
             at = len(page) if end < 0 else end
     if at < len(page) and not stack[-1].drop:
-        parts.append(entities.unescape(page[at:]))
+        add(page[at:])
     flush()
-    return out, every
+    return [(node, text) for node, text in out if not (node.doubt and node.doubt.gone)] if _settle(doubts) else out, every
+
+
+def _settle(doubts: list[Node]) -> bool:
+    """Decide the doubtful elements, given in page order: inner ones count for the outer, and go with them."""
+    for d in reversed(doubts):
+        if outer := d.parent.doubt:
+            outer.size += d.size
+            outer.linked += d.linked
+    for d in doubts:
+        d.gone = d.linked >= LINKED * d.size or bool(d.parent.doubt and d.parent.doubt.gone)
+    return bool(doubts)
 
 
 def _key(path: str) -> int:
@@ -220,9 +293,9 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     if n.tag in BLOCK:
                         kids = [k for i, k in enumerate(n.kids) if not i or k != n.kids[i - 1]]
                         once.add((host, _key_of(n), 0, _key(" ".join(kids))))
-                for above, text in found:
+                for node, text in found:
                     h = _key(text)
-                    once.update((host, _key_of(n), 1, h) for n in above if n.tag in BLOCK)
+                    once.update((host, _key_of(n), 1, h) for n in node.above() if n.tag in BLOCK)
                 seen.update(once)
             cols = list(zip(*seen, strict=True)) or [[], [], [], []]
             types = (pa.string(), pa.int64(), pa.int32(), pa.int64())
@@ -253,14 +326,14 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     """The blocks of a page's article, joined by newlines."""
     found, _ = blocks(page)
     kept = found
-    main = [x for x in kept if x[0] and x[0][-1].main]
+    main = [x for x in kept if x[0].main]
     if main:
         decide = lambda n: n.main and n.tag in INNER
     else:
         decide = lambda n: n.tag not in ("html", "body")
     kept = main or kept
     if low:
-        high = [(above, text) for above, text in kept if not any(decide(n) and _key_of(n) in low for n in above)]
+        high = [(node, text) for node, text in kept if not any(decide(n) and _key_of(n) in low for n in node.above())]
         kept = high or kept
     return "\n".join(text for _, text in kept)
 

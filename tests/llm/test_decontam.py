@@ -167,8 +167,8 @@ def test_repetitive_items_are_found_one_behind_the_other():
         assert got == [(1, 1000 * x, 1000 * x + 999, 0) for x in range(n)]
     # a rest with an edit behind exact ones, and tiles of which each has an edit
     rest = item.split()[:495]
-    got = decontam.find_spans([f"{item} {item} {' '.join(rest)}" + " end"], items)[0]
-    assert [x[1:3] for x in got[:2]] == [(0, 999), (1000, 1999)] and len(got) == 3 and got[2][1] == 2000
+    got = decontam.find_spans([f"{item} {item} something else {' '.join(rest)} end"], items)[0]
+    assert [x[1:3] for x in got[:2]] == [(0, 999), (1000, 1999)] and len(got) == 3 and got[2][1] >= 2000 and 0 < got[2][3] <= 10
     r = random.Random(9)
     base = [r.choice("abcdefghij") for _ in range(300)]
     tiles = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in (r.randrange(300) for _ in range(30))]

@@ -105,3 +105,40 @@ def test_own_columns_do_not_clash(spark):
     d = spark.createDataFrame([(1, "https://x.example.com/", page(1))], PAGES).withColumn("__style_host", F.lit("mine")).withColumn("__style_low", F.lit(7))
     got = ss.extract(d).first()
     assert (got["__style_host"], got["__style_low"], got.text) == ("mine", 7, ss.main_text(page(1)))
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<form id="aspnetForm"><div class="text"><h2>News</h2><p>Long story.</p></div></form>', "News\nLong story."),
+        ('<form><input type="hidden" name="state"><p>Story.</p></form>', "Story."),
+        ("<form>" + "<p>" + "long prose " * 60 + "</p><input name=q></form>", ("long prose " * 60).strip()),
+        ("<form><p>Subscribe to what we write</p><input type=email><button>Go</button></form><p>x</p>", "x"),
+        ("<article><p>a</p><form><label>Comment</label><textarea></textarea></form></article>", "a"),
+        ('<article><p>a</p><div class="ad-hoc"><p>b</p></div><div class="reply-to-critics">c</div><section id="comments-on-the-text">d</section></article>', "a\nb\nc\nd"),
+        ('<article class="login-guide"><p>x</p></article>', "x"),
+        ('<article><p>a</p><div class="related-reading"><a href=1>One more story</a> <a href=2>And another</a></div></article>', "a"),
+        ('<article><p>a</p><div class="advert-history"><p>Prose about it.</p><div class="sponsor-links-here"><a>only</a> <a>links</a></div></div></article>', "a\nProse about it."),
+        ('<article><p>a</p><div class="user-comments"><p>nice</p></div><div class="wp-comment-form">x</div></article>', "a"),
+    ],
+)
+def test_frames_and_doubtful_classes(html, want):
+    assert ss.main_text(html) == want
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<div>" * 100_000 + "x", "<div>x" * 100_000, "<form>x" * 100_000, "<span>" * 100_000 + "<p>x" * 100_000, "<p>" + "<span>" * 100_000 + "</div>" * 100_000, '<div class="comments-on-the-text">x' * 100_000, "<ul><li>" + "<b>" * 100_000 + "<li>x" * 100_000],
+)
+def test_one_pass_over_nested_and_unclosed_elements(html):
+    import time
+
+    began = time.process_time()
+    ss.main_text(html)
+    assert time.process_time() - began < 5
+
+
+def test_deep_elements_share_an_outer_path():
+    found, every = ss.blocks("<div>" * 200 + "<p>x</p>")
+    node = found[0][0]
+    assert node.tag == "p" and len(list(node.above())) < 70 and len(every) == 201
