@@ -57,8 +57,7 @@ CUES = frozenset(
     "newsletter subscribe signup share sharing social related recommended recommendations sidebar aside nav navbar navigation menu breadcrumb breadcrumbs "
     "footer masthead comment comments disqus respond reply replies popup modal overlay alert toolbar pagination pager login searchbox skip".split()
 )
-#: Words of a class that also name what an article is about ("market-share", "notice-period"): cues only if the rest of the class are cues or FRAME.
-WEAK = frozenset("share sharing social notice notices related promotion banner alert overlay toolbar consent".split())
+#: Words that say nothing of an element beside a cue; with any other word ("market-share", "notice-period") a class is only a doubt.
 FRAME = frozenset(
     "area bar block bottom box btn button buttons container content counter data dialog entry fixed floating footer group header icon icons inline inner item items js left "
     "link links list message module msg news note outer panel post posts right row section site sticky strip sub tools top widget widgets wrap wrapper "
@@ -154,7 +153,7 @@ def _cued(tag: str, attrs: dict[str, str], inside: bool) -> bool | None:
             cues = found & CUES
             if cues and all(w in FRAME or len(w) < 3 for w in found - cues) or not inside and tag != "article" and found & OUTER_CUES:
                 return True
-            doubt |= bool(cues - WEAK)
+            doubt |= bool(cues)
     return None if doubt else False
 
 
