@@ -217,11 +217,16 @@ def overlaps(spark, sf_dir):
     return d.select("id", F.arrays_overlap(cats, F.array(F.lit("C11"), F.lit("MISSING_COVER"))).alias("cover_work"), shared.cast("long").alias("shared"))
 
 
-@query(D_FLOW + "SELECT id, CASE WHEN embedded_author IS NOT NULL AND embedded_author = authors[1] THEN 1.0 ELSE 0.0 END = 1.0 AS same FROM flow WHERE embedded_title IS NULL")
+_T_KNOWN, _A_KNOWN = "(coalesce(title, '') <> '' AND id % 3 < 2)", "(len(authors) > 0 AND id % 4 < 2)"
+
+
+@query(D_ISBN + f"SELECT id, ({_T_KNOWN} OR {_A_KNOWN}) AND NOT ({_T_KNOWN} AND id % 3 = 1) AND NOT ({_A_KNOWN} AND id % 4 = 1) AS same FROM rec")
 def embedded_agreement(spark, sf_dir):
-    """Of records without an embedded title, whether the embedded authors are the record's (never, in these tables)."""
-    d = flow_records(spark, sf_dir).where("embedded_title is null")
-    return flow.embedded_agreement(d).select("id", F.col("match").alias("same"))
+    """Embedded titles and authors that are the record's, in other words, or missing: what both sides have must agree."""
+    r = records(spark, sf_dir)
+    title = F.expr("CASE id % 3 WHEN 0 THEN upper(title) WHEN 1 THEN '∆∆∆∆¤¤¤¤§§§§' END")
+    authors = F.when(F.col("id") % 4 == 0, F.col("authors")).when(F.col("id") % 4 == 1, F.array(F.lit("¤¤¤¤∆∆∆∆"))).otherwise(F.array().cast("array<string>"))
+    return flow.embedded_agreement(r.withColumn("embedded_title", title).withColumn("embedded_authors", authors)).select("id", F.col("match").alias("same"))
 
 
 # ---------------------------------------------------------------- review entries and their application

@@ -172,10 +172,14 @@ def sibling_fallback(spark, sf_dir):
     return files.with_fallback(f).select("book", "path")
 
 
-@query(D_ISBN + "SELECT id, regexp_replace(trim(title), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS title, array_to_string(authors, '|') AS authors, isbn, year FROM rec WHERE title <> '' AND len(list_distinct(authors)) = len(authors) AND regexp_matches(title, '^[a-zA-Z0-9áíéýěščřžůúÁÍÉÝĚŠČŘŽ ,.&<>\"-]+$')")
+_MARKED = "CASE id % 5 WHEN 0 THEN concat('<b>', title, '</b> & \"', chr(1), '\" ', chr(128512)) ELSE title END"
+_XML = "nullif(trim(regexp_replace(t, '[^\\x{9}\\x{A}\\x{D}\\x{20}-\\x{D7FF}\\x{E000}-\\x{FFFD}]', '', 'g')), '')"
+
+
+@query(D_ISBN + f", tm AS (SELECT *, {_MARKED} AS t FROM rec) SELECT id, {_XML} AS title, array_to_string(list_filter(authors, lambda x, i: list_position(authors, x) = i), '|') AS authors, isbn, year FROM tm")
 def opf_round_trip(spark, sf_dir):
-    """A rendered package document says, when read, what the record said (a repeated author once); markup in fields does no harm."""
-    r = records(spark, sf_dir).where((F.col("title") != "") & (F.size(F.array_distinct("authors")) == F.size("authors")) & F.col("title").rlike(r'^[a-zA-Z0-9áíéýěščřžůúÁÍÉÝĚŠČŘŽ ,.&<>"-]+$'))
+    """A rendered package document says, when read, what the record said (a repeated author once); markup in fields does no harm, and what XML can't hold goes."""
+    r = records(spark, sf_dir).withColumn("title", F.expr(_MARKED.replace("chr(1)", "char(1)").replace("chr(128512)", "'😀'")))
     none = F.lit(None).cast("string")
     fields = {"title": F.col("title"), "authors": F.col("authors"), "isbn": F.col("isbn"), "uuid": F.col("uuid"), "id": F.col("id"), "year": F.col("year"), "publisher": F.col("publisher"), "language": F.col("language"), "description": F.lit('a < b & "c"'), "series": none, "series_index": none, "subjects": F.array(F.lit("x")), "cover": F.lit(True)}
     o = r.select("id", manifest.parsed_opf(render.opf(fields)).alias("o"))

@@ -120,7 +120,15 @@ def title_case(spark, sf_dir):
     return books(spark, sf_dir).select("id", text.title_case(F.col("text")).alias("title"))
 
 
-_DAMAGED = "CASE id % 8 WHEN 0 THEN 'Jiшн Kosek' WHEN 1 THEN concat('\\376\\377', '\\000K\\000u') WHEN 2 THEN 'François Villon' WHEN 3 THEN 'Pan Wołodyjowski' WHEN 4 THEN 'Kamenáè Bill' WHEN 5 THEN 'x�' ELSE title END"
+_PHRASE = "Příliš žluťoučký kůň běží číslo "
+_LATIN = "Kůň běží přes řeku číslo "
+#: (what is read, what it was) by id: Cyrillic and Latin readings of cp1250, escaped bytes, names that are right as they are, and a lost letter.
+DAMAGE = [
+    ("'Jiшн Kosek'", "'Jiří Kosek'"), ("concat('\\376\\377', '\\000K\\000u')", "'Ku'"), ("'François Villon'", "'François Villon'"), ("'Pan Wołodyjowski'", "'Pan Wołodyjowski'"),
+    ("'Kamenáè Bill'", "'Kamenáč Bill'"), ("'x�'", "NULL"), (f"concat('{_PHRASE.encode('cp1250').decode('cp1251')}', id)", f"concat('{_PHRASE}', id)"),
+    (f"concat('{_LATIN.encode('cp1250').decode('cp1252')}', id)", f"concat('{_LATIN}', id)"),
+]
+_DAMAGED, D_WHOLE = ("CASE id % 8 " + " ".join(f"WHEN {k} THEN {d[at]}" for k, d in enumerate(DAMAGE)) + " END" for at in (0, 1))
 _DAMAGED_SPARK = _DAMAGED.replace("\\", "\\\\")
 _ALIEN = "".join(c for c in C.LATIN1_HIGH if c not in C.CZ_ALL)
 D_MOJIBAKE = f"CASE WHEN coalesce(s, '') = '' THEN 'none' WHEN regexp_matches(s, '\\\\[0-3][0-7]{{2}}') THEN 'octal_escape' WHEN regexp_matches(s, '[{C.MOJIBAKE_STRONG}�]') OR (regexp_matches(s, '[\\x{{400}}-\\x{{4FF}}]') AND regexp_matches(s, '[A-Za-z]')) OR (regexp_matches(s, '[{C.CZ_ALL}]') AND regexp_matches(s, '[{_ALIEN}]')) THEN 'misdecoded' ELSE 'none' END"
@@ -131,7 +139,7 @@ def mojibake_detect(spark, sf_dir):
     return books(spark, sf_dir).selectExpr("id", f"{_DAMAGED_SPARK} AS s").select("id", text.mojibake(F.col("s")).alias("kind"))
 
 
-@query()
+@query(cte() + f", v AS (SELECT id, {_DAMAGED} AS s, {D_WHOLE} AS value FROM books) SELECT id, {D_MOJIBAKE} AS kind, value FROM v WHERE kind <> 'none'")
 def mojibake_repair(spark, sf_dir):
     """Damaged rows only reach Python."""
     v = books(spark, sf_dir).selectExpr("id", f"{_DAMAGED_SPARK} AS s").withColumn("kind", text.mojibake(F.col("s")))
@@ -146,7 +154,7 @@ def double_decode(spark, sf_dir):
     return b.select("id", repair.undouble(damaged).alias("fixed"))
 
 
-@query()
+@query(cte() + f"""SELECT id, coalesce({D_WHOLE}, {_DAMAGED}) AS title, array_to_string(authors, '|') AS authors, id % 8 NOT IN (2, 3, 5) AS encoding_repaired, CASE WHEN id % 8 = 5 THEN 'title' ELSE '' END AS bad_fields FROM books""")
 def record_repair(spark, sf_dir):
     b = books(spark, sf_dir).selectExpr("id", f"{_DAMAGED_SPARK} AS title", "publisher", "authors")
     r = repair.repaired_records(b)
