@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from quirework.functions import constants as C
 from quirework.functions import text
 from quirework.functions.fuzzy import token_sort_ratio
+from quirework.operators import similar
 
 _ALIKE = 100 * C.SAME_BOOK
+#: Grams are taken in the order of their numbers: no counts of a place are known while it passes by.
+_EQUAL = np.zeros(similar.SLOTS, np.int64)
 
 
 @lru_cache(1 << 16)
@@ -21,12 +25,36 @@ def _alike(a: str, b: str) -> bool:
     return a == b or token_sort_ratio(a, b) >= _ALIKE
 
 
+def _key(title: str) -> str:
+    return " ".join(sorted(title.split()))
+
+
+@lru_cache(1 << 14)
+def _grams(title: str) -> tuple[int, ...]:
+    return tuple(similar.rarest(_key(title), _EQUAL, _ALIKE, similar.gram_size(_ALIKE)))
+
+
 class _Place:
     """The clusters of one place while its records pass by in order of id. Of a cluster only its base and its size are held: as ids rise, the base is the
-    first record until one with a number comes, and then stays."""
+    first record until one with a number comes, and then stays. Bases are found by their titles' grams: two titles that are alike share one of the first few of each (see `similar`), so
+    a record is compared with candidates only, in the clusters' order."""
 
     def __init__(self, dest: str):
         self.dest, self.base, self.size, self.by_isbn = dest, [], [], {}
+        self.by_gram: dict[int, list[int]] = {}
+        self.by_key: dict[str, list[int]] = {}
+
+    def _known(self, at: int) -> None:
+        """Cluster `at` has a new base; places of an earlier one stay, and do no harm."""
+        for g in _grams(self.base[at]["title"] or ""):
+            self.by_gram.setdefault(g, []).append(at)
+        self.by_key.setdefault(_key(self.base[at]["title"] or ""), []).append(at)
+
+    def _candidates(self, r: dict) -> list[int]:
+        found = set(self.by_key.get(_key(r["title"] or ""), ()))
+        for g in _grams(r["title"] or ""):
+            found.update(self.by_gram.get(g, ()))
+        return sorted(found)
 
     def _fits(self, base: dict, r: dict) -> bool:
         if not (base["title"] and r["title"]) or base["year"] is not None and r["year"] is not None and base["year"] != r["year"]:
@@ -36,14 +64,18 @@ class _Place:
     def take(self, r: dict) -> None:
         numbered = self.by_isbn.get(r["isbn"]) if r["isbn"] else None
         stop = len(self.base) if numbered is None else numbered
-        at = next((i for i in range(stop) if self._fits(self.base[i], r)), numbered)
+        at = next((i for i in self._candidates(r) if i < stop and self._fits(self.base[i], r)), numbered)
         if at is None:
             at = len(self.base)
             self.base.append(r)
             self.size.append(0)
         self.size[at] += 1
-        if r["isbn"] and (self.base[at] is r or not self.base[at]["isbn"]):
+        if self.base[at] is r:
+            self._known(at)
+        elif r["isbn"] and not self.base[at]["isbn"]:
             self.base[at] = r
+            self._known(at)
+        if r["isbn"] and self.base[at] is r:
             self.by_isbn[r["isbn"]] = min(at, self.by_isbn.get(r["isbn"], at))
 
     def rows(self) -> list[tuple]:

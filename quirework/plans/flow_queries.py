@@ -239,13 +239,17 @@ def review_filter(spark, sf_dir):
     return b.where(F.col("action").isNull() & F.contains(F.lower(F.concat_ws(" ", "path", "author_folder", "title")), F.lit("asimov"))).select("id")
 
 
-@query(cte() + ", f AS (SELECT id, language FROM books WHERE NOT verified) SELECT id, coalesce(lead(id) OVER w, first_value(id) OVER (PARTITION BY language ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_id, coalesce(lag(id) OVER w, last_value(id) OVER (PARTITION BY language ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS prev_id FROM f WINDOW w AS (PARTITION BY language ORDER BY id)")
+_KEPT = "CASE WHEN NOT verified THEN id END"
+
+
+@query(cte() + f""" SELECT id, coalesce(min({_KEPT}) OVER (PARTITION BY language ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min({_KEPT}) OVER (PARTITION BY language)) AS next_id,
+coalesce(max({_KEPT}) OVER (PARTITION BY language ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), max({_KEPT}) OVER (PARTITION BY language)) AS prev_id FROM books""")
 def next_prev_entry(spark, sf_dir):
-    """Neighbours in each language's filtered list, wrapping at its ends; the ends come from an aggregate, not from a second frame."""
-    f = books(spark, sf_dir).where("not verified").select("id", "language")
-    ends = f.groupBy(F.col("language").alias("of")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    w = Window.partitionBy("language").orderBy("id")
-    return f.select("id", "language", F.lead("id").over(w).alias("n"), F.lag("id").over(w).alias("p")).join(ends, F.col("language").eqNullSafe(F.col("of"))).select("id", F.coalesce("n", "lo").alias("next_id"), F.coalesce("p", "hi").alias("prev_id"))
+    """Neighbours in each language's list of unverified entries, its ends joined; verified ones have those between which they would stand."""
+    from quirework.operators.neighbours import neighbours
+
+    n = neighbours(books(spark, sf_dir).select("id", "language", "verified"), "language", "id", ~F.col("verified"))
+    return n.select("id", F.col("next").alias("next_id"), F.col("prev").alias("prev_id"))
 
 
 # ---------------------------------------------------------------- caches and manifests
