@@ -232,3 +232,21 @@ def epub_summary(spark, sf_dir):
     src = F.get(F.filter(F.array(*map(F.lit, order)), lambda f: F.array_contains(F.col("formats"), f)), F.lit(0))
     plan = F.when(has, "skipped").otherwise(F.coalesce(src, F.lit("no source")))
     return books(spark, sf_dir).groupBy(plan.alias("plan")).agg(F.count("*").alias("n"))
+
+
+#: What a folder holds, by id: a manifest, one that can't be read beside a package document, a package document, both unreadable, nothing; some titles are damaged.
+_FOLDER_TITLE = "CASE WHEN id % 7 = 0 THEN 'Jiшн Kosek' ELSE concat('Kniha ', id) END"
+
+
+@query(cte() + """SELECT id, CASE id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'opf(fallback)' WHEN 2 THEN 'opf' WHEN 3 THEN 'opf(fallback)' ELSE 'path' END AS source, CASE WHEN id % 5 > 2 THEN '' WHEN id % 7 = 0 THEN 'Jiří Kosek' ELSE concat('Kniha ', id) END AS title,
+CASE WHEN id % 5 > 2 THEN '' ELSE 'Jan Novák' END AS authors, CASE WHEN id % 5 < 3 THEN '9788071741305' END AS isbn, CASE WHEN id % 5 < 3 THEN 'Argo' END AS publisher, id % 5 < 3 AND id % 7 = 0 AS repaired, id % 5 = 0 AND id % 2 = 0 AS verified FROM books""")
+def record_reader(spark, sf_dir):
+    """Records of folders: the manifest, else the package document, else the path alone; damaged text repaired."""
+    from quirework.sources import scan
+
+    t = F.expr(_FOLDER_TITLE)
+    good = F.to_json(F.struct(t.alias("title"), F.array(F.lit("Jan Novák")).alias("authors"), F.lit("80-7174-130-2").alias("isbn"), F.lit("Argo").alias("publisher"), (F.col("id") % 2 == 0).alias("verified")))
+    package = F.concat(F.lit('<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>'), t, F.lit("</dc:title><dc:creator>Jan Novák</dc:creator><dc:identifier scheme="ISBN">8071741302</dc:identifier><dc:publisher>Argo</dc:publisher></metadata></package>"))
+    k = F.col("id") % 5
+    d = books(spark, sf_dir).select("id", F.when(k == 0, good).when(k.isin(1, 3), "{broken").alias("manifest"), F.when(k.isin(0, 1, 2), package).when(k == 3, "<broken").alias("opf"))
+    return scan.read(d).select("id", "source", "title", F.array_join("authors", "|").alias("authors"), "isbn", "publisher", F.col("encoding_repaired").alias("repaired"), "verified")

@@ -59,8 +59,8 @@ def _text(path: str) -> str | None:
         return None
 
 
-def walk(folder: str) -> Iterator[tuple]:
-    """Book folders below (and including) a folder, by name; a book folder is not descended into."""
+def walk(folder: str, texts: bool = True) -> Iterator[tuple]:
+    """Book folders below (and including) a folder, by name; a book folder is not descended into. texts: with what their metadata files say."""
     try:
         entries = sorted(os.scandir(folder), key=lambda e: e.name)
     except OSError:
@@ -72,11 +72,11 @@ def walk(folder: str) -> Iterator[tuple]:
             s = e.stat()
             files.append((e.name, e.is_dir(), s.st_size, s.st_mtime))
         parent, own = os.path.split(folder)
-        yield (folder, os.path.basename(parent), own, files, _text(os.path.join(folder, "metadata.json")) if "metadata.json" in names else None, _text(os.path.join(folder, "metadata.opf")) if "metadata.opf" in names else None)
+        yield (folder, os.path.basename(parent), own, files, *(_text(os.path.join(folder, n)) if texts and n in names else None for n in ("metadata.json", "metadata.opf")))
         return
     for e in entries:
         if e.is_dir() and not _out(e.name, False):
-            yield from walk(e.path)
+            yield from walk(e.path, texts)
 
 
 def register(spark: SparkSession) -> None:
