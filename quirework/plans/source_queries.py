@@ -246,7 +246,7 @@ def record_reader(spark, sf_dir):
 
     t = F.expr(_FOLDER_TITLE)
     good = F.to_json(F.struct(t.alias("title"), F.array(F.lit("Jan Novák")).alias("authors"), F.lit("80-7174-130-2").alias("isbn"), F.lit("Argo").alias("publisher"), (F.col("id") % 2 == 0).alias("verified")))
-    package = F.concat(F.lit('<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>'), t, F.lit("</dc:title><dc:creator>Jan Novák</dc:creator><dc:identifier scheme="ISBN">8071741302</dc:identifier><dc:publisher>Argo</dc:publisher></metadata></package>"))
+    package = F.concat(F.lit('<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>'), t, F.lit("</dc:title><dc:creator>Jan Novák</dc:creator><dc:identifier scheme='ISBN'>8071741302</dc:identifier><dc:publisher>Argo</dc:publisher></metadata></package>"))
     k = F.col("id") % 5
     d = books(spark, sf_dir).select("id", F.when(k == 0, good).when(k.isin(1, 3), "{broken").alias("manifest"), F.when(k.isin(0, 1, 2), package).when(k == 3, "<broken").alias("opf"))
     return scan.read(d).select("id", "source", "title", F.array_join("authors", "|").alias("authors"), "isbn", "publisher", F.col("encoding_repaired").alias("repaired"), "verified")
