@@ -54,7 +54,7 @@ def built(df: DataFrame) -> DataFrame:
 def identity_agrees(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """df with `agrees`: of title, first author and number, those that both sides have are alike."""
     pair = lambda f: (F.col(f"{a}_{f}"), F.col(f"{b}_{f}"))
-    alike = lambda f: F.when(_set(pair(f)[0]) & _set(pair(f)[1]), fuzzy.token_sort(text.normalise(pair(f)[0]), text.normalise(pair(f)[1])) >= 100 * C.STRONG)
+    alike = lambda f: F.when(_set(pair(f)[0]) & _set(pair(f)[1]), fuzzy.token_sort(text.caseless(pair(f)[0]), text.caseless(pair(f)[1])) >= 100 * C.STRONG)
     number = F.when(_set(pair("isbn")[0]) & _set(pair("isbn")[1]), pair("isbn")[0] == pair("isbn")[1])
     return df.withColumn("agrees", F.coalesce(alike("title"), F.lit(True)) & F.coalesce(alike("author"), F.lit(True)) & F.coalesce(number, F.lit(True)))
 
