@@ -135,3 +135,27 @@ def test_common_classes_bound_the_score():
     levels, more = similar.classes(texts)
     common = levels @ levels.T + np.minimum(more[:, None], more)
     assert all(common[i, j] >= brute_lcs(texts[i], texts[j]) for i in range(80) for j in range(80))
+
+
+def test_high_bounds_first_spare_the_others(monkeypatch):
+    r = random.Random(7)
+    keys = sorted({f"{r.randrange(10**5)} lambda omega" for _ in range(1500)})
+    asked = [f"{r.randrange(10**5)} lambda omega" for _ in range(60)]
+    years = [r.choice([None, 1990, 1995]) for _ in keys]
+    wants = [r.choice([None, 1990, 2000]) for _ in asked]
+    scored = []
+    lcs = similar.Masks.lcs
+    monkeypatch.setattr(similar.Masks, "lcs", lambda self, q, *more: scored.append(len(q)) or lcs(self, q, *more))
+    found = similar.Asked(asked, wants, 70.0)
+    for lo in range(0, len(keys), 500):
+        found.meet(keys[lo : lo + 500], years[lo : lo + 500], list(range(lo, min(lo + 500, len(keys)))))
+    rows = list(zip(range(len(keys)), keys, years, strict=True))
+    assert [(round(s, 6), int(p)) for s, p in zip(found.score, found.place, strict=True)] == [brute_answer(a, w, rows) for a, w in zip(asked, wants, strict=True)]
+    assert sum(scored) < len(asked) * len(keys) / 4
+
+
+def test_capitals_of_a_sharp_s_are_the_same_title(spark, tmp_path):
+    from quirework.plans import queries
+
+    spark.createDataFrame([(20, "Große Straße am Fluß\nund so", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in queries()["title_lookup"](spark, str(tmp_path)).collect()] == [(20, 20, 100.0)]
