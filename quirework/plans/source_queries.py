@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quirework.functions import fuzzy, text
+from quirework.functions import fuzzy, slices, text
 from quirework.plans import built_files
 from quirework.plans.adapter import books, cte
 from quirework.plans.book_flow_queries import D_FLOW, flow_records
@@ -24,9 +24,9 @@ def _zipped(*names: str):
     """A zip archive of texts under these names, in the order of the columns."""
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for cols in batches:
+        for part in (p for cols in batches for p in slices.rows(cols)):
             out = []
-            for texts in zip(*(c.to_pylist() for c in cols), strict=True):
+            for texts in part:
                 raw = io.BytesIO()
                 with zipfile.ZipFile(raw, "w") as z:
                     for n, t in zip(names, texts, strict=True):
