@@ -50,7 +50,7 @@ _ID = "CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT)"
 _NUMBER = "ISBN 80-85906-45-7"
 _LABELLED = f"CASE WHEN id % 3 = 0 THEN {PAGES[0][0]} END"
 _BODY_IN = r"trim(regexp_replace(regexp_replace(text, '[0-9<>&\f]', '', 'g'), '[ \t\n\r\x0B]+', ' ', 'g'))"
-_BODY_SPARK = r"trim(regexp_replace(regexp_replace(text, '[0-9<>&\\f]', ''), '[ \\t\\n\\r\\x0B]+', ' '))"
+_BODY_SPARK = r"trim(regexp_replace(regexp_replace(text, '[0-9<>&\\f]+', ''), '[\\t\\n\\r\\x0B][ \\t\\n\\r\\x0B]*| [ \\t\\n\\r\\x0B]+', ' '))"
 _MINED = "CASE WHEN id % 3 = 0 THEN {} END"
 D_FILE = cte() + f", bk AS (SELECT id, {_LABELLED} AS label, {_BODY_IN} AS body FROM books), "
 
