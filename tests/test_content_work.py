@@ -41,3 +41,7 @@ def test_pages_of_records_that_nobody_asks_about_are_not_compared(spark):
     d = spark.createDataFrame([(i, "f.epub", "Some title", "some title here") for i in (1, 2)], "id int, primary_file string, title string, first_page string")
     d = d.withColumns({c: F.lit(None).cast("string") for c in ("isbn", "isbn_from_text", "embedded_title")})
     assert [r.title_score for r in content.verify(d, F.col("id") == 1).orderBy("id").collect()] == [1.0, 0.0]
+
+
+def test_a_classification_normalises_pages_for_its_identity_once(planned):
+    assert planned("pipeline_buckets").count("translate(first_page") + planned("pipeline_buckets").count("translate(substring(") <= 1
