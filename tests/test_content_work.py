@@ -45,3 +45,7 @@ def test_pages_of_records_that_nobody_asks_about_are_not_compared(spark):
 
 def test_a_classification_normalises_pages_for_its_identity_once(planned):
     assert planned("pipeline_buckets").count("translate(first_page") + planned("pipeline_buckets").count("translate(substring(") <= 1
+
+
+def test_an_identity_normalises_each_text_once(planned):
+    assert planned("acquire_identity").count("translate(") <= 5
