@@ -49,3 +49,7 @@ def test_a_classification_normalises_pages_for_its_identity_once(planned):
 
 def test_an_identity_normalises_each_text_once(planned):
     assert planned("acquire_identity").count("translate(") <= 5
+
+
+def test_rogues_read_the_formats_once(planned):
+    assert planned("crosscheck_rogues").count("parquet") <= 1
