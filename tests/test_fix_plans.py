@@ -16,3 +16,11 @@ def planned(spark):
 
 def test_fixes_are_planned_over_written_identities(planned):
     assert "first_page" not in planned("deterministic_fix")
+
+
+def test_a_pipeline_is_planned_over_written_identities(planned):
+    assert "first_page" not in planned("per_book_pipeline")
+
+
+def test_counters_are_planned_over_written_identities(planned):
+    assert "first_page" not in planned("fix_source_counts")
