@@ -5,6 +5,11 @@ import pytest
 
 from quirework import plans
 
+FAR = "lorem ipsum " * 5000
+ODD = "§§§§ ¤¤¤¤ ∆∆∆∆ §¤∆§"
+#: The number of record 17.
+OWN = "9780000000170"
+
 
 @pytest.fixture
 def both(spark, tmp_path):
@@ -27,3 +32,8 @@ def test_verifying_books_with_numbers_like_ids_at_the_end(both):
 def test_crosschecking_formats_with_numbers_like_ids_at_the_end(both):
     got, want = both("crosscheck_formats", [(100007, "some words 4 100007"), (100018, "100018 some words"), (100038, "some words")])
     assert got == want
+
+
+def test_an_identity_far_into_the_text(both):
+    got, want = both("acquire_identity", [(17, FAR + OWN), (35, "x")])
+    assert got == want and got[0][1:3] == ("metadata", OWN)
