@@ -37,3 +37,8 @@ def test_crosschecking_formats_with_numbers_like_ids_at_the_end(both):
 def test_an_identity_far_into_the_text(both):
     got, want = both("acquire_identity", [(17, FAR + OWN), (35, "x")])
     assert got == want and got[0][1:3] == ("metadata", OWN)
+
+
+def test_an_identity_confirmed_far_into_the_text(both):
+    got, want = both("confirm_identity", [(10, FAR + ODD), (15, FAR)])
+    assert got == want and (10, True) in got and (15, False) in got
