@@ -42,3 +42,8 @@ def test_an_identity_far_into_the_text(both):
 def test_an_identity_confirmed_far_into_the_text(both):
     got, want = both("confirm_identity", [(10, FAR + ODD), (15, FAR)])
     assert got == want and (10, True) in got and (15, False) in got
+
+
+def test_rogues_by_a_title_far_into_the_text(both):
+    got, want = both("crosscheck_rogues", [(5, FAR + ODD), (45, FAR)])
+    assert got == want == [(5, "mobi")]
